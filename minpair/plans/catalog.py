@@ -1,19 +1,39 @@
-"""Registered queries: name -> (spark, sf_dir) -> DataFrame, and their DuckDB oracles."""
+"""Registered queries: name -> (spark, sf_dir) -> DataFrame, and their DuckDB oracles.
+
+Each query reads whole driver tables through a fixture (``sources.fixtures``)
+and applies one operator of the library. Its oracle is an independent SQL
+text over the same tables with the same output column names. Final doubles
+are rounded to 4 decimals in both, arrays are emitted as joined strings.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from minpair.functions import arrays as A
+from minpair.functions import text as TX
+from minpair.operators import accuracy as ACC
+from minpair.operators import lines as LN
+from minpair.operators import results as RS
+from minpair.operators import summaries as SM
 from minpair.plans import flagship as fl
 from minpair.plans import oracle as sql
+from minpair.plans.oracle import FX1, FX2, FX3, FX4
+from minpair.sources import fixtures as fx
+from minpair.sources.dims import T_CRITICAL_090, ZORRO_PARADIGMS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
+ZORRO = [p for p, _ in ZORRO_PARADIGMS]
+KEYS = RS.KEYS
+KEYS_SQL = ", ".join(KEYS)
+
 
 def register(name: str, oracle: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
@@ -26,6 +46,18 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+def r4(c):
+    return F.round(c, 4)
+
+
+def arr_str(c, sep: str = " "):
+    return F.array_join(F.col(c).cast("array<string>") if isinstance(c, str) else c.cast("array<string>"), sep)
+
+
+# ---------------------------------------------------------------------------
+# Flagship (FX7): count model fitted on documents, pairs from conversations
+# ---------------------------------------------------------------------------
+
 @register("flagship_mlm_accuracy", sql.flagship_sql("mlm"))
 def q_flagship(spark, sf_dir):
     return fl.flagship(spark, sf_dir, "mlm")
@@ -34,3 +66,477 @@ def q_flagship(spark, sf_dir):
 @register("flagship_holistic_accuracy", sql.flagship_sql("holistic"))
 def q_flagship_holistic(spark, sf_dir):
     return fl.flagship(spark, sf_dir, "holistic")
+
+
+# ---------------------------------------------------------------------------
+# Pair accuracy (FX4)
+# ---------------------------------------------------------------------------
+
+def _acc_sql(method: str) -> str:
+    return f"""with {FX4},
+{sql.pair_accuracy_sql('fx4', method=method)}
+select paradigm, n_pairs, n_correct,
+       round(cast(n_correct as double) / cast(n_pairs as double) * 100.0, 4) as accuracy
+from acc"""
+
+
+@register("pair_accuracy_mlm", _acc_sql("mlm"))
+def q_pair_acc_mlm(spark, sf_dir):
+    return ACC.pair_accuracy(fx.pair_scores(spark, sf_dir), "mlm")
+
+
+@register("pair_accuracy_holistic", _acc_sql("holistic"))
+def q_pair_acc_hol(spark, sf_dir):
+    return ACC.pair_accuracy(fx.pair_scores(spark, sf_dir), "holistic")
+
+
+# ---------------------------------------------------------------------------
+# Results table and summaries (FX2)
+# ---------------------------------------------------------------------------
+
+ZDIM_SQL = "zdim as (select * from (values " + ", ".join(
+    f"('{p}', '{ph}', {i})" for i, (p, ph) in enumerate(ZORRO_PARADIGMS)) + ") t(paradigm, phenomenon, paradigm_index))"
+
+
+def _wide_sql(overall_decimals: int | None = 2) -> str:
+    cells = ",\n       ".join(f"max(case when paradigm = '{p}' then accuracy end) as \"{p}\"" for p in ZORRO)
+    ov = "avg(accuracy)"
+    if overall_decimals is not None:
+        sc = float(10 ** overall_decimals)
+        ov = f"round_even(avg(accuracy) * {sc}, 0) / {sc}"
+    return f"""wide as (
+select {KEYS_SQL},
+       {cells},
+       {ov} as overall
+from fx2 group by {KEYS_SQL})"""
+
+
+def fx2_wide(spark, sf_dir, overall_decimals=2):
+    return RS.results_wide(fx.results_long(spark, sf_dir), ZORRO, overall_decimals=overall_decimals)
+
+
+@register("results_wide", f"with {FX2},\n{_wide_sql()}\nselect * from wide")
+def q_results_wide(spark, sf_dir):
+    return fx2_wide(spark, sf_dir)
+
+
+@register("overall_accuracy", f"""with {FX2}
+select {KEYS_SQL}, round(avg(accuracy), 4) as overall, count(accuracy) as n_paradigms
+from fx2 group by all""")
+def q_overall(spark, sf_dir):
+    return ACC.overall_accuracy(fx.results_long(spark, sf_dir), KEYS)
+
+
+@register("filter_method", f"with {FX2}\nselect * from fx2 where scoring_method = 'holistic'")
+def q_filter_method(spark, sf_dir):
+    return fx.results_long(spark, sf_dir).where(F.col("scoring_method") == "holistic")
+
+
+@register("results_keys", f"with {FX2},\n{_wide_sql()}\nselect {KEYS_SQL} from wide")
+def q_results_keys(spark, sf_dir):
+    return fx2_wide(spark, sf_dir).select(*KEYS)
+
+
+@register("results_unpivot", f"""with {FX2},
+{_wide_sql()}
+select {KEYS_SQL}, paradigm, accuracy from wide
+unpivot include nulls (accuracy for paradigm in ({', '.join('"' + p + '"' for p in ZORRO)}))""")
+def q_unpivot(spark, sf_dir):
+    return RS.results_unpivot(fx2_wide(spark, sf_dir), ZORRO)
+
+
+def _old_new(spark, sf_dir):
+    long = fx.results_long(spark, sf_dir)
+    old = long.where(F.col("rep") < 2)
+    new = long.where(F.col("rep") >= 1).withColumn("accuracy", F.least(F.col("accuracy") + 1.0, F.lit(100.0)))
+    return old, new
+
+
+@register("results_dedup", f"""with {FX2},
+u as (select *, 0 as src from fx2 where rep < 2
+      union all
+      select model, corpora, rep, path, scoring_method, paradigm, least(accuracy + 1.0, 100.0), 1 from fx2 where rep >= 1)
+select {KEYS_SQL}, paradigm, accuracy from (
+  select *, row_number() over (partition by {KEYS_SQL}, paradigm order by src) as rn from u) where rn = 1""")
+def q_dedup(spark, sf_dir):
+    old, new = _old_new(spark, sf_dir)
+    return RS.results_dedup(old, new, KEYS + ["paradigm"])
+
+
+_OLD_COLS, _NEW_COLS = ZORRO[:12], ZORRO[8:]
+
+
+def _part_wide_sql(name, where, cols, adj):
+    cells = ", ".join(f"max(case when paradigm = '{p}' then {adj} end) as \"{p}\"" for p in cols)
+    return f"{name} as (select {KEYS_SQL}, {cells} from fx2 where {where} group by {KEYS_SQL})"
+
+
+@register("results_union", f"""with {FX2},
+{_part_wide_sql('o', 'rep < 2', _OLD_COLS, 'accuracy')},
+{_part_wide_sql('n', 'rep >= 1', _NEW_COLS, 'least(accuracy + 1.0, 100.0)')}
+select * from o union all by name select * from n""")
+def q_union(spark, sf_dir):
+    old, new = _old_new(spark, sf_dir)
+    o = old.groupBy(*KEYS).pivot("paradigm", _OLD_COLS).agg(F.max("accuracy"))
+    n = new.groupBy(*KEYS).pivot("paradigm", _NEW_COLS).agg(F.max("accuracy"))
+    return RS.results_union([o, n])
+
+
+@register("method_pivot", f"""with {FX2},
+{_wide_sql()}
+select concat(model, '+', corpora) as group_name,
+       case when starts_with(concat(model, '+', corpora), 'view') then path else cast(rep as varchar) end as idx,
+       max(case when scoring_method = 'holistic' then overall end) as holistic,
+       max(case when scoring_method = 'mlm' then overall end) as mlm
+from wide group by 1, 2""")
+def q_method_pivot(spark, sf_dir):
+    return RS.method_pivot(fx2_wide(spark, sf_dir), "view")
+
+
+@register("phenomenon_join", f"""with {FX2}, {ZDIM_SQL}
+select {KEYS_SQL}, fx2.paradigm, phenomenon, accuracy from fx2 join zdim using (paradigm)""")
+def q_ph_join(spark, sf_dir):
+    return RS.phenomenon_join(fx.results_long(spark, sf_dir)).select(*KEYS, "paradigm", "phenomenon", "accuracy")
+
+
+@register("unscored_pairs_anti", f"""with {FX2},
+runs as (select distinct model, corpora, rep, path from fx2),
+req as (select runs.*, m.scoring_method, z.paradigm from runs,
+        (values ('mlm'), ('holistic')) m(scoring_method),
+        (select distinct paradigm from fx2) z)
+select * from req anti join fx2 using ({KEYS_SQL}, paradigm)""")
+def q_unscored(spark, sf_dir):
+    long = fx.results_long(spark, sf_dir)
+    runs = long.select("model", "corpora", "rep", "path").distinct()
+    paradigms = long.select("paradigm").distinct()
+    grid = ACC.evaluation_grid(runs, ["mlm", "holistic"], paradigms)
+    return RS.unscored(grid, long, KEYS + ["paradigm"])
+
+
+def _ph_acc_sql():
+    return f"""ph as (
+  select {KEYS_SQL}, phenomenon, round_even(avg(accuracy) * 10.0, 0) / 10.0 as accuracy
+  from fx2 join zdim using (paradigm) group by all)"""
+
+
+@register("phenomenon_accuracy", f"with {FX2}, {ZDIM_SQL},\n{_ph_acc_sql()}\nselect * from ph")
+def q_ph_acc(spark, sf_dir):
+    return SM.phenomenon_accuracy(fx.results_long(spark, sf_dir))
+
+
+def _ph_reps_sql(how: str) -> str:
+    counts: dict[str, int] = {}
+    for _, p in ZORRO_PARADIGMS:
+        counts[p] = counts.get(p, 0) + 1
+    wsql = "(values " + ", ".join(f"('{k}', {float(v)})" for k, v in counts.items()) + ") w(phenomenon, w)"
+    return f"""with {FX2}, {ZDIM_SQL},
+{_ph_acc_sql()},
+per as (select model, corpora, scoring_method, phenomenon, {how}(accuracy) as value from ph group by all)
+select model, corpora, scoring_method,
+       round_even(sum(value * case when value is not null then w end)
+                  / sum(case when value is not null then w end) * 10.0, 0) / 10.0 as overall
+from per join {wsql} using (phenomenon) group by all"""
+
+
+@register("phenomenon_mean_over_reps", _ph_reps_sql("avg"))
+def q_ph_mean(spark, sf_dir):
+    return SM.phenomenon_over_reps(fx.results_long(spark, sf_dir), how="mean")
+
+
+@register("phenomenon_max_over_reps", _ph_reps_sql("max"))
+def q_ph_max(spark, sf_dir):
+    return SM.phenomenon_over_reps(fx.results_long(spark, sf_dir), how="max")
+
+
+def _rhe(x: str, d: int) -> str:
+    return f"round_even(({x}) * {float(10 ** d)}, 0) / {float(10 ** d)}"
+
+
+@register("replication_summary", f"""with {FX2},
+{_wide_sql()}
+select model, corpora, scoring_method, {_rhe('min(overall)', 1)} as min, {_rhe('max(overall)', 1)} as max,
+       {_rhe('avg(overall)', 1)} as mean, count(overall) as count
+from wide group by all""")
+def q_rep_summary(spark, sf_dir):
+    return SM.replication_summary(fx2_wide(spark, sf_dir))
+
+
+@register("replication_rollup", f"""with {FX2},
+{_wide_sql()}
+select model, corpora, scoring_method, round(sum(overall), 4) as sum_overall, count(overall) as count,
+       cast(grouping(model, corpora, scoring_method) as bigint) as level
+from wide group by rollup (model, corpora, scoring_method)""")
+def q_rollup(spark, sf_dir):
+    return SM.replication_rollup(fx2_wide(spark, sf_dir))
+
+
+@register("best_replication", f"""with {FX2},
+{_wide_sql()}
+select model, corpora, scoring_method, overall as best_overall, rep as best_rep, path as best_path from (
+  select *, row_number() over (partition by model, corpora, scoring_method
+                               order by overall desc nulls last, rep desc, path desc) as rn from wide)
+where rn = 1""")
+def q_best_rep(spark, sf_dir):
+    return SM.best_replication(fx2_wide(spark, sf_dir))
+
+
+@register("group_names", f"with {FX2}\nselect distinct concat(model, '+', corpora) as group_name from fx2")
+def q_group_names(spark, sf_dir):
+    return SM.group_names(fx.results_long(spark, sf_dir))
+
+
+RM_SQL = """rm as (
+  select concat(model, '+', corpora) as group_name, rep, path, avg(accuracy) as accuracy
+  from fx2 where scoring_method = 'holistic' group by all)"""
+
+TCRIT_SQL = "tc as (select * from (values " + ", ".join(
+    f"({k}, {v})" for k, v in T_CRITICAL_090) + ") t(df, t))"
+
+
+def _moe_sql(src: str, value: str, keys: str, rounded: bool = True) -> str:
+    mean, margin = "s.mean", "case when s.n > 1 then s.sd / sqrt(s.n) * tc.t end"
+    if rounded:
+        mean, margin = f"round({mean}, 4)", f"round({margin}, 4)"
+    return f"""select {', '.join('s.' + k.strip() for k in keys.split(','))}, {mean} as accuracy, s.n, {margin} as margin
+from (select {keys}, avg({value}) as mean, count({value}) as n, stddev_samp({value}) as sd
+      from {src} group by all) s
+left join tc on tc.df = s.n - 1"""
+
+
+@register("rep_means", f"with {FX2}, {RM_SQL}\nselect group_name, rep, path, round(accuracy, 4) as accuracy from rm")
+def q_rep_means(spark, sf_dir):
+    r = SM.rep_means(fx.results_long(spark, sf_dir), "holistic")
+    return r.withColumn("accuracy", r4(F.col("accuracy")))
+
+
+def _r4_cols(df, cols):
+    for c in cols:
+        df = df.withColumn(c, r4(F.col(c)))
+    return df
+
+
+@register("margin_of_error_reps", f"with {FX2}, {RM_SQL}, {TCRIT_SQL}\n" + _moe_sql("rm", "accuracy", "group_name"))
+def q_moe_reps(spark, sf_dir):
+    return _r4_cols(SM.margin_of_error_reps(fx.results_long(spark, sf_dir), "holistic"), ["accuracy", "margin"])
+
+
+@register("paradigm_mean_moe", f"""with {FX2}, {TCRIT_SQL},
+f as (select concat(model, '+', corpora) as group_name, paradigm, accuracy from fx2 where scoring_method = 'holistic')
+""" + _moe_sql("f", "accuracy", "group_name, paradigm"))
+def q_par_moe(spark, sf_dir):
+    return _r4_cols(SM.paradigm_mean_moe(fx.results_long(spark, sf_dir), "holistic"), ["accuracy", "margin"])
+
+
+PM_SQL = """pm as (
+  select concat(model, '+', corpora) as group_name, paradigm, avg(accuracy) as paradigm_accuracy
+  from fx2 where scoring_method = 'holistic' group by all)"""
+
+
+@register("margin_of_error_paradigms", f"with {FX2}, {PM_SQL}, {TCRIT_SQL}\n"
+          + _moe_sql("pm", "paradigm_accuracy", "group_name"))
+def q_moe_par(spark, sf_dir):
+    return _r4_cols(SM.margin_of_error_paradigms(fx.results_long(spark, sf_dir), "holistic"), ["accuracy", "margin"])
+
+
+@register("box_stats", f"""with {FX2}, {PM_SQL},
+q as (select group_name, count(paradigm_accuracy) as n, avg(paradigm_accuracy) as mean,
+             quantile_cont(paradigm_accuracy, 0.25) as q1, quantile_cont(paradigm_accuracy, 0.5) as median,
+             quantile_cont(paradigm_accuracy, 0.75) as q3 from pm group by all),
+w as (select q.*, min(case when x >= q1 - 1.5 * (q3 - q1) then x end) as lo,
+                  max(case when x <= q3 + 1.5 * (q3 - q1) then x end) as hi
+      from q join (select group_name, paradigm_accuracy as x from pm) using (group_name)
+      group by all)
+select group_name, n, round(mean, 4) as mean, round(q1, 4) as q1, round(median, 4) as median, round(q3, 4) as q3,
+       round(case when lo is null or lo > q1 then q1 else lo end, 4) as whislo,
+       round(case when hi is null or hi < q3 then q3 else hi end, 4) as whishi, 50.0 as chance
+from w""")
+def q_box(spark, sf_dir):
+    return _r4_cols(SM.box_stats(fx.results_long(spark, sf_dir), "holistic"),
+                    ["mean", "q1", "median", "q3", "whislo", "whishi"])
+
+
+@register("report_lines", f"""with {FX2}, {RM_SQL}, {TCRIT_SQL},
+m as ({_moe_sql("rm", "accuracy", "group_name", rounded=False)})
+select group_name,
+  concat(case when length(group_name) >= 64 then group_name else rpad(group_name, 64, '.') end,
+         'accuracy=', printf('%.2f', {_rhe('accuracy', 2)}),
+         ' n=', lpad(cast(n as varchar), 2, ' '),
+         ' margin-of-error=', lpad(coalesce(printf('%.2f', {_rhe('margin', 2)}), 'nan'), 8, ' ')) as line
+from m""")
+def q_report(spark, sf_dir):
+    return SM.report_lines(fx.results_long(spark, sf_dir), "holistic")
+
+
+@register("phenomenon_paradigms", f"""with {FX2}, {ZDIM_SQL}
+select phenomenon, array_to_string(list_sort(list(paradigm)), ', ') as paradigms, count(*) as n_paradigms
+from (select distinct paradigm from fx2) join zdim using (paradigm) group by all""")
+def q_ph_paradigms(spark, sf_dir):
+    return SM.phenomenon_paradigms(fx.results_long(spark, sf_dir))
+
+
+@register("round_half_even", f"""with {FX2}
+select {KEYS_SQL}, paradigm, {_rhe('accuracy / 8.0', 1)} as acc1, {_rhe('accuracy / 8.0', 2)} as acc2,
+       {_rhe('accuracy / 8.0', 3)} as acc3 from fx2""")
+def q_rhe(spark, sf_dir):
+    long = fx.results_long(spark, sf_dir)
+    x = F.col("accuracy") / 8.0
+    return long.select(*KEYS, "paradigm", TX.round_half_even(x, 1).alias("acc1"),
+                       TX.round_half_even(x, 2).alias("acc2"), TX.round_half_even(x, 3).alias("acc3"))
+
+
+def _names_sql(expr: str, alias: str) -> str:
+    return f"""with {FX2}, {ZDIM_SQL}
+select distinct paradigm, phenomenon, {expr} as {alias}
+from (select distinct paradigm from fx2) join zdim using (paradigm)"""
+
+
+def _names(spark, sf_dir):
+    return RS.phenomenon_join(fx.results_long(spark, sf_dir).select("paradigm").distinct())
+
+
+def _chain_sql(col: str, pairs) -> str:
+    out = col
+    for a, b in pairs:
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+@register("shorten_phenomenon", _names_sql(_chain_sql("phenomenon", TX.PHENOMENON_ABBREVIATIONS), "short"))
+def q_shorten_ph(spark, sf_dir):
+    return _names(spark, sf_dir).select("paradigm", "phenomenon", TX.shorten_phenomenon("phenomenon").alias("short"))
+
+
+@register("paradigm_title", _names_sql(
+    _chain_sql("replace(concat(phenomenon, chr(10), paradigm), '_', ' ')", TX.TITLE_ABBREVIATIONS), "title"))
+def q_title(spark, sf_dir):
+    return _names(spark, sf_dir).select("paradigm", "phenomenon", TX.paradigm_title("phenomenon", "paradigm").alias("title"))
+
+
+@register("paradigm_label", _names_sql("ltrim(ltrim(replace(paradigm, '_', ' '), phenomenon), '-')", "label"))
+def q_label(spark, sf_dir):
+    return _names(spark, sf_dir).select("paradigm", "phenomenon", TX.paradigm_label("paradigm", "phenomenon").alias("label"))
+
+
+# ---------------------------------------------------------------------------
+# Array scoring on logits (FX3)
+# ---------------------------------------------------------------------------
+
+LSE = "(list_max(logits) + ln(list_sum(list_transform(logits, lambda v: exp(v - list_max(logits))))))"
+
+
+@register("label_gather", f"with {FX3}\nselect sent_id, pos, label, round(logits[label + 1], 4) as label_logit from fx3")
+def q_label_gather(spark, sf_dir):
+    d = fx.logits(spark, sf_dir)
+    return d.select("sent_id", "pos", "label", r4(A.label_gather("logits", "label")).alias("label_logit"))
+
+
+@register("log_softmax", f"""with {FX3}
+select sent_id, pos, round({LSE}, 4) as log_norm, round(logits[label + 1] - {LSE}, 4) as label_logprob,
+       round(list_sum(list_transform(logits, lambda v: v - {LSE})), 4) as logprob_sum
+from fx3""")
+def q_log_softmax(spark, sf_dir):
+    d = fx.logits(spark, sf_dir).withColumn("lsm", A.log_softmax("logits"))
+    return d.select("sent_id", "pos", r4(A.log_norm("logits")).alias("log_norm"),
+                    r4(A.label_gather("lsm", "label")).alias("label_logprob"),
+                    r4(F.aggregate("lsm", F.lit(0.0), lambda a, v: a + v)).alias("logprob_sum"))
+
+
+@register("token_cross_entropy", f"with {FX3}\nselect sent_id, pos, round({LSE} - logits[label + 1], 4) as ce from fx3")
+def q_token_ce(spark, sf_dir):
+    d = fx.logits(spark, sf_dir)
+    return d.select("sent_id", "pos", r4(A.token_cross_entropy("logits", "label")).alias("ce"))
+
+
+@register("holistic_scores", f"""with {FX3}
+select sent_id, round(avg({LSE} - logits[label + 1]), 4) as score from fx3 where pos < valid_length group by sent_id""")
+def q_holistic_scores(spark, sf_dir):
+    from minpair.operators.scoring import holistic_from_token_loss
+    d = fx.logits(spark, sf_dir).withColumn("ce", A.token_cross_entropy("logits", "label"))
+    s = holistic_from_token_loss(d, ["sent_id"])
+    return s.withColumn("score", r4(F.col("score")))
+
+
+@register("argmax_predictions", f"""with {FX3}
+select sent_id, pos, label, cast(list_position(logits, list_max(logits)) - 1 as int) as predicted from fx3""")
+def q_argmax(spark, sf_dir):
+    d = fx.logits(spark, sf_dir)
+    return d.select("sent_id", "pos", "label", A.argmax("logits").alias("predicted"))
+
+
+@register("topk_tokens", f"""with {FX3}
+select sent_id, pos, array_to_string(list_transform(list_slice(list_sort(
+         list_transform(logits, lambda v, i: {{'neg': -v, 'i': i - 1}})), 1, 5), lambda s: s.i), ',') as top5
+from fx3""")
+def q_topk(spark, sf_dir):
+    d = fx.logits(spark, sf_dir)
+    return d.select("sent_id", "pos", arr_str(A.topk_indices("logits", 5), ",").alias("top5"))
+
+
+@register("attention_mask", f"""with {FX3}
+select sent_id, valid_length,
+       array_to_string(list_transform(range(8), lambda i: case when i < valid_length then 1 else 0 end), '') as mask
+from (select distinct sent_id, valid_length from fx3)""")
+def q_attention(spark, sf_dir):
+    from minpair.operators.batches import attention_mask
+    d = fx.logits(spark, sf_dir).select("sent_id", "valid_length").distinct()
+    m = F.transform(attention_mask("valid_length", 8), lambda b: F.when(b, "1").otherwise("0"))
+    return d.select("sent_id", "valid_length", F.array_join(m, "").alias("mask"))
+
+
+# ---------------------------------------------------------------------------
+# Suite lines (FX1)
+# ---------------------------------------------------------------------------
+
+@register("lower_case_lines", f"with {FX1}\nselect paradigm, line_no, lower(sentence) as sentence from fx1")
+def q_lower(spark, sf_dir):
+    s = fx.suite_lines(spark, sf_dir)
+    return s.select("paradigm", "line_no", TX.lower_case_lines("sentence", True).alias("sentence"))
+
+
+@register("word_counts", f"""with {FX1}
+select paradigm, line_no, cast(len(string_split(sentence, ' ')) as int) as n_words,
+       cast(max(len(string_split(sentence, ' '))) over (partition by paradigm) as int) as max_words from fx1""")
+def q_word_counts(spark, sf_dir):
+    w = LN.word_counts(fx.suite_lines(spark, sf_dir))
+    mx = w.groupBy("paradigm").agg(F.max("n_words").alias("max_words"))
+    return w.join(mx, "paradigm").select("paradigm", "line_no", "n_words", "max_words")
+
+
+@register("fixed_batches", f"""with {FX1}
+select paradigm, cast(floor(line_no / 10) as bigint) as batch_id, count(*) as n_lines,
+       min(line_no) as first_line, max(line_no) as last_line from fx1 group by all""")
+def q_fixed_batches(spark, sf_dir):
+    b = LN.fixed_batches(fx.suite_lines(spark, sf_dir))
+    return b.groupBy("paradigm", "batch_id").agg(F.count(F.lit(1)).alias("n_lines"),
+                                                 F.min("line_no").alias("first_line"),
+                                                 F.max("line_no").alias("last_line"))
+
+
+@register("swap_pair_order", f"""with {FX1}
+select paradigm, xor(line_no, 1) as line_no, sentence from (
+  select *, count(*) over (partition by paradigm) as n from fx1) where line_no < n - n % 2""")
+def q_swap(spark, sf_dir):
+    return LN.swap_pair_order(fx.suite_lines(spark, sf_dir).select("paradigm", "line_no", "sentence"))
+
+
+@register("swap_invariants", f"""with {FX1},
+sw as (select paradigm, sentence from (select *, count(*) over (partition by paradigm) as n from fx1)
+       where line_no < n - n % 2),
+b as (select paradigm, count(*) as n_before, count(distinct sentence) as distinct_before from fx1 group by 1),
+a as (select paradigm, count(*) as n_after, count(distinct sentence) as distinct_after from sw group by 1),
+mi as (select paradigm, count(*) as n_missing from (select paradigm, sentence from fx1 except all select * from sw) group by 1),
+ex as (select paradigm, count(*) as n_extra from (select * from sw except all select paradigm, sentence from fx1) group by 1)
+select paradigm, coalesce(n_before, 0) as n_before, coalesce(n_after, 0) as n_after,
+       coalesce(distinct_before, 0) as distinct_before, coalesce(distinct_after, 0) as distinct_after,
+       coalesce(n_missing, 0) as n_missing, coalesce(n_extra, 0) as n_extra
+from b full join a using (paradigm) left join mi using (paradigm) left join ex using (paradigm)""")
+def q_swap_inv(spark, sf_dir):
+    s = fx.suite_lines(spark, sf_dir).select("paradigm", "line_no", "sentence")
+    return LN.swap_invariants(s, LN.swap_pair_order(s))
+
+
+@register("line_count_violations", f"""with {FX1}
+select paradigm, count(*) as n_lines, cast(4000 as bigint) as expected_lines, count(*) % 2 = 1 as odd
+from fx1 group by 1""")
+def q_violations(spark, sf_dir):
+    return LN.line_count_violations(fx.suite_lines(spark, sf_dir), 4000)
