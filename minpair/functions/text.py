@@ -111,9 +111,10 @@ def shorten_path(path, checkpoint_root: str, runs_root: str) -> Column:
     name = F.regexp_extract(p, r"([^/]*)/?$", 1)
 
     def rel(root: str) -> Column:
+        # like Path.relative_to: no trailing separator on the result
         prefix = root.rstrip("/") + "/"
         return F.when(F.startswith(p, F.lit(prefix)),
-                      F.substring(p, len(prefix) + 1, 1 << 30)).otherwise(p)
+                      F.regexp_replace(F.substring(p, len(prefix) + 1, 1 << 30), "/$", "")).otherwise(p)
 
     return F.when(F.startswith(name, F.lit("checkpoint")), rel(checkpoint_root)).otherwise(rel(runs_root))
 

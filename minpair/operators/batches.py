@@ -127,7 +127,8 @@ def attention_mask(valid_length, width) -> Column:
 
 
 def bucketed_batches(df: DataFrame, length_col: str, keys: list[str], num_buckets: int = 10,
-                     batch_size: int = 500, ratio: float = 1.0, shards: int | None = None) -> DataFrame:
+                     batch_size: int = 500, ratio: float = 1.0, shards: int | None = None,
+                     shard: Column | None = None) -> DataFrame:
     """Length-bucketed batches without shuffling the order inside a bucket.
 
     bucket = floor((len - min) / width) clipped to num_buckets - 1, with
@@ -148,7 +149,8 @@ def bucketed_batches(df: DataFrame, length_col: str, keys: list[str], num_bucket
     max_key = lo + F.lit(num_buckets) * width - 1
     bsize = F.greatest(F.floor(max_key / key * F.lit(float(ratio)) * F.lit(batch_size)),
                        F.lit(batch_size)).cast("long")
-    shard = F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int")
+    if shard is None:
+        shard = F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int")
     tagged = df.select("*", bucket.alias("bucket"), bsize.alias("bucket_batch_size"), shard.alias("shard"))
     ranked = range_row_number(tagged, ["bucket", "shard"], keys, name="_seq", base=0)
     return ranked.withColumn("batch_in_shard", F.floor(F.col("_seq") / F.col("bucket_batch_size")).cast("long")).drop("_seq")

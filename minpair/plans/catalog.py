@@ -540,3 +540,429 @@ select paradigm, count(*) as n_lines, cast(4000 as bigint) as expected_lines, co
 from fx1 group by 1""")
 def q_violations(spark, sf_dir):
     return LN.line_count_violations(fx.suite_lines(spark, sf_dir), 4000)
+
+
+# ---------------------------------------------------------------------------
+# Tokens, vocabulary, masking, batches (FX5, word tokens)
+# ---------------------------------------------------------------------------
+
+from minpair.operators import batches as BT  # noqa: E402
+from minpair.operators import count_model as CM  # noqa: E402
+from minpair.operators import scoring as SC  # noqa: E402
+from minpair.operators import tokens as TK  # noqa: E402
+from minpair.plans.oracle import FX5, FX6, LOGPROB_SQL, count_model_token_scores, model_ctes  # noqa: E402
+
+VOCAB_SQL = f"""{FX5},
+v_tok as (select sent_id, unnest(string_split(sentence, ' ')) as token,
+                 unnest(generate_series(0, len(string_split(sentence, ' ')) - 1)) as pos
+          from fx5 where sentence <> ''),
+vocab as (
+  select token, cast(row_number() over (order by count(*) desc, token) + 4 as bigint) as token_id,
+         count(*) as count from v_tok group by token
+  union all
+  select * from (values ('<s>', 0, 0), ('<pad>', 1, 0), ('</s>', 2, 0), ('<unk>', 3, 0), ('<mask>', 4, 0))
+    r(token, token_id, count)),
+enc_t as (select t.sent_id, list(coalesce(v.token_id, 3) order by t.pos) as ids
+          from v_tok t left join vocab v using (token) group by t.sent_id),
+enc as (select f.sent_id, f.sentence, [0::bigint] || coalesce(e.ids, []::bigint[]) || [2::bigint] as ids
+        from fx5 f left join enc_t e using (sent_id))"""
+
+
+def fx5_encoded(spark, sf_dir):
+    s = fx.sentences(spark, sf_dir)
+    vocab = TK.vocab_build(s, unit="word")
+    return s, vocab, TK.encode(s, vocab, ["sent_id"])
+
+
+@register("vocab_build", f"with {VOCAB_SQL}\nselect token, token_id, count from vocab")
+def q_vocab(spark, sf_dir):
+    return TK.vocab_build(fx.sentences(spark, sf_dir), unit="word").table
+
+
+@register("encode_tokens", f"""with {VOCAB_SQL}
+select sent_id, array_to_string(ids, ' ') as token_ids, cast(len(ids) as int) as n_ids from enc""")
+def q_encode(spark, sf_dir):
+    _, _, enc = fx5_encoded(spark, sf_dir)
+    return enc.select("sent_id", arr_str("token_ids").alias("token_ids"), F.size("token_ids").alias("n_ids"))
+
+
+@register("decode_tokens", f"""with {VOCAB_SQL}
+select sent_id, array_to_string(list(token order by pos), ' ') as decoded from (
+  select sent_id, unnest(ids) as token_id, unnest(generate_series(0, len(ids) - 1)) as pos from enc)
+join vocab using (token_id) group by sent_id""")
+def q_decode(spark, sf_dir):
+    _, vocab, enc = fx5_encoded(spark, sf_dir)
+    d = TK.decode(enc, vocab, ["sent_id"])
+    return d.groupBy("sent_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
+        F.struct("pos", "token"))), lambda s: s["token"]), " ").alias("decoded"))
+
+
+@register("masked_copies", f"""with {VOCAB_SQL}
+select sent_id, cast(i - 1 as int) as mask_pos, ids[i] as label,
+       array_to_string(list_transform(ids, lambda x, j: case when j = i then 4 else x end), ' ') as token_ids,
+       cast(len(ids) as int) as valid_length, 1 as normalization
+from (select sent_id, ids, unnest(range(2, len(ids))) as i from enc where len(ids) <= 1024)""")
+def q_masked(spark, sf_dir):
+    _, _, enc = fx5_encoded(spark, sf_dir)
+    m = TK.masked_copies(enc, ["sent_id"], max_len=CM_MAX)
+    return m.select("sent_id", "mask_pos", "label", arr_str("token_ids").alias("token_ids"),
+                    "valid_length", "normalization")
+
+
+CM_MAX = SC.MLM_MAX_TOKENS
+
+
+@register("maskable_positions", f"""with {VOCAB_SQL}
+select sent_id, cast(i - 1 as int) as pos, ids[i] as token_id
+from (select sent_id, ids, unnest(range(2, len(ids))) as i from enc)""")
+def q_maskable(spark, sf_dir):
+    _, _, enc = fx5_encoded(spark, sf_dir)
+    return TK.maskable_positions(enc, ["sent_id"])
+
+
+@register("length_guard", f"""with {VOCAB_SQL}
+select sent_id, cast(len(ids) as int) as n_ids, len(ids) <= 40 as kept from enc""")
+def q_length_guard(spark, sf_dir):
+    _, _, enc = fx5_encoded(spark, sf_dir)
+    return TK.length_guard(enc, 40).select("sent_id", "n_ids", "kept")
+
+
+@register("true_token_lengths", f"""with {VOCAB_SQL}
+select sent_id, cast(len(ids) - 2 as int) as n_tokens from enc where len(ids) > 2""")
+def q_true_len(spark, sf_dir):
+    _, _, enc = fx5_encoded(spark, sf_dir)
+    return TK.true_token_lengths(enc, ["sent_id"])
+
+
+def _pad_sql(round_to=None):
+    width = "max(len(ids)) over (partition by floor(sent_id / 1000))"
+    if round_to:
+        width = f"cast(ceil({width} / {round_to}) * {round_to} as int)"
+    return f"""with {VOCAB_SQL}
+select sent_id, cast(floor(sent_id / 1000) as bigint) as batch_id, cast(len(ids) as int) as valid_length,
+       array_to_string(list_resize(ids, {width}, 1), ' ') as padded from enc"""
+
+
+def _padded(spark, sf_dir, round_to=None):
+    _, _, enc = fx5_encoded(spark, sf_dir)
+    b = enc.withColumn("batch_id", F.floor(F.col("sent_id") / 1000).cast("long"))
+    return BT.pad_batch(b, "batch_id", "token_ids", pad_val=1, round_to=round_to)
+
+
+@register("pad_batch", _pad_sql())
+def q_pad(spark, sf_dir):
+    return _padded(spark, sf_dir).select("sent_id", "batch_id", "valid_length", arr_str("padded").alias("padded"))
+
+
+@register("pad_round_to", _pad_sql(8))
+def q_pad8(spark, sf_dir):
+    return _padded(spark, sf_dir, 8).select("sent_id", "batch_id", "valid_length", arr_str("padded").alias("padded"))
+
+
+@register("stack_batch", f"""with p as ({_pad_sql()})
+select batch_id, array_to_string(list(padded order by sent_id), '|') as stacked, count(*) as n_rows,
+       min(len(string_split(padded, ' '))) = max(len(string_split(padded, ' '))) as shape_ok
+from p group by batch_id""")
+def q_stack(spark, sf_dir):
+    s = BT.stack(_padded(spark, sf_dir), "batch_id", "sent_id", "padded")
+    return s.select("batch_id", F.array_join(F.transform("stacked", lambda r: F.array_join(r.cast("array<string>"), " ")), "|").alias("stacked"),
+                    "n_rows", "shape_ok")
+
+
+@register("batch_fields", f"""with p as ({_pad_sql()}),
+s as ({f"with {VOCAB_SQL} select sent_id, sentence, cast(len(ids) as int) as n_ids from enc"})
+select batch_id, array_to_string(list(padded order by sent_id), '|') as token_ids,
+       array_to_string(list(n_ids order by sent_id), ' ') as n_ids,
+       array_to_string(list(sentence order by sent_id), ' || ') as sentence
+from p join s using (sent_id) group by batch_id""")
+def q_batch_fields(spark, sf_dir):
+    s, _, enc = fx5_encoded(spark, sf_dir)
+    b = (enc.join(s, "sent_id").withColumn("batch_id", F.floor(F.col("sent_id") / 1000).cast("long"))
+            .withColumn("n_ids", F.size("token_ids")))
+    out = BT.batch_fields(b, "batch_id", "sent_id", {"token_ids": "pad", "n_ids": "stack", "sentence": "list"},
+                          pad_val=1)
+    return out.select("batch_id",
+                      F.array_join(F.transform("token_ids", lambda r: F.array_join(r.cast("array<string>"), " ")), "|").alias("token_ids"),
+                      arr_str("n_ids").alias("n_ids"), F.array_join("sentence", " || ").alias("sentence"))
+
+
+@register("batch_list", f"""with {FX5}
+select cast(floor(sent_id / 1000) as bigint) as batch_id,
+       array_to_string(list(sentence order by sent_id), ' || ') as sentences from fx5 group by 1""")
+def q_batch_list(spark, sf_dir):
+    s = fx.sentences(spark, sf_dir).withColumn("batch_id", F.floor(F.col("sent_id") / 1000).cast("long"))
+    out = BT.batch_fields(s, "batch_id", "sent_id", {"sentence": "list"})
+    return out.select("batch_id", F.array_join("sentence", " || ").alias("sentences"))
+
+
+@register("pad_inner_axis")
+def q_pad_inner(spark, sf_dir):
+    _, _, enc = fx5_encoded(spark, sf_dir)
+    b = (enc.withColumn("batch_id", F.floor(F.col("sent_id") / 1000).cast("long"))
+            .withColumn("sample", F.array("token_ids", F.slice("token_ids", 1, 3))))
+    p = BT.pad_inner_axis(b, "batch_id", "sample", pad_val=1)
+    return p.select("sent_id", "batch_id", F.transform("padded", lambda r: F.size(r)).alias("inner_sizes"))
+
+
+BUCKET_SQL = f"""e as (select sent_id, cast(len(ids) as int) as n_ids from enc),
+lim as (select min(n_ids) as lo, max(n_ids) as hi from e),
+b as (select e.*, least(floor((n_ids - lo) / w), 9) as bucket, lo, w from e, lim,
+      (select greatest(1, ceil((hi - lo + 1) / 10)) as w from lim) ww),
+bb as (select sent_id, n_ids, cast(bucket as int) as bucket,
+              cast(greatest(floor((lo + 10 * w - 1) / (lo + (bucket + 1) * w - 1) * 1.0 * 500), 500) as bigint) as bucket_batch_size,
+              cast(((sent_id % 8) + 8) % 8 as int) as shard
+       from b),
+bt as (select *, cast(floor((row_number() over (partition by bucket, shard order by sent_id) - 1) / bucket_batch_size) as bigint) as batch_in_shard
+       from bb)"""
+
+
+def _buckets(spark, sf_dir):
+    _, _, enc = fx5_encoded(spark, sf_dir)
+    e = enc.select("sent_id", F.size("token_ids").alias("n_ids"))
+    return BT.bucketed_batches(e, "n_ids", ["sent_id"], shard=F.pmod(F.col("sent_id"), F.lit(8)).cast("int"))
+
+
+@register("bucketed_batches", f"""with {VOCAB_SQL}, {BUCKET_SQL}
+select sent_id, n_ids, bucket, bucket_batch_size, shard, batch_in_shard from bt""")
+def q_buckets(spark, sf_dir):
+    return _buckets(spark, sf_dir).select("sent_id", "n_ids", "bucket", "bucket_batch_size", "shard", "batch_in_shard")
+
+
+@register("bucket_stats", f"""with {VOCAB_SQL}, {BUCKET_SQL},
+pb as (select bucket, shard, batch_in_shard, count(*) as n, max(n_ids) as mx, sum(n_ids) as tot from bt group by all)
+select bucket, sum(n) as n_rows, count(*) as n_batches, round(1.0 - sum(tot) / sum(n * mx), 4) as padding_share
+from pb group by bucket""")
+def q_bucket_stats(spark, sf_dir):
+    s = BT.bucket_stats(_buckets(spark, sf_dir), "n_ids")
+    return s.withColumn("padding_share", r4(F.col("padding_share")))
+
+
+# ---------------------------------------------------------------------------
+# Count model: fit, token scores, sentence scores (FX7 char, FX5 word)
+# ---------------------------------------------------------------------------
+
+def word_model(spark, sf_dir):
+    return CM.fit(fx.training_lines(spark, sf_dir), "sentence", "word")
+
+
+@register("count_mlm_fit", f"with {model_ctes('char')}\nselect l, t, r, c_ltr from tri")
+def q_fit(spark, sf_dir):
+    return fl.fitted_model(spark, sf_dir).trigrams
+
+
+@register("count_mlm_token_scores", f"""with {model_ctes('char')},
+{sql.FX7_PAIRS},
+{count_model_token_scores('pairs', 'paradigm, line_no', 1024)}
+select paradigm, line_no, cast(pos as int) as pos, t, round(logprob, 4) as logprob from q_lp""")
+def q_tok_scores(spark, sf_dir):
+    m = fl.fitted_model(spark, sf_dir)
+    t = CM.token_logprobs(m, fx.minimal_pairs(spark, sf_dir), "sentence", ["paradigm", "line_no"],
+                          outer=False, max_tokens=SC.MLM_MAX_TOKENS)
+    return t.select("paradigm", "line_no", "pos", "t", r4(F.col("logprob")).alias("logprob"))
+
+
+@register("mlm_scores", f"""with {model_ctes('char')},
+{sql.FX7_PAIRS},
+{count_model_token_scores('pairs', 'paradigm, line_no', 1024)}
+select p.paradigm, p.line_no, round(coalesce(s.score, 0.0), 4) as score
+from pairs p left join (select paradigm, line_no, sum(logprob) as score from q_lp group by 1, 2) s
+  on p.paradigm = s.paradigm and p.line_no = s.line_no""")
+def q_mlm_scores(spark, sf_dir):
+    s = fl.flagship_scores(spark, sf_dir, "mlm")
+    return s.withColumn("score", r4(F.col("score")))
+
+
+@register("paradigm_accuracy", f"""with {model_ctes('char')},
+{sql.FX7_PAIRS},
+{count_model_token_scores('pairs', 'paradigm, line_no', None)},
+s as (select p.paradigm, p.line_no,
+             coalesce(sum(q.logprob) filter (where len(string_split(p.sentence, '')) + 2 <= 1024), 0.0) as mlm,
+             avg(-q.logprob) as holistic
+      from pairs p left join q_lp q on p.paradigm = q.paradigm and p.line_no = q.line_no group by 1, 2),
+scores as (select 'mlm' as scoring_method, paradigm, line_no, mlm as score from s
+           union all select 'holistic', paradigm, line_no, holistic from s),
+pr as (select scoring_method, paradigm, line_no // 2 as pair_id,
+              max(case when line_no % 2 = 0 then score end) as good, max(case when line_no % 2 = 1 then score end) as bad
+       from scores group by all)
+select scoring_method, paradigm, count(*) as n_pairs,
+       count(case when not isnan(good) and not isnan(bad) and
+             ((scoring_method = 'mlm' and round(good, 6) > round(bad, 6)) or
+              (scoring_method = 'holistic' and round(good, 6) < round(bad, 6))) then 1 end) as n_correct,
+       round(cast(count(case when not isnan(good) and not isnan(bad) and
+             ((scoring_method = 'mlm' and round(good, 6) > round(bad, 6)) or
+              (scoring_method = 'holistic' and round(good, 6) < round(bad, 6))) then 1 end) as double)
+             / cast(count(*) as double) * 100.0, 4) as accuracy
+from pr group by all""")
+def q_paradigm_acc(spark, sf_dir):
+    m = fl.fitted_model(spark, sf_dir)
+    mlm = fl.flagship_scores(spark, sf_dir, "mlm", model=m).withColumn("scoring_method", F.lit("mlm"))
+    hol = fl.flagship_scores(spark, sf_dir, "holistic", model=m).withColumn("scoring_method", F.lit("holistic"))
+    return ACC.pair_accuracy(mlm.unionByName(hol), "scoring_method", keys=["scoring_method"])
+
+
+@register("pll_with_zero_default", f"""with {model_ctes('word')}, {FX5},
+{count_model_token_scores('fx5', 'sent_id', 40, 'word')}
+select f.sent_id, round(coalesce(s.score, 0.0), 4) as score
+from fx5 f left join (select sent_id, sum(logprob) as score from q_lp group by 1) s using (sent_id)""")
+def q_pll_zero(spark, sf_dir):
+    s = SC.mlm_scores(word_model(spark, sf_dir), fx.sentences(spark, sf_dir), ["sent_id"], max_tokens=40)
+    return s.withColumn("score", r4(F.col("score")))
+
+
+@register("fill_mask_count", f"""with {model_ctes('word')}, {FX5},
+pos as (select sent_id, i - 1 as pos, a[i] as l, a[i + 2] as r
+        from (select sent_id, a, unnest(range(1, len(a) - 1)) as i
+              from (select sent_id, ['<s>'] || string_split(sentence, ' ') || ['</s>'] as a from fx5 where sentence <> ''))),
+top_uni as (select t from uni order by c_t desc, t limit 5),
+cand as (select distinct sent_id, pos, l, r, t from (
+           select p.sent_id, p.pos, p.l, p.r, tri.t from pos p join tri on p.l = tri.l and p.r = tri.r
+           union all select p.sent_id, p.pos, p.l, p.r, u.t from pos p, top_uni u)),
+sc as (select c.sent_id, c.pos, c.t, {LOGPROB_SQL} as logprob
+       from cand c left join tri on c.l = tri.l and c.t = tri.t and c.r = tri.r
+       left join ctx on c.l = ctx.l and c.r = ctx.r left join uni on c.t = uni.t cross join tot)
+select sent_id, cast(pos as int) as pos, cast(rank as int) as rank, token, round(logprob, 4) as logprob from (
+  select sent_id, pos, t as token, logprob,
+         row_number() over (partition by sent_id, pos order by logprob desc, t) as rank from sc)
+where rank <= 5""")
+def q_fill_mask(spark, sf_dir):
+    f = CM.fill_mask(word_model(spark, sf_dir), fx.sentences(spark, sf_dir), "sentence", ["sent_id"], 5)
+    return f.withColumn("logprob", r4(F.col("logprob")))
+
+
+# ---------------------------------------------------------------------------
+# Pluggable scorer through mapInPandas (FX3)
+# ---------------------------------------------------------------------------
+
+@register("pandas_scorer", f"""with {FX3}
+select sent_id, pos, round(logits[label + 1] - {LSE}, 4) as logprob from fx3""")
+def q_pandas_scorer(spark, sf_dir):
+    from minpair.operators.scorer import LogitsScorer, run_scorer
+    out = run_scorer(fx.logits(spark, sf_dir), LogitsScorer(), ["sent_id", "pos"])
+    return out.withColumn("logprob", r4(F.col("logprob")))
+
+
+# ---------------------------------------------------------------------------
+# Registry and runs (FX6)
+# ---------------------------------------------------------------------------
+
+from minpair.sources import registry as RG  # noqa: E402
+from minpair.sources.registry import CORPORA_LABELS, PRETRAINED_MODELS  # noqa: E402
+
+
+def _sql_val(v):
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    if isinstance(v, list):
+        return "[" + ", ".join(_sql_val(x) for x in v) + "]"
+    return str(v)
+
+
+PARAMS_SQL = "par as (select * from (values " + ", ".join(
+    "(" + ", ".join(_sql_val(x) for x in row) + ")" for row in fx.RUN_PARAMS) + \
+    ") t(param_name, corpora, training_order, consecutive_masking))"
+
+
+def _label_case(c="corpora", o="training_order", m="consecutive_masking") -> str:
+    parts = []
+    for arr, order, label in CORPORA_LABELS:
+        cond = f"{c} = {_sql_val(arr)}"
+        if order is not None:
+            cond += f" and {o} = '{order}' and {m}"
+        parts.append(f"when {cond} then '{label}'")
+    return "case " + " ".join(parts) + " end"
+
+
+SAVES_RE = "^/runs/param_[0-9]{3}/(.+/)?saves/$"
+
+REGISTRY_SQL = f"""{FX6}, {PARAMS_SQL},
+pre as (select * from (values {', '.join('(' + ', '.join(_sql_val(x) for x in r) + ')' for r in PRETRAINED_MODELS)})
+        t(name, corpora, rep, path, case_sensitive, trained_on_lower_cased_data)),
+lab as (select param_name, {_label_case()} as corpora from par),
+tr as (select 'BabyBERTa' as name, lab.corpora,
+              cast(row_number() over (partition by fx6.param_name order by path) - 1 as int) as rep, path,
+              false as case_sensitive, true as trained_on_lower_cased_data
+       from fx6 left join lab using (param_name) where regexp_matches(path, '{SAVES_RE}')),
+reg as (select * from pre union all select * from tr)"""
+
+
+def registry(spark, sf_dir):
+    return RG.registry_union(RG.pretrained_registry(spark),
+                             RG.trained_registry(fx.runs(spark, sf_dir), fx.run_params(spark)))
+
+
+@register("runs_scan", f"with {FX6}\nselect param_name, path from fx6 where regexp_matches(path, '{SAVES_RE}')")
+def q_runs_scan(spark, sf_dir):
+    return RG.saved_runs(fx.runs(spark, sf_dir)).select("param_name", "path")
+
+
+@register("replication_numbers", f"""with {FX6}
+select param_name, path, cast(row_number() over (partition by param_name order by path) - 1 as bigint) as rep from fx6""")
+def q_rep_numbers(spark, sf_dir):
+    return RG.replication_numbers(fx.runs(spark, sf_dir).select("param_name", "path"))
+
+
+@register("select_runs", f"""with {FX6}
+select param_name, path from fx6 where param_name in ('param_001', 'param_003', 'param_007')""")
+def q_select_runs(spark, sf_dir):
+    return RG.select_runs(fx.runs(spark, sf_dir), ["param_001", "param_003", "param_007"]).select("param_name", "path")
+
+
+@register("shorten_path", f"""with {FX6},
+ck as (select doc_id, concat('/fairseq/RoBERTa-base-', case when doc_id % 3 = 0 then 'AO-CHILDES'
+              when doc_id % 3 = 1 then 'Wikipedia-1' else source end,
+              '/checkpoint_last_', cast(doc_id % 10 as varchar), '.pt') as ckpt_path from documents),
+p as (select doc_id, path as p from fx6 union all select doc_id, ckpt_path from ck)
+select doc_id, p as path,
+       case when starts_with(regexp_extract(p, '([^/]*)/?$', 1), 'checkpoint')
+            then (case when starts_with(p, '/fairseq/') then regexp_replace(substr(p, 10), '/$', '') else p end)
+            else (case when starts_with(p, '/runs/') then regexp_replace(substr(p, 7), '/$', '') else p end) end as short_path
+from p""")
+def q_shorten_path(spark, sf_dir):
+    runs = fx.runs(spark, sf_dir).select("doc_id", "path")
+    ck = fx.checkpoint_files(spark, sf_dir).select("doc_id", F.col("ckpt_path").alias("path"))
+    p = runs.unionByName(ck)
+    return p.select("doc_id", "path", TX.shorten_path("path", "/fairseq", "/runs").alias("short_path"))
+
+
+@register("corpora_label", f"""with {FX6}, {PARAMS_SQL}
+select param_name, {_label_case()} as corpora from (select distinct param_name from fx6) join par using (param_name)""")
+def q_corpora_label(spark, sf_dir):
+    names = fx.runs(spark, sf_dir).select("param_name").distinct()
+    p = fx.run_params(spark)
+    j = names.join(F.broadcast(p), "param_name")
+    return j.select("param_name", RG.corpora_label(F.col("corpora"), F.col("training_order"),
+                                                   F.col("consecutive_masking")).alias("corpora"))
+
+
+@register("checkpoint_label", """select doc_id, case when contains(dir_name, 'AO-CHILDES') then 'AO-CHILDES'
+       when contains(dir_name, 'Wikipedia-1') then 'Wikipedia-1' end as corpora,
+       cast(regexp_extract(file_name, '(\\d)\\.pt$', 1) as int) as rep
+from (select doc_id, concat('RoBERTa-base-', case when doc_id % 3 = 0 then 'AO-CHILDES'
+              when doc_id % 3 = 1 then 'Wikipedia-1' else source end) as dir_name,
+             concat('checkpoint_last_', cast(doc_id % 10 as varchar), '.pt') as file_name from documents)""")
+def q_ckpt_label(spark, sf_dir):
+    c = fx.checkpoint_files(spark, sf_dir)
+    return c.select("doc_id", RG.checkpoint_label(F.col("dir_name")).alias("corpora"),
+                    RG.checkpoint_rep(F.col("file_name")).alias("rep"))
+
+
+@register("registry_union", f"with {REGISTRY_SQL}\nselect * from reg")
+def q_registry(spark, sf_dir):
+    return registry(spark, sf_dir)
+
+
+@register("lower_case_flag", f"""with {REGISTRY_SQL}
+select name, corpora, rep, path, case_sensitive and trained_on_lower_cased_data as lower_case from reg""")
+def q_lower_flag(spark, sf_dir):
+    return RG.lower_case_flag(registry(spark, sf_dir)).select("name", "corpora", "rep", "path", "lower_case")
+
+
+@register("evaluation_grid", f"""with {REGISTRY_SQL}, {FX1}
+select name, corpora, rep, path, m.scoring_method, z.paradigm
+from reg, (values ('holistic'), ('mlm')) m(scoring_method), (select distinct paradigm from fx1) z""")
+def q_grid(spark, sf_dir):
+    reg = registry(spark, sf_dir).select("name", "corpora", "rep", "path")
+    paradigms = fx.suite_lines(spark, sf_dir).select("paradigm").distinct()
+    return ACC.evaluation_grid(reg, ["holistic", "mlm"], paradigms)

@@ -59,13 +59,18 @@ FX6 = """fx6 as (
          lang, source, doc_id
   from documents)"""
 
-# FX7: training lines + pairs, and the count model's probability of each
-# distinct query trigram (character tokens, lam = 0.5).
-FX7_TRAIN = """train as (
+# FX7: training lines + pairs, and the count model (lam = 0.5).
+def _sep(unit: str) -> str:
+    return "''" if unit == "char" else "' '"
+
+
+def model_ctes(unit: str = "char") -> str:
+    """CTEs train, tri (l,t,r,c_ltr), ctx (l,r,c_lr), uni (t,c_t), tot (n, v)."""
+    return f"""train as (
   select line as sentence from (select unnest(string_split(lower(text), chr(10))) as line from documents)
   where line <> ''),
 train_tok as (
-  select ['<s>'] || string_split(sentence, '') || ['</s>'] as a from train),
+  select ['<s>'] || string_split(sentence, {_sep(unit)}) || ['</s>'] as a from train),
 tri as (
   select a[i] as l, a[i + 1] as t, a[i + 2] as r, count(*) as c_ltr
   from (select a, unnest(range(1, len(a) - 1)) as i from train_tok) group by 1, 2, 3),
@@ -73,6 +78,9 @@ ctx as (select l, r, sum(c_ltr) as c_lr from tri group by 1, 2),
 uni as (select t, sum(c_ltr) as c_t from tri group by 1),
 tot as (select cast(sum(c_t) as double) as n, cast(count(*) + 1 as double) as v from uni)"""
 
+
+FX7_TRAIN = model_ctes("char")
+
 FX7_PAIRS = FX1 + """,
 pairs as (
   select paradigm, 2 * line_no as line_no, lower(sentence) as sentence from fx1
@@ -82,18 +90,23 @@ pairs as (
   from (select paradigm, line_no, lower(sentence) as s, cast(floor(length(lower(sentence)) / 2) as int) as k from fx1))"""
 
 
-def count_model_token_scores(source: str, keys: str, max_tokens: int | None = 1024) -> str:
-    """CTEs q_tok (keys, pos, l, t, r) and q_lp (keys, pos, logprob) for
+LOGPROB_SQL = """ln(0.5 * coalesce(cast(tri.c_ltr as double) / ctx.c_lr, 0.0)
+               + 0.5 * (cast(coalesce(uni.c_t, 0) as double) + 1.0) / (tot.n + tot.v))"""
+
+
+def count_model_token_scores(source: str, keys: str, max_tokens: int | None = 1024,
+                             unit: str = "char") -> str:
+    """CTEs q_tok (keys, pos, l, t, r) and q_lp (keys, pos, ..., logprob) for
     sentences in CTE ``source`` (columns keys + sentence)."""
-    guard = f"and len(string_split(sentence, '')) + 2 <= {max_tokens}" if max_tokens else ""
+    sep = _sep(unit)
+    guard = f"and len(string_split(sentence, {sep})) + 2 <= {max_tokens}" if max_tokens else ""
     return f"""q_tok as (
   select {keys}, i - 1 as pos, a[i] as l, a[i + 1] as t, a[i + 2] as r
   from (select {keys}, a, unnest(range(1, len(a) - 1)) as i
-        from (select {keys}, ['<s>'] || string_split(sentence, '') || ['</s>'] as a
+        from (select {keys}, ['<s>'] || string_split(sentence, {sep}) || ['</s>'] as a
               from {source} where sentence <> '' {guard}))),
 q_lp as (
-  select q.*, ln(0.5 * coalesce(cast(tri.c_ltr as double) / ctx.c_lr, 0.0)
-               + 0.5 * (cast(coalesce(uni.c_t, 0) as double) + 1.0) / (tot.n + tot.v)) as logprob
+  select q.*, {LOGPROB_SQL} as logprob
   from q_tok q
   left join tri on q.l = tri.l and q.t = tri.t and q.r = tri.r
   left join ctx on q.l = ctx.l and q.r = ctx.r

@@ -118,3 +118,35 @@ def minimal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = base.select("paradigm", (F.col("line_no") * 2 + 1).alias("line_no"),
                       swap_middle_chars(s).alias("sentence"))
     return good.unionByName(bad)
+
+
+# FX6 companion: run parameters per parameter set (corpora, training order,
+# consecutive masking). Sets 006 and 009 are invalid combinations on purpose.
+RUN_PARAMS = [
+    ("param_000", ["aochildes"], "original", True),
+    ("param_001", ["wikipedia1"], "original", True),
+    ("param_002", ["aonewsela"], "original", False),
+    ("param_003", ["aochildes", "aonewsela", "wikipedia3"], "original", True),
+    ("param_004", ["aochildes", "wikipedia3"], "original", True),
+    ("param_005", ["aochildes", "wikipedia3"], "reversed", True),
+    ("param_006", ["aochildes", "aonewsela"], "original", False),
+    ("param_007", ["aochildes", "aonewsela"], "reversed", True),
+    ("param_008", ["wikipedia3", "aonewsela"], "original", True),
+    ("param_009", ["wikipedia1", "aochildes"], "original", True),
+]
+
+
+def run_params(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RUN_PARAMS, "param_name string, corpora array<string>, "
+                                             "training_order string, consecutive_masking boolean")
+
+
+def checkpoint_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX6 variant for converted checkpoints: (doc_id, dir_name, file_name, ckpt_path)."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "source")
+    frag = (F.when(F.col("doc_id") % 3 == 0, F.lit("AO-CHILDES"))
+             .when(F.col("doc_id") % 3 == 1, F.lit("Wikipedia-1")).otherwise(F.col("source")))
+    dir_name = F.concat(F.lit("RoBERTa-base-"), frag)
+    file_name = F.concat(F.lit("checkpoint_last_"), (F.col("doc_id") % 10).cast("string"), F.lit(".pt"))
+    return docs.select("doc_id", dir_name.alias("dir_name"), file_name.alias("file_name"),
+                       F.concat(F.lit("/fairseq/"), dir_name, F.lit("/"), file_name).alias("ckpt_path"))
