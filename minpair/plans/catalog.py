@@ -966,3 +966,128 @@ def q_grid(spark, sf_dir):
     reg = registry(spark, sf_dir).select("name", "corpora", "rep", "path")
     paradigms = fx.suite_lines(spark, sf_dir).select("paradigm").distinct()
     return ACC.evaluation_grid(reg, ["holistic", "mlm"], paradigms)
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks (files under the session's checkpoint directory)
+# ---------------------------------------------------------------------------
+
+from minpair.sources import sinks as SK  # noqa: E402
+from minpair.sources import suites as SU  # noqa: E402
+
+
+def _written_suite(spark, sf_dir):
+    path = SK.scratch_path(spark, "suite-text")
+    SU.write_suite_text(fx.suite_lines(spark, sf_dir).select("paradigm", "line_no", "sentence"), path)
+    return path
+
+
+@register("scan_corpus", f"""with {FX1}
+select paradigm, line_no, regexp_replace(sentence, '^\\s+|\\s+$', '', 'g') as sentence from fx1""")
+def q_scan_corpus(spark, sf_dir):
+    return SU.scan_corpus(spark, _written_suite(spark, sf_dir))
+
+
+@register("paradigm_catalog", f"with {FX1}\nselect paradigm, count(*) as n_files from (select distinct paradigm from fx1) group by 1")
+def q_catalog(spark, sf_dir):
+    c = SU.paradigm_catalog(spark, _written_suite(spark, sf_dir))
+    return c.groupBy("paradigm").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@register("reordered_suite", f"""with {FX1}
+select paradigm, xor(line_no, 1) as line_no, sentence from (
+  select *, count(*) over (partition by paradigm) as n from fx1) where line_no < n - n % 2""")
+def q_reordered(spark, sf_dir):
+    path = SK.scratch_path(spark, "suite-table")
+    swapped = LN.swap_pair_order(fx.suite_lines(spark, sf_dir).select("paradigm", "line_no", "sentence"))
+    SU.write_suite_table(swapped, path)
+    return SU.read_suite_table(spark, path).select("paradigm", "line_no", "sentence")
+
+
+@register("results_csv_roundtrip", f"with {FX2},\n{_wide_sql()}\nselect * from wide")
+def q_csv(spark, sf_dir):
+    from pyspark.sql import types as T
+    wide = fx2_wide(spark, sf_dir)
+    path = SK.scratch_path(spark, "results-csv")
+    SK.write_results_csv(wide, path)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in wide.schema.fields])
+    return SK.read_results_csv(spark, path, schema)
+
+
+@register("scored_sentence_lines", f"""with {model_ctes('char')},
+{sql.FX7_PAIRS},
+{count_model_token_scores('pairs', 'paradigm, line_no', None)}
+select printf('%s %.4f', p.sentence, round_even(s.score * 10000.0, 0) / 10000.0) as value
+from pairs p join (select paradigm, line_no, avg(-logprob) as score from q_lp group by 1, 2) s
+  on p.paradigm = s.paradigm and p.line_no = s.line_no""")
+def q_scored_lines(spark, sf_dir):
+    m = fl.fitted_model(spark, sf_dir)
+    hol = SC.holistic_scores(m, fx.minimal_pairs(spark, sf_dir), ["paradigm", "line_no", "sentence"])
+    path = SK.scratch_path(spark, "scored-lines")
+    SK.write_lines(SK.scored_sentence_lines(hol), path)
+    return spark.read.text(path)
+
+
+def _params_with_runs(spark, sf_dir):
+    counts = fx.runs(spark, sf_dir).groupBy("param_name").agg(F.count(F.lit(1)).alias("n_runs"))
+    return counts.join(F.broadcast(fx.run_params(spark)), "param_name")
+
+
+@register("params_json")
+def q_params_json(spark, sf_dir):
+    path = SK.scratch_path(spark, "params-json")
+    SK.write_params_json(_params_with_runs(spark, sf_dir), path)
+    return spark.read.text(path).select(F.col("value").alias("json"))
+
+
+@register("params_source", f"""with {FX6}, {PARAMS_SQL}
+select param_name, count(*) as n_runs, any_value(training_order) as training_order,
+       any_value(consecutive_masking) as consecutive_masking, any_value(array_to_string(corpora, '+')) as corpora
+from fx6 join par using (param_name) group by param_name""")
+def q_params_source(spark, sf_dir):
+    from pyspark.sql import types as T
+    path = SK.scratch_path(spark, "params-json")
+    SK.write_params_json(_params_with_runs(spark, sf_dir), path)
+    schema = T.StructType([T.StructField("n_runs", T.LongType()), T.StructField("corpora", T.ArrayType(T.StringType())),
+                           T.StructField("training_order", T.StringType()),
+                           T.StructField("consecutive_masking", T.BooleanType()),
+                           T.StructField("param_name", T.StringType())])
+    p = SK.read_params_json(spark, path, schema)
+    return p.select("param_name", "n_runs", "training_order", "consecutive_masking",
+                    F.array_join("corpora", "+").alias("corpora"))
+
+
+# ---------------------------------------------------------------------------
+# Structured Streaming (availableNow over files landed under the checkpoint dir)
+# ---------------------------------------------------------------------------
+
+from minpair.streaming import results as SR  # noqa: E402
+from minpair.streaming import scores as SS  # noqa: E402
+
+
+@register("stream_results_dedup", f"with {FX2}\nselect distinct {KEYS_SQL}, paradigm from fx2")
+def q_stream_dedup(spark, sf_dir):
+    old, new = _old_new(spark, sf_dir)
+    landing = SK.scratch_path(spark, "results-landing")
+    old.write.mode("append").parquet(landing)
+    new.write.mode("append").parquet(landing)
+    sink, ck = SK.scratch_path(spark, "results-sink"), SK.scratch_path(spark, "results-ckpt")
+    q = SR.results_dedup_stream(spark, landing, old.schema, sink, ck, max_files_per_trigger=4)
+    SR.run_to_completion(q)
+    return SR.read_sink(spark, sink).select(*KEYS, "paradigm")
+
+
+@register("stream_sentence_scores", f"""with {FX3}
+select sent_id, round(sum(logits[label + 1] - {LSE}), 4) as score, count(*) as n_tokens from fx3 group by sent_id""")
+def q_stream_scores(spark, sf_dir):
+    d = fx.logits(spark, sf_dir)
+    toks = d.select("sent_id", "pos", (A.label_gather(A.log_softmax("logits"), "label")).alias("logprob"))
+    landing = SK.scratch_path(spark, "tokens-landing")
+    # token scores arrive position by position, as a scorer would emit batches
+    toks.write.mode("append").partitionBy("pos").parquet(landing)
+    sink, ck = SK.scratch_path(spark, "scores-sink"), SK.scratch_path(spark, "scores-ckpt")
+    schema = toks.schema
+    q = SS.sentence_score_stream(spark, landing, schema, sink, ck, ["sent_id"], max_files_per_trigger=2)
+    SR.run_to_completion(q)
+    s = SS.current_scores(spark, sink, ["sent_id"])
+    return s.select("sent_id", r4(F.col("score")).alias("score"), "n_tokens")

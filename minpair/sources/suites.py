@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 
 from minpair.functions.text import strip_whitespace
 
-_PARADIGM_FROM_PATH = F.coalesce(
-    F.nullif(F.regexp_extract(F.col("_path"), r"paradigm=([^/]+)/[^/]*$", 1), F.lit("")),
-    F.regexp_extract(F.col("_path"), r"([^/]+)\.txt$", 1))
+
+def _paradigm_from_path():
+    """``paradigm=<name>/`` directory if present, else the file stem."""
+    return F.coalesce(
+        F.nullif(F.regexp_extract(F.col("_path"), r"paradigm=([^/]+)/[^/]*$", 1), F.lit("")),
+        F.regexp_extract(F.col("_path"), r"([^/]+)\.txt$", 1))
 
 
 def _whole_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", glob).text(path))
+    # text() sets its own wholetext flag, so it must be passed here, not as an option
+    df = (spark.read.option("recursiveFileLookup", True)
+          .option("pathGlobFilter", glob).text(path, wholetext=True))
     return df.select(F.col("_metadata.file_path").alias("_path"), "value")
 
 
@@ -32,7 +36,7 @@ def paradigm_catalog(spark: SparkSession, path: str, glob: str = "*.txt") -> Dat
     """A3: (paradigm, file_path) of every suite file, content not read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", glob).load(path).select(F.col("path").alias("_path")))
-    return files.select(_url_decode(_PARADIGM_FROM_PATH).alias("paradigm"), F.col("_path").alias("file_path"))
+    return files.select(_url_decode(_paradigm_from_path()).alias("paradigm"), F.col("_path").alias("file_path"))
 
 
 def scan_suite(spark: SparkSession, path: str, strict: bool = True, glob: str = "*.txt") -> DataFrame:
@@ -43,7 +47,7 @@ def scan_suite(spark: SparkSession, path: str, strict: bool = True, glob: str =
     an empty line (e.g. a trailing newline).
     """
     files = _whole_files(spark, path, glob)
-    parts = files.select(_url_decode(_PARADIGM_FROM_PATH).alias("paradigm"),
+    parts = files.select(_url_decode(_paradigm_from_path()).alias("paradigm"),
                          F.split("value", "\n").alias("_lines"))
     if strict:
         bad = (F.size("_lines") % 2 == 1) | (F.element_at("_lines", -1) == "")
@@ -61,7 +65,7 @@ def scan_corpus(spark: SparkSession, path: str, lower_case: bool = False, glob:
     files = _whole_files(spark, path, glob)
     lines = F.split("value", "\n")
     lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    parts = files.select(_url_decode(_PARADIGM_FROM_PATH).alias("paradigm"), lines.alias("_lines"))
+    parts = files.select(_url_decode(_paradigm_from_path()).alias("paradigm"), lines.alias("_lines"))
     out = parts.select("paradigm", F.posexplode("_lines").alias("line_no", "sentence"))
     s = strip_whitespace("sentence")
     if lower_case:
@@ -72,7 +76,9 @@ def scan_corpus(spark: SparkSession, path: str, lower_case: bool = False, glob:
 def write_suite_text(lines: DataFrame, path: str) -> None:
     """One text file per paradigm (``paradigm=<name>/part-*.txt``), lines in
     ``line_no`` order, each ending with a newline. A paradigm file is bounded
-    (a test suite), so one task writing one paradigm is fine."""
+    (a test suite), so one task streaming one sorted paradigm is fine; the
+    (paradigm, line_no) sort already satisfies the writer's required ordering,
+    so no second sort is added."""
     (lines.repartition("paradigm").sortWithinPartitions("paradigm", "line_no")
           .select("paradigm", "sentence").write.mode("overwrite").partitionBy("paradigm").text(path))
 
