@@ -93,7 +93,7 @@ def paradigm_label(file_name, phenomenon, mode: str = "charset") -> Column:
         stripped = F.when(F.startswith(spaced, _col(phenomenon)),
                           F.substring(spaced, F.length(_col(phenomenon)) + 1, F.lit(1 << 30))
                           ).otherwise(spaced)
-        return F.regexp_replace(stripped, "^-+", "")
+        return F.regexp_replace(stripped, "^[- ]+", "")
     raise ValueError(f"unknown mode {mode!r}")
 
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from minpair.functions.numeric import exact_avg
+
 METHODS = ("mlm", "holistic")
 # Scores are compared after rounding so that summation order (which differs
 # between runs and engines) cannot turn an exact tie into a win.
@@ -83,7 +85,7 @@ def pair_accuracy(scores: DataFrame, method="mlm", keys: list[str] | None = None
 def overall_accuracy(long: DataFrame, keys: list[str], value: str = "accuracy",
                      decimals: int | None = 4) -> DataFrame:
     """unweighted mean of paradigm accuracies per key; NULL cells skipped."""
-    mean = F.avg(value)
+    mean = exact_avg(value)
     if decimals is not None:
         mean = F.round(mean, decimals)
     return long.groupBy(*keys).agg(mean.alias("overall"),

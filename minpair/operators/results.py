@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from minpair.functions.numeric import exact_avg
 from minpair.functions.text import group_name
 from minpair.sources.dims import phenomena
 
@@ -33,7 +34,7 @@ def results_wide(long: DataFrame, paradigms: list[str], keys: list[str] = KEYS,
     hash aggregation. Sorted by overall ascending, missing last.
     """
     cells = [F.max(F.when(F.col("paradigm") == p, F.col(value))).alias(p) for p in paradigms]
-    overall = F.avg(F.when(F.col("paradigm").isin(paradigms), F.col(value)))
+    overall = exact_avg(F.when(F.col("paradigm").isin(paradigms), F.col(value)))
     if overall_decimals is not None:
         overall = F.rint(overall * F.lit(10.0 ** overall_decimals)) / F.lit(10.0 ** overall_decimals)
     wide = long.groupBy(*keys).agg(*cells, overall.alias("overall"))
@@ -78,8 +79,8 @@ def method_index(prefix: str) -> F.Column:
 def method_pivot(wide: DataFrame, prefix: str, value: str = "overall") -> DataFrame:
     """Per group and index, one column per scoring method.
 
-    (group_name, idx, holistic, mlm, n_rows); ``n_rows > 1`` marks a repeated
-    (index, method) that a strict pivot would reject (see ``method_pivot_duplicates``).
+    (group_name, idx, holistic, mlm). A repeated (index, method), which a
+    strict pivot would reject, is listed by ``method_pivot_duplicates``.
     """
     base = wide.select(group_name("model", "corpora").alias("group_name"),
                        method_index(prefix).alias("idx"), "scoring_method", value)

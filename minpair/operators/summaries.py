@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from minpair.functions.numeric import exact_avg, exact_weighted_mean
 from minpair.functions.text import group_name, report_line, round_half_even
 from minpair.operators.results import KEYS, phenomenon_join
 from minpair.sources.dims import suite_paradigms, t_critical_expr
@@ -23,7 +24,7 @@ MISSING = ("skip", "propagate")
 def _mean(c: str, missing: str) -> Column:
     if missing not in MISSING:
         raise ValueError(f"missing must be one of {MISSING}")
-    m = F.avg(c)
+    m = exact_avg(c)
     if missing == "propagate":
         m = F.when(F.count(c) < F.count(F.lit(1)), F.lit(float("nan"))).otherwise(m)
     return m
@@ -35,14 +36,14 @@ def margin_of_error(values: str) -> list[Column]:
     n = F.count(values)
     sem = F.stddev_samp(values) / F.sqrt(n)
     h = F.when(n > 1, sem * t_critical_expr(n - 1))
-    return [F.avg(values).alias("accuracy"), n.alias("n"), h.alias("margin")]
+    return [exact_avg(values).alias("accuracy"), n.alias("n"), h.alias("margin")]
 
 
 def phenomenon_accuracy(long: DataFrame, suite: str = "zorro", keys: list[str] = KEYS) -> DataFrame:
     """mean accuracy of a phenomenon's paradigms per result row, rounded
     to 1 decimal half-even."""
     j = phenomenon_join(long, suite)
-    return j.groupBy(*keys, "phenomenon").agg(round_half_even(F.avg("accuracy"), 1).alias("accuracy"))
+    return j.groupBy(*keys, "phenomenon").agg(round_half_even(exact_avg("accuracy"), 1).alias("accuracy"))
 
 
 def phenomenon_over_reps(long: DataFrame, suite: str = "zorro", how: str = "mean",
@@ -59,7 +60,7 @@ def phenomenon_over_reps(long: DataFrame, suite: str = "zorro", how: str = "mean
     if weighting not in ("paradigm", "phenomenon"):
         raise ValueError("weighting must be 'paradigm' or 'phenomenon'")
     ph = phenomenon_accuracy(long, suite)
-    agg = F.avg("accuracy") if how == "mean" else F.max("accuracy")
+    agg = exact_avg("accuracy") if how == "mean" else F.max("accuracy")
     per = ph.groupBy("model", "corpora", "scoring_method", "phenomenon").agg(agg.alias("value"))
     counts: dict[str, int] = {}
     for _, p in suite_paradigms(suite):
@@ -71,8 +72,7 @@ def phenomenon_over_reps(long: DataFrame, suite: str = "zorro", how: str = "mean
         w = F.try_element_at(F.create_map(*flat), F.col("phenomenon"))
     else:
         w = F.lit(1.0)
-    w = F.when(F.col("value").isNotNull(), w)
-    overall = F.sum(F.col("value") * w) / F.sum(w)
+    overall = exact_weighted_mean("value", w)
     return (per.groupBy("model", "corpora", "scoring_method")
                .agg(round_half_even(overall, 1).alias("overall")))
 
@@ -83,7 +83,7 @@ def replication_summary(wide: DataFrame) -> DataFrame:
     return wide.groupBy("model", "corpora", "scoring_method").agg(
         round_half_even(F.min("overall"), 1).alias("min"),
         round_half_even(F.max("overall"), 1).alias("max"),
-        round_half_even(F.avg("overall"), 1).alias("mean"),
+        round_half_even(exact_avg("overall"), 1).alias("mean"),
         F.count("overall").alias("count"))
 
 
@@ -134,7 +134,7 @@ def paradigm_mean_moe(long: DataFrame, method: str) -> DataFrame:
 
 def paradigm_means(long: DataFrame, method: str) -> DataFrame:
     f = with_group(long.where(F.col("scoring_method") == method))
-    return f.groupBy("group_name", "paradigm").agg(F.avg("accuracy").alias("paradigm_accuracy"))
+    return f.groupBy("group_name", "paradigm").agg(exact_avg("accuracy").alias("paradigm_accuracy"))
 
 
 def margin_of_error_paradigms(long: DataFrame, method: str) -> DataFrame:
@@ -152,7 +152,7 @@ def box_stats(long: DataFrame, method: str) -> DataFrame:
     pm = paradigm_means(long, method)
     q = pm.groupBy("group_name").agg(
         F.percentile("paradigm_accuracy", [0.25, 0.5, 0.75]).alias("_q"),
-        F.avg("paradigm_accuracy").alias("mean"), F.count("paradigm_accuracy").alias("n"))
+        exact_avg("paradigm_accuracy").alias("mean"), F.count("paradigm_accuracy").alias("n"))
     q = q.select("group_name", "n", "mean", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3"))
     j = pm.join(q, "group_name")

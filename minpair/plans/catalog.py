@@ -98,12 +98,16 @@ ZDIM_SQL = "zdim as (select * from (values " + ", ".join(
     f"('{p}', '{ph}', {i})" for i, (p, ph) in enumerate(ZORRO_PARADIGMS)) + ") t(paradigm, phenomenon, paradigm_index))"
 
 
+# exact-decimal mean, as functions.numeric.exact_avg
+XAVG = "cast(avg(cast({} as decimal(38,10))) as double)"
+
+
 def _wide_sql(overall_decimals: int | None = 2) -> str:
     cells = ",\n       ".join(f"max(case when paradigm = '{p}' then accuracy end) as \"{p}\"" for p in ZORRO)
-    ov = "avg(accuracy)"
+    ov = XAVG.format("accuracy")
     if overall_decimals is not None:
         sc = float(10 ** overall_decimals)
-        ov = f"round_even(avg(accuracy) * {sc}, 0) / {sc}"
+        ov = f"round_even({ov} * {sc}, 0) / {sc}"
     return f"""wide as (
 select {KEYS_SQL},
        {cells},
@@ -121,7 +125,7 @@ def q_results_wide(spark, sf_dir):
 
 
 @register("overall_accuracy", f"""with {FX2}
-select {KEYS_SQL}, round(avg(accuracy), 4) as overall, count(accuracy) as n_paradigms
+select {KEYS_SQL}, round({XAVG.format('accuracy')}, 4) as overall, count(accuracy) as n_paradigms
 from fx2 group by all""")
 def q_overall(spark, sf_dir):
     return ACC.overall_accuracy(fx.results_long(spark, sf_dir), KEYS)
@@ -215,7 +219,7 @@ def q_unscored(spark, sf_dir):
 
 def _ph_acc_sql():
     return f"""ph as (
-  select {KEYS_SQL}, phenomenon, round_even(avg(accuracy) * 10.0, 0) / 10.0 as accuracy
+  select {KEYS_SQL}, phenomenon, round_even({XAVG.format('accuracy')} * 10.0, 0) / 10.0 as accuracy
   from fx2 join zdim using (paradigm) group by all)"""
 
 
@@ -225,16 +229,17 @@ def q_ph_acc(spark, sf_dir):
 
 
 def _ph_reps_sql(how: str) -> str:
+    agg = XAVG.format("accuracy") if how == "avg" else "max(accuracy)"
     counts: dict[str, int] = {}
     for _, p in ZORRO_PARADIGMS:
         counts[p] = counts.get(p, 0) + 1
     wsql = "(values " + ", ".join(f"('{k}', {float(v)})" for k, v in counts.items()) + ") w(phenomenon, w)"
     return f"""with {FX2}, {ZDIM_SQL},
 {_ph_acc_sql()},
-per as (select model, corpora, scoring_method, phenomenon, {how}(accuracy) as value from ph group by all)
+per as (select model, corpora, scoring_method, phenomenon, {agg} as value from ph group by all)
 select model, corpora, scoring_method,
-       round_even(sum(value * case when value is not null then w end)
-                  / sum(case when value is not null then w end) * 10.0, 0) / 10.0 as overall
+       round_even(cast(sum(cast(value as decimal(38,10)) * cast(case when value is not null then w end as decimal(20,0))) as double)
+                  / cast(sum(case when value is not null then w end) as double) * 10.0, 0) / 10.0 as overall
 from per join {wsql} using (phenomenon) group by all"""
 
 
@@ -255,7 +260,7 @@ def _rhe(x: str, d: int) -> str:
 @register("replication_summary", f"""with {FX2},
 {_wide_sql()}
 select model, corpora, scoring_method, {_rhe('min(overall)', 1)} as min, {_rhe('max(overall)', 1)} as max,
-       {_rhe('avg(overall)', 1)} as mean, count(overall) as count
+       {_rhe(XAVG.format('overall'), 1)} as mean, count(overall) as count
 from wide group by all""")
 def q_rep_summary(spark, sf_dir):
     return SM.replication_summary(fx2_wide(spark, sf_dir))
@@ -286,7 +291,8 @@ def q_group_names(spark, sf_dir):
 
 
 RM_SQL = """rm as (
-  select concat(model, '+', corpora) as group_name, rep, path, avg(accuracy) as accuracy
+  select concat(model, '+', corpora) as group_name, rep, path,
+         cast(avg(cast(accuracy as decimal(38,10))) as double) as accuracy
   from fx2 where scoring_method = 'holistic' group by all)"""
 
 TCRIT_SQL = "tc as (select * from (values " + ", ".join(
@@ -298,7 +304,7 @@ def _moe_sql(src: str, value: str, keys: str, rounded: bool = True) -> str:
     if rounded:
         mean, margin = f"round({mean}, 4)", f"round({margin}, 4)"
     return f"""select {', '.join('s.' + k.strip() for k in keys.split(','))}, {mean} as accuracy, s.n, {margin} as margin
-from (select {keys}, avg({value}) as mean, count({value}) as n, stddev_samp({value}) as sd
+from (select {keys}, cast(avg(cast({value} as decimal(38,10))) as double) as mean, count({value}) as n, stddev_samp({value}) as sd
       from {src} group by all) s
 left join tc on tc.df = s.n - 1"""
 
@@ -328,7 +334,8 @@ def q_par_moe(spark, sf_dir):
 
 
 PM_SQL = """pm as (
-  select concat(model, '+', corpora) as group_name, paradigm, avg(accuracy) as paradigm_accuracy
+  select concat(model, '+', corpora) as group_name, paradigm,
+         cast(avg(cast(accuracy as decimal(38,10))) as double) as paradigm_accuracy
   from fx2 where scoring_method = 'holistic' group by all)"""
 
 
@@ -339,7 +346,7 @@ def q_moe_par(spark, sf_dir):
 
 
 @register("box_stats", f"""with {FX2}, {PM_SQL},
-q as (select group_name, count(paradigm_accuracy) as n, avg(paradigm_accuracy) as mean,
+q as (select group_name, count(paradigm_accuracy) as n, cast(avg(cast(paradigm_accuracy as decimal(38,10))) as double) as mean,
              quantile_cont(paradigm_accuracy, 0.25) as q1, quantile_cont(paradigm_accuracy, 0.5) as median,
              quantile_cont(paradigm_accuracy, 0.75) as q3 from pm group by all),
 w as (select q.*, min(case when x >= q1 - 1.5 * (q3 - q1) then x end) as lo,
