@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,11 +59,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint directory and cut lineage.
+    """Materialise ``df`` as a Parquet table in the shared checkpoint directory
+    and read it back, cutting lineage.
 
     Used where a plan reads non-deterministic per-partition values (partition
-    ids, monotonically increasing ids) twice: both readers must see the same
-    rows even if an executor is lost and a stage re-runs.
+    ids, monotonically increasing ids) twice, and for fitted model tables:
+    every reader sees the same rows even if an executor is lost and a stage
+    re-runs. Unlike an eager ``Dataset.checkpoint`` on an unpersisted plan,
+    the data is computed once (write), and the re-read carries file sizes for
+    AQE's join choices.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -17,15 +17,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when a scan yields fewer
-    partitions than that (a small single-row-group file gives one task).
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition the rows over the cluster's cores when a scan yields
+    fewer partitions than that (a small single-row-group file gives one task).
 
     Large inputs already arrive in many splits and pass through unchanged, so
-    no shuffle is added at scale. Round-robin repartitioning sorts rows first,
-    so a retried task sees the same rows.
+    no shuffle is added at scale. Hash partitioning (on ``keys``, else on all
+    columns) is deterministic on retry without the sort that round-robin
+    repartitioning needs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores)
+    return df.repartition(cores, *(keys or df.columns))
