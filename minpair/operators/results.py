@@ -86,7 +86,8 @@ def method_pivot(wide: DataFrame, prefix: str, value: str = "overall") -> DataFr
                        method_index(prefix).alias("idx"), "scoring_method", value)
     return (base.groupBy("group_name", "idx")
                 .pivot("scoring_method", ["holistic", "mlm"])
-                .agg(F.max(value)))
+                .agg(F.max(value))
+                .orderBy("group_name", F.col("holistic").asc_nulls_last(), "idx"))
 
 
 def method_pivot_duplicates(wide: DataFrame, prefix: str) -> DataFrame:

@@ -74,7 +74,8 @@ def phenomenon_over_reps(long: DataFrame, suite: str = "zorro", how: str = "mean
         w = F.lit(1.0)
     overall = exact_weighted_mean("value", w)
     return (per.groupBy("model", "corpora", "scoring_method")
-               .agg(round_half_even(overall, 1).alias("overall")))
+               .agg(round_half_even(overall, 1).alias("overall"))
+               .orderBy(F.col("overall").asc_nulls_last(), "model", "corpora", "scoring_method"))
 
 
 def replication_summary(wide: DataFrame) -> DataFrame:
@@ -84,7 +85,8 @@ def replication_summary(wide: DataFrame) -> DataFrame:
         round_half_even(F.min("overall"), 1).alias("min"),
         round_half_even(F.max("overall"), 1).alias("max"),
         round_half_even(exact_avg("overall"), 1).alias("mean"),
-        F.count("overall").alias("count"))
+        F.count("overall").alias("count")).orderBy(F.col("mean").asc_nulls_last(), "model", "corpora",
+                                                   "scoring_method")
 
 
 def replication_rollup(wide: DataFrame) -> DataFrame:

@@ -887,7 +887,7 @@ REGISTRY_SQL = f"""{FX6}, {PARAMS_SQL},
 pre as (select * from (values {', '.join('(' + ', '.join(_sql_val(x) for x in r) + ')' for r in PRETRAINED_MODELS)})
         t(name, corpora, rep, path, case_sensitive, trained_on_lower_cased_data)),
 lab as (select param_name, {_label_case()} as corpora from par),
-tr as (select 'BabyBERTa' as name, lab.corpora,
+tr as (select '{RG.TRAINED_MODEL_NAME}' as name, lab.corpora,
               cast(row_number() over (partition by fx6.param_name order by path) - 1 as int) as rep, path,
               false as case_sensitive, true as trained_on_lower_cased_data
        from fx6 left join lab using (param_name) where regexp_matches(path, '{SAVES_RE}')),

@@ -50,6 +50,9 @@ CORPORA_LABELS = [
     (["wikipedia3", "aonewsela"], "reversed", "Wikipedia-3+AO-Newsela reversed"),
 ]
 
+# FIXED VALUES: model name given to runs trained from parameter sets.
+TRAINED_MODEL_NAME = "BabyBERTa"
+
 # FIXED VALUES: checkpoint directory name fragment -> corpora label.
 CHECKPOINT_CORPORA = [("AO-CHILDES", "AO-CHILDES"), ("Wikipedia-1", "Wikipedia-1")]
 
@@ -122,7 +125,7 @@ def trained_registry(runs: DataFrame, params: DataFrame) -> DataFrame:
     p = params.select("param_name", corpora_label(F.col("corpora"), F.col("training_order"),
                                                   F.col("consecutive_masking")).alias("corpora"))
     return numbered.join(F.broadcast(p), "param_name", "left").select(
-        F.lit("BabyBERTa").alias("name"), "corpora", F.col("rep").cast("int").alias("rep"), "path",
+        F.lit(TRAINED_MODEL_NAME).alias("name"), "corpora", F.col("rep").cast("int").alias("rep"), "path",
         F.lit(False).alias("case_sensitive"), F.lit(True).alias("trained_on_lower_cased_data"))
 
 
