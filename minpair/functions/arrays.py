@@ -12,18 +12,23 @@ def _col(c) -> Column:
 
 
 def log_norm(logits) -> Column:
-    """log(sum(exp(x))) computed stably as max + log(sum(exp(x - max)))."""
+    """log(sum(exp(x))), stable and in one pass: the accumulator carries the
+    running maximum m and sum(exp(x - m)), rescaled when m grows."""
     x = _col(logits)
-    m = F.array_max(x)
-    return m + F.ln(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - m)))
+    init = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(acc, v):
+        m = F.greatest(acc["m"], v)
+        return F.struct(m.alias("m"), (acc["s"] * F.exp(acc["m"] - m) + F.exp(v - m)).alias("s"))
+
+    return F.aggregate(x, init, step, lambda acc: acc["m"] + F.ln(acc["s"]))
 
 
 def log_softmax(logits) -> Column:
-    """X - max - ln(sum(exp(x - max))), element-wise."""
+    """X - logsumexp(x), element-wise. The normaliser is evaluated once per
+    row (as an argument, not inside the lambda), so the cost is linear."""
     x = _col(logits)
-    m = F.array_max(x)
-    lse = F.ln(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - m)))
-    return F.transform(x, lambda v: v - m - lse)
+    return F.zip_with(x, F.array_repeat(log_norm(x), F.size(x)), lambda v, c: v - c)
 
 
 def label_gather(values, label) -> Column:
