@@ -61,3 +61,21 @@ def holistic_from_token_loss(token_loss: DataFrame, keys: list[str], pos: str =
     agg = F.avg(loss) if pooling == "mean" else F.sum(loss)
     return (token_loss.where(F.col(pos) < F.col(valid_length))
                       .groupBy(*keys).agg(agg.alias("score")))
+
+
+def both_scores(model: "cm.CountModel", sentences: DataFrame, keys: list[str],
+                text_col: str = "sentence", max_tokens: int | None = MLM_MAX_TOKENS) -> DataFrame:
+    """MLM and holistic scores from one token pass and one aggregation, in
+    long form: keys + (scoring_method, score).
+
+    mlm: sum of log P, 0.0 without tokens or above ``max_tokens``
+    (boundaries included); holistic: mean of -log P, NULL without tokens.
+    """
+    toks = cm.token_logprobs(model, sentences, text_col, keys, outer=True, max_tokens=None)
+    agg = toks.groupBy(*keys).agg(F.sum("logprob").alias("_sum"), F.avg(-F.col("logprob")).alias("_mean"),
+                                  F.count("t").alias("_n"))
+    ok = F.lit(True) if max_tokens is None else (F.col("_n") + 2 <= F.lit(int(max_tokens)))
+    mlm = F.when(ok, F.coalesce(F.col("_sum"), F.lit(0.0))).otherwise(F.lit(0.0))
+    sides = F.array(F.struct(F.lit("mlm").alias("scoring_method"), mlm.alias("score")),
+                    F.struct(F.lit("holistic").alias("scoring_method"), F.col("_mean").alias("score")))
+    return agg.select(*keys, F.inline(sides))

@@ -802,9 +802,8 @@ select scoring_method, paradigm, count(*) as n_pairs,
 from pr group by all""")
 def q_paradigm_acc(spark, sf_dir):
     m = fl.fitted_model(spark, sf_dir)
-    mlm = fl.flagship_scores(spark, sf_dir, "mlm", model=m).withColumn("scoring_method", F.lit("mlm"))
-    hol = fl.flagship_scores(spark, sf_dir, "holistic", model=m).withColumn("scoring_method", F.lit("holistic"))
-    return ACC.pair_accuracy(mlm.unionByName(hol), "scoring_method", keys=["scoring_method"])
+    scores = SC.both_scores(m, fx.minimal_pairs(spark, sf_dir), ["paradigm", "line_no"])
+    return ACC.pair_accuracy(scores, "scoring_method", keys=["scoring_method"])
 
 
 @register("pll_with_zero_default", f"""with {model_ctes('word')}, {FX5},
