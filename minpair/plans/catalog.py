@@ -754,7 +754,7 @@ def word_model(spark, sf_dir):
 
 @register("count_mlm_fit", f"with {model_ctes('char')}\nselect l, t, r, c_ltr from tri")
 def q_fit(spark, sf_dir):
-    return fl.fitted_model(spark, sf_dir).trigrams
+    return fl.fitted_model(spark, sf_dir).trigrams.select("l", "t", "r", "c_ltr")
 
 
 @register("count_mlm_token_scores", f"""with {model_ctes('char')},
@@ -1097,3 +1097,26 @@ def q_stream_scores(spark, sf_dir):
     SR.run_to_completion(q)
     s = SS.current_scores(spark, sink, ["sent_id"])
     return s.select("sent_id", r4(F.col("score")).alias("score"), "n_tokens")
+
+
+# ---------------------------------------------------------------------------
+# Pseudo-log-likelihood per document (word tokens, whole texts)
+# ---------------------------------------------------------------------------
+
+@register("document_pll", f"""with {model_ctes('word')},
+lines as (select doc_id, line as sentence from (
+            select doc_id, unnest(string_split(lower(text), chr(10))) as line from documents) where line <> ''),
+{count_model_token_scores('lines', 'doc_id', None, 'word')}
+select d.doc_id, coalesce(s.n_tokens, 0) as n_tokens, round(coalesce(s.pll, 0.0), 4) as pll
+from documents d left join (select doc_id, count(*) as n_tokens, sum(logprob) as pll from q_lp group by 1) s
+  using (doc_id)""")
+def q_document_pll(spark, sf_dir):
+    from minpair.sources.tables import read_table
+    lines = fx.training_lines(spark, sf_dir)
+    model = CM.fit(lines, "sentence", "word")
+    toks = CM.token_logprobs(model, lines, "sentence", ["doc_id"], outer=False)
+    per_doc = toks.groupBy("doc_id").agg(F.count("t").alias("n_tokens"), F.sum("logprob").alias("pll"))
+    docs = read_table(spark, sf_dir, "documents", "doc_id")
+    return docs.join(per_doc, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
+        r4(F.coalesce("pll", F.lit(0.0))).alias("pll"))
