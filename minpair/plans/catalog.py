@@ -355,7 +355,7 @@ w as (select q.*, min(case when x >= q1 - 1.5 * (q3 - q1) then x end) as lo,
       group by all)
 select group_name, n, round(mean, 4) as mean, round(q1, 4) as q1, round(median, 4) as median, round(q3, 4) as q3,
        round(case when lo is null or lo > q1 then q1 else lo end, 4) as whislo,
-       round(case when hi is null or hi < q3 then q3 else hi end, 4) as whishi, 50.0 as chance
+       round(case when hi is null or hi < q3 then q3 else hi end, 4) as whishi, cast(50.0 as double) as chance
 from w""")
 def q_box(spark, sf_dir):
     return _r4_cols(SM.box_stats(fx.results_long(spark, sf_dir), "holistic"),
@@ -737,7 +737,7 @@ def q_buckets(spark, sf_dir):
 
 @register("bucket_stats", f"""with {VOCAB_SQL}, {BUCKET_SQL},
 pb as (select bucket, shard, batch_in_shard, count(*) as n, max(n_ids) as mx, sum(n_ids) as tot from bt group by all)
-select bucket, sum(n) as n_rows, count(*) as n_batches, round(1.0 - sum(tot) / sum(n * mx), 4) as padding_share
+select bucket, cast(sum(n) as bigint) as n_rows, count(*) as n_batches, round(1.0 - sum(tot) / sum(n * mx), 4) as padding_share
 from pb group by bucket""")
 def q_bucket_stats(spark, sf_dir):
     s = BT.bucket_stats(_buckets(spark, sf_dir), "n_ids")

@@ -74,3 +74,13 @@ def test_evaluation_grid(spark):
     assert g.count() == 12
     with pytest.raises(ValueError):
         evaluation_grid(models, ["bogus"], paradigms)
+
+
+def test_long_wide_long_identity(spark):
+    from minpair.operators.results import KEYS, results_unpivot, results_wide
+    rows = [("m", "c", 0, "m/c/0", "mlm", p, float(i)) for i, p in enumerate(["a", "b", "c"])]
+    rows += [("m", "c", 1, "m/c/1", "mlm", "a", 7.0)]
+    long = spark.createDataFrame(rows, "model string, corpora string, rep int, path string, "
+                                       "scoring_method string, paradigm string, accuracy double")
+    back = results_unpivot(results_wide(long, ["a", "b", "c"]), ["a", "b", "c"]).where("accuracy is not null")
+    assert sorted(map(tuple, back.select(*KEYS, "paradigm", "accuracy").collect())) == sorted(rows)
