@@ -21,6 +21,16 @@ CHANCE = 50.0
 MISSING = ("skip", "propagate")
 
 
+def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose grouping keys are all present (grouping like pandas, which
+    drops rows with a missing key, rather than SQL, which groups NULLs)."""
+    cond = None
+    for k in keys:
+        c = F.col(k).isNotNull()
+        cond = c if cond is None else cond & c
+    return df.where(cond) if cond is not None else df
+
+
 def _mean(c: str, missing: str) -> Column:
     if missing not in MISSING:
         raise ValueError(f"missing must be one of {MISSING}")
@@ -59,7 +69,7 @@ def phenomenon_over_reps(long: DataFrame, suite: str = "zorro", how: str = "mean
         raise ValueError("how must be 'mean' or 'max'")
     if weighting not in ("paradigm", "phenomenon"):
         raise ValueError("weighting must be 'paradigm' or 'phenomenon'")
-    ph = phenomenon_accuracy(long, suite)
+    ph = _keyed(phenomenon_accuracy(long, suite), ["model", "corpora", "scoring_method"])
     agg = exact_avg("accuracy") if how == "mean" else F.max("accuracy")
     per = ph.groupBy("model", "corpora", "scoring_method", "phenomenon").agg(agg.alias("value"))
     counts: dict[str, int] = {}
@@ -81,7 +91,7 @@ def phenomenon_over_reps(long: DataFrame, suite: str = "zorro", how: str = "mean
 def replication_summary(wide: DataFrame) -> DataFrame:
     """min / max / mean / count of ``overall`` per (model, corpora, method),
     rounded to 1 (count is the non-null count)."""
-    return wide.groupBy("model", "corpora", "scoring_method").agg(
+    return _keyed(wide, ["model", "corpora", "scoring_method"]).groupBy("model", "corpora", "scoring_method").agg(
         round_half_even(F.min("overall"), 1).alias("min"),
         round_half_even(F.max("overall"), 1).alias("max"),
         round_half_even(exact_avg("overall"), 1).alias("mean"),
@@ -100,13 +110,14 @@ def replication_rollup(wide: DataFrame) -> DataFrame:
 
 
 def with_group(long: DataFrame) -> DataFrame:
-    """K4/F14 column."""
-    return long.withColumn("group_name", group_name("model", "corpora"))
+    """K4/F14 column; rows without a group name (missing model or corpora)
+    are dropped, as a grouping by group name would."""
+    return _keyed(long.withColumn("group_name", group_name("model", "corpora")), ["group_name"])
 
 
 def group_names(long: DataFrame) -> DataFrame:
     """distinct group names."""
-    return with_group(long).select("group_name").where(F.col("group_name").isNotNull()).distinct()
+    return with_group(long).select("group_name").distinct()
 
 
 def rep_means(long: DataFrame, method: str, missing: str = "skip") -> DataFrame:
@@ -181,6 +192,6 @@ def best_replication(wide: DataFrame) -> DataFrame:
     """I4: per (model, corpora, method), the replication with the highest
     overall; ties go to the higher rep, then the later path."""
     best = F.max(F.struct("overall", "rep", "path"))
-    return (wide.groupBy("model", "corpora", "scoring_method").agg(best.alias("_b"))
+    return (_keyed(wide, ["model", "corpora", "scoring_method"]).groupBy("model", "corpora", "scoring_method").agg(best.alias("_b"))
                 .select("model", "corpora", "scoring_method", F.col("_b.overall").alias("best_overall"),
                         F.col("_b.rep").alias("best_rep"), F.col("_b.path").alias("best_path")))

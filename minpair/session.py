@@ -38,22 +38,32 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     checkpoint_dir(spark)
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory, setting a local one only if unset."""
+    sc = _context(spark)
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
     if not configured:
         # Local runs only: a cluster launcher is expected to provide a shared path.
         configured = tempfile.mkdtemp(prefix="minpair-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
+    if sc is None:
+        return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

@@ -22,6 +22,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Path existence through the Hadoop file system of the session (any
+    scheme); plain local check when there is no JVM gateway."""
+    try:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path))
+    except Exception:  # noqa: BLE001
+        import os
+        return os.path.exists(path)
+
+
 def write_results_csv(wide: DataFrame, path: str) -> None:
     """A5: wide results as CSV with a header, no index column."""
     wide.write.mode("overwrite").option("header", True).csv(path)
@@ -31,9 +42,7 @@ def read_results_csv(spark: SparkSession, path: str, schema: T.StructType | None
                      missing_ok: bool = True) -> DataFrame:
     """A4: read results CSV; an absent path gives an empty frame with
     ``schema`` when ``missing_ok`` (scorer), else raises (summaries)."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
+    if not _exists(spark, path):
         if missing_ok and schema is not None:
             return spark.createDataFrame([], schema)
         raise FileNotFoundError(f"Did not find {path}")

@@ -26,7 +26,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     columns) is deterministic on retry without the sort that round-robin
     repartitioning needs.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave as is
         return df
     return df.repartition(cores, *(keys or df.columns))

@@ -66,3 +66,12 @@ def test_phenomenon_weighting(spark):
     by_par = SM.phenomenon_over_reps(long, weighting="paradigm").collect()[0]["overall"]
     by_ph = SM.phenomenon_over_reps(long, weighting="phenomenon").collect()[0]["overall"]
     assert by_par == round((60 * 4 + 90 * 1) / 5, 1) and by_ph == 75.0
+
+
+def test_missing_keys_are_dropped_like_pandas(spark):
+    long = _long(spark, [("M", None, 0, "p0", "holistic", "irregular-verb", 80.0),
+                         ("M", "C", 0, "p1", "holistic", "irregular-verb", 60.0)])
+    assert [r["group_name"] for r in SM.group_names(long).collect()] == ["M+C"]
+    r = SM.margin_of_error_reps(long, "holistic").collect()
+    assert len(r) == 1 and r[0]["accuracy"] == 60.0
+    assert SM.phenomenon_over_reps(long.where("corpora is null or corpora = 'C'")).count() == 1
