@@ -1120,3 +1120,63 @@ def q_document_pll(spark, sf_dir):
     return docs.join(per_doc, "doc_id", "left").select(
         "doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
         r4(F.coalesce("pll", F.lit(0.0))).alias("pll"))
+
+
+# ---------------------------------------------------------------------------
+# All models x both methods x all paradigms in one plan (score-everything entry)
+# ---------------------------------------------------------------------------
+
+from minpair.plans import evaluate as EV  # noqa: E402
+
+FX1_PARADIGMS = [f"p{i}" for i in range(fx.N_SUITE_PARADIGMS)]
+
+
+def _eval_sql() -> str:
+    parts = []
+    for prefix, unit, name in (("c_", "char", "count-char"), ("w_", "word", "count-word")):
+        parts.append(model_ctes(unit, prefix))
+        parts.append(count_model_token_scores("pairs", "paradigm, line_no", None, unit, prefix))
+        sep = "''" if unit == "char" else "' '"
+        parts.append(f"""{prefix}s as (
+  select p.paradigm, p.line_no,
+         case when len(string_split(p.sentence, {sep})) + 2 <= 1024 then coalesce(sum(q.logprob), 0.0) else 0.0 end as mlm,
+         avg(-q.logprob) as holistic
+  from pairs p left join {prefix}q_lp q on p.paradigm = q.paradigm and p.line_no = q.line_no
+  group by p.paradigm, p.line_no, p.sentence),
+{prefix}scores as (
+  select '{name}' as model, 'documents' as corpora, 0 as rep, 'count/{unit}' as path, 'mlm' as scoring_method,
+         paradigm, line_no, mlm as score from {prefix}s
+  union all
+  select '{name}', 'documents', 0, 'count/{unit}', 'holistic', paradigm, line_no, holistic from {prefix}s)""")
+    cells = ",\n       ".join(f"max(case when paradigm = '{p}' then accuracy end) as \"{p}\"" for p in FX1_PARADIGMS)
+    return f"""with {FX1},
+pairs as (
+  select paradigm, 2 * line_no as line_no, lower(sentence) as sentence from fx1
+  union all
+  select paradigm, 2 * line_no + 1,
+         concat(substr(s, 1, k - 1), substr(s, k + 1, 1), substr(s, k, 1), substr(s, k + 2))
+  from (select paradigm, line_no, lower(sentence) as s, cast(floor(length(lower(sentence)) / 2) as int) as k from fx1)),
+{','.join(parts)},
+scores as (select * from c_scores union all select * from w_scores),
+pr as (select model, corpora, rep, path, scoring_method, paradigm, line_no // 2 as pair_id,
+              max(case when line_no % 2 = 0 then score end) as good, max(case when line_no % 2 = 1 then score end) as bad
+       from scores group by all),
+acc as (select model, corpora, rep, path, scoring_method, paradigm,
+               round(cast(count(case when not isnan(good) and not isnan(bad) and
+                     ((scoring_method = 'mlm' and round(good, 6) > round(bad, 6)) or
+                      (scoring_method = 'holistic' and round(good, 6) < round(bad, 6))) then 1 end) as double)
+                     / cast(count(*) as double) * 100.0, 4) as accuracy
+        from pr group by all)
+select model, corpora, rep, path, scoring_method,
+       {cells},
+       round_even(cast(avg(cast(accuracy as decimal(38,10))) as double) * 100.0, 0) / 100.0 as overall
+from acc group by model, corpora, rep, path, scoring_method"""
+
+
+@register("evaluate_models", _eval_sql())
+def q_evaluate(spark, sf_dir):
+    lines = fx.minimal_pairs(spark, sf_dir)
+    train = fx.training_lines(spark, sf_dir)
+    models = [EV.ScoredModel("count-char", "documents", 0, "count/char", CM.fit(train, "sentence", "char")),
+              EV.ScoredModel("count-word", "documents", 0, "count/word", CM.fit(train, "sentence", "word"))]
+    return EV.evaluate(models, lines, FX1_PARADIGMS)

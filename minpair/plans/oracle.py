@@ -64,19 +64,21 @@ def _sep(unit: str) -> str:
     return "''" if unit == "char" else "' '"
 
 
-def model_ctes(unit: str = "char") -> str:
-    """CTEs train, tri (l,t,r,c_ltr), ctx (l,r,c_lr), uni (t,c_t), tot (n, v)."""
-    return f"""train as (
+def model_ctes(unit: str = "char", prefix: str = "") -> str:
+    """CTEs train, tri (l,t,r,c_ltr), ctx (l,r,c_lr), uni (t,c_t), tot (n, v),
+    each name preceded by ``prefix``."""
+    p = prefix
+    return f"""{p}train as (
   select line as sentence from (select unnest(string_split(lower(text), chr(10))) as line from documents)
   where line <> ''),
-train_tok as (
-  select ['<s>'] || string_split(sentence, {_sep(unit)}) || ['</s>'] as a from train),
-tri as (
+{p}train_tok as (
+  select ['<s>'] || string_split(sentence, {_sep(unit)}) || ['</s>'] as a from {p}train),
+{p}tri as (
   select a[i] as l, a[i + 1] as t, a[i + 2] as r, count(*) as c_ltr
-  from (select a, unnest(range(1, len(a) - 1)) as i from train_tok) group by 1, 2, 3),
-ctx as (select l, r, sum(c_ltr) as c_lr from tri group by 1, 2),
-uni as (select t, sum(c_ltr) as c_t from tri group by 1),
-tot as (select cast(sum(c_t) as double) as n, cast(count(*) + 1 as double) as v from uni)"""
+  from (select a, unnest(range(1, len(a) - 1)) as i from {p}train_tok) group by 1, 2, 3),
+{p}ctx as (select l, r, sum(c_ltr) as c_lr from {p}tri group by 1, 2),
+{p}uni as (select t, sum(c_ltr) as c_t from {p}tri group by 1),
+{p}tot as (select cast(sum(c_t) as double) as n, cast(count(*) + 1 as double) as v from {p}uni)"""
 
 
 FX7_TRAIN = model_ctes("char")
@@ -90,28 +92,34 @@ pairs as (
   from (select paradigm, line_no, lower(sentence) as s, cast(floor(length(lower(sentence)) / 2) as int) as k from fx1))"""
 
 
-LOGPROB_SQL = """ln(0.5 * coalesce(cast(tri.c_ltr as double) / ctx.c_lr, 0.0)
-               + 0.5 * (cast(coalesce(uni.c_t, 0) as double) + 1.0) / (tot.n + tot.v))"""
+def logprob_sql(prefix: str = "") -> str:
+    p = prefix
+    return f"""ln(0.5 * coalesce(cast({p}tri.c_ltr as double) / {p}ctx.c_lr, 0.0)
+               + 0.5 * (cast(coalesce({p}uni.c_t, 0) as double) + 1.0) / ({p}tot.n + {p}tot.v))"""
+
+
+LOGPROB_SQL = logprob_sql()
 
 
 def count_model_token_scores(source: str, keys: str, max_tokens: int | None = 1024,
-                             unit: str = "char") -> str:
+                             unit: str = "char", prefix: str = "") -> str:
     """CTEs q_tok (keys, pos, l, t, r) and q_lp (keys, pos, ..., logprob) for
-    sentences in CTE ``source`` (columns keys + sentence)."""
-    sep = _sep(unit)
+    sentences in CTE ``source`` (columns keys + sentence); names preceded by
+    ``prefix``, model CTEs with the same prefix."""
+    sep, p = _sep(unit), prefix
     guard = f"and len(string_split(sentence, {sep})) + 2 <= {max_tokens}" if max_tokens else ""
-    return f"""q_tok as (
+    return f"""{p}q_tok as (
   select {keys}, i - 1 as pos, a[i] as l, a[i + 1] as t, a[i + 2] as r
   from (select {keys}, a, unnest(range(1, len(a) - 1)) as i
         from (select {keys}, ['<s>'] || string_split(sentence, {sep}) || ['</s>'] as a
               from {source} where sentence <> '' {guard}))),
-q_lp as (
-  select q.*, {LOGPROB_SQL} as logprob
-  from q_tok q
-  left join tri on q.l = tri.l and q.t = tri.t and q.r = tri.r
-  left join ctx on q.l = ctx.l and q.r = ctx.r
-  left join uni on q.t = uni.t
-  cross join tot)"""
+{p}q_lp as (
+  select q.*, {logprob_sql(p)} as logprob
+  from {p}q_tok q
+  left join {p}tri on q.l = {p}tri.l and q.t = {p}tri.t and q.r = {p}tri.r
+  left join {p}ctx on q.l = {p}ctx.l and q.r = {p}ctx.r
+  left join {p}uni on q.t = {p}uni.t
+  cross join {p}tot)"""
 
 
 def pair_accuracy_sql(source: str, keys: str = "", method: str = "mlm") -> str:
