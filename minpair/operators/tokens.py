@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from minpair.functions.tokens import (BOS_ID, EOS_ID, FIRST_FREE_ID, MASK_ID, RESERVED_TOKENS,
                                       UNK_ID, split_tokens)
 from minpair.operators.ranking import range_row_number
-from minpair.session import durable_checkpoint
 from minpair.sources.tables import spread
 
 # Vocabularies up to this many entries (counted when built) are broadcast.
@@ -56,7 +55,8 @@ def vocab_build(sentences: DataFrame, text_col: str = "sentence", unit: str = "w
                               name="token_id", base=FIRST_FREE_ID)
     reserved = sentences.sparkSession.createDataFrame(
         [(t, i, 0) for i, t in RESERVED_TOKENS], "token string, token_id long, count long")
-    table = durable_checkpoint(ranked.select("token", "token_id", "count").unionByName(reserved))
+    # ranks come from a checkpointed table; the union with the reserved ids is cheap
+    table = ranked.select("token", "token_id", "count").unionByName(reserved)
     return Vocabulary(table, table.count(), unit)
 
 
@@ -103,7 +103,7 @@ def masked_copies(encoded: DataFrame, keys: list[str], ids_col: str = "token_ids
     the count model never calls it.
     """
     src = encoded if max_len is None else encoded.where(F.size(ids_col) <= max_len)
-    ex =src.select(*keys, ids_col, F.posexplode(ids_col).alias("mask_pos", "label"))
+    ex = src.select(*keys, ids_col, F.posexplode(ids_col).alias("mask_pos", "label"))
     ex = ex.where((F.col("mask_pos") > 0) & (F.col("mask_pos") < F.size(ids_col) - 1))
     masked = F.transform(ids_col, lambda x, i: F.when(i == F.col("mask_pos"), F.lit(MASK_ID).cast("long"))
                          .otherwise(x))

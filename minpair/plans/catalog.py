@@ -807,11 +807,12 @@ def q_paradigm_acc(spark, sf_dir):
 
 
 @register("pll_with_zero_default", f"""with {model_ctes('word')}, {FX5},
-{count_model_token_scores('fx5', 'sent_id', 40, 'word')}
+{count_model_token_scores('fx5', 'sent_id', 1024, 'word')}
 select f.sent_id, round(coalesce(s.score, 0.0), 4) as score
 from fx5 f left join (select sent_id, sum(logprob) as score from q_lp group by 1) s using (sent_id)""")
 def q_pll_zero(spark, sf_dir):
-    s = SC.mlm_scores(word_model(spark, sf_dir), fx.sentences(spark, sf_dir), ["sent_id"], max_tokens=40)
+    s = SC.mlm_scores(word_model(spark, sf_dir), fx.sentences(spark, sf_dir), ["sent_id"],
+                      max_tokens=SC.MLM_MAX_TOKENS)
     return s.withColumn("score", r4(F.col("score")))
 
 

@@ -61,7 +61,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         # Local runs only: a cluster launcher is expected to provide a shared path.
         configured = tempfile.mkdtemp(prefix="minpair-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", configured)
+        try:
+            spark.conf.set("spark.checkpoint.dir", configured)
+        except Exception:  # noqa: BLE001 - core conf not settable here; the context keeps it
+            pass
     if sc is None:
         return configured
     sc.setCheckpointDir(configured)
