@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 _WORKER_MODELS: dict[str, object] = {}
+_SHIPPED: set[str] = set()
 
 # FIXED VALUES: only unscaled probabilities are supported.
 SUPPORTED_TEMPERATURE = 1.0
@@ -39,6 +40,34 @@ def check_temperature(temperature: float) -> float:
     return float(temperature)
 
 
+def ship_package(spark) -> None:
+    """Make this package importable in the Python workers (once per
+    application): the scorer and its helpers are pickled by reference. The
+    zip is built on the driver and distributed by Spark (``addPyFile``)."""
+    import os
+    import tempfile
+    import zipfile
+
+    import minpair
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no context (Spark Connect): rely on the environment
+        return
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(minpair.__file__))
+    fd, path = tempfile.mkstemp(prefix="minpair-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def run_scorer(df: DataFrame, scorer: Scorer, keys: list[str], temperature: float = 1.0,
                out_col: str = "logprob") -> DataFrame:
     """keys + ``out_col`` for every input row, computed by ``scorer``.
@@ -49,6 +78,7 @@ def run_scorer(df: DataFrame, scorer: Scorer, keys: list[str], temperature: floa
     shuffle).
     """
     check_temperature(temperature)
+    ship_package(df.sparkSession)
     key_fields = [f for f in df.schema.fields if f.name in keys]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_fields) + f", {out_col} double"
     src = df.sortWithinPartitions("valid_length") if "valid_length" in df.columns else df
