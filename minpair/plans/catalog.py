@@ -1181,3 +1181,33 @@ def q_evaluate(spark, sf_dir):
     models = [EV.ScoredModel("count-char", "documents", 0, "count/char", CM.fit(train, "sentence", "char")),
               EV.ScoredModel("count-word", "documents", 0, "count/word", CM.fit(train, "sentence", "word"))]
     return EV.evaluate(models, lines, FX1_PARADIGMS)
+
+
+# ---------------------------------------------------------------------------
+# The 67-paradigm suite: FX4 paradigm i is the suite's i-th file
+# ---------------------------------------------------------------------------
+
+from minpair.functions.numeric import exact_avg  # noqa: E402
+from minpair.sources.dims import BLIMP_PARADIGMS  # noqa: E402
+
+BLIMP = [p for p, _ in BLIMP_PARADIGMS]
+BDIM_SQL = "bdim as (select * from (values " + ", ".join(
+    f"('{p}', '{ph}')" for p, ph in BLIMP_PARADIGMS) + ") t(paradigm, phenomenon))"
+
+
+@register("blimp_phenomenon_accuracy", f"""with {FX4},
+{sql.pair_accuracy_sql('fx4', method='mlm')},
+named as (select {sql._str_list(BLIMP)}[cast(substr(paradigm, 2) as int) + 1] as paradigm,
+                 round(cast(n_correct as double) / cast(n_pairs as double) * 100.0, 4) as accuracy from acc),
+{BDIM_SQL}
+select phenomenon, count(*) as n_paradigms,
+       round_even(cast(avg(cast(accuracy as decimal(38,10))) as double) * 10.0, 0) / 10.0 as accuracy
+from named join bdim using (paradigm) group by phenomenon""")
+def q_blimp_ph(spark, sf_dir):
+    acc = ACC.pair_accuracy(fx.pair_scores(spark, sf_dir), "mlm")
+    names = F.array(*[F.lit(p) for p in BLIMP])
+    idx = F.substring("paradigm", 2, 10).cast("int")
+    named = acc.select(F.element_at(names, idx + 1).alias("paradigm"), "accuracy")
+    j = RS.phenomenon_join(named, "blimp")
+    return j.groupBy("phenomenon").agg(F.count(F.lit(1)).alias("n_paradigms"),
+                                       TX.round_half_even(exact_avg("accuracy"), 1).alias("accuracy"))
