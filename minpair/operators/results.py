@@ -19,7 +19,7 @@ from minpair.sources.dims import phenomena
 KEYS = ["model", "corpora", "rep", "path", "scoring_method"]
 
 
-def phenomenon_join(long: DataFrame, suite: str = "zorro") -> DataFrame:
+def phenomenon_join(long: DataFrame, suite: str = "suite23") -> DataFrame:
     """Add ``phenomenon`` by equi-join on the paradigm file name."""
     dim = phenomena(long.sparkSession, suite).select("paradigm", "phenomenon")
     return long.join(F.broadcast(dim), "paradigm", "inner")

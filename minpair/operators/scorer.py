@@ -1,6 +1,6 @@
 """User-supplied models, run where the data is.
 
-A ``Scorer`` turns a pandas batch of masked or unmasked inputs into one log
+A ``Scorer`` turns a pandas batch of masked or plain inputs into one log
 probability per row. ``run_scorer`` runs it with ``mapInPandas``: Arrow
 batches in, Arrow batches out, one model instance per Python worker (built
 on first use by ``prepare``), and only (keys, logprob) leave the worker: the

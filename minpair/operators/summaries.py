@@ -49,14 +49,14 @@ def margin_of_error(values: str) -> list[Column]:
     return [exact_avg(values).alias("accuracy"), n.alias("n"), h.alias("margin")]
 
 
-def phenomenon_accuracy(long: DataFrame, suite: str = "zorro", keys: list[str] = KEYS) -> DataFrame:
+def phenomenon_accuracy(long: DataFrame, suite: str = "suite23", keys: list[str] = KEYS) -> DataFrame:
     """mean accuracy of a phenomenon's paradigms per result row, rounded
     to 1 decimal half-even."""
     j = phenomenon_join(long, suite)
     return j.groupBy(*keys, "phenomenon").agg(round_half_even(exact_avg("accuracy"), 1).alias("accuracy"))
 
 
-def phenomenon_over_reps(long: DataFrame, suite: str = "zorro", how: str = "mean",
+def phenomenon_over_reps(long: DataFrame, suite: str = "suite23", how: str = "mean",
                          weighting: str = "paradigm") -> DataFrame:
     """per (model, corpora, method): each phenomenon's mean (or max)
     over replications, then the overall mean across phenomena, rounded to 1.
@@ -180,7 +180,7 @@ def box_stats(long: DataFrame, method: str) -> DataFrame:
                     whishi.alias("whishi"), F.lit(CHANCE).alias("chance"))
 
 
-def phenomenon_paradigms(long: DataFrame, suite: str = "zorro") -> DataFrame:
+def phenomenon_paradigms(long: DataFrame, suite: str = "suite23") -> DataFrame:
     """phenomenon -> its paradigms present in the results, sorted, joined by ', '."""
     j = phenomenon_join(long.select("paradigm").distinct(), suite)
     return j.groupBy("phenomenon").agg(

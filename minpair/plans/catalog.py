@@ -23,14 +23,14 @@ from minpair.plans import flagship as fl
 from minpair.plans import oracle as sql
 from minpair.plans.oracle import FX1, FX2, FX3, FX4
 from minpair.sources import fixtures as fx
-from minpair.sources.dims import T_CRITICAL_090, ZORRO_PARADIGMS
+from minpair.sources.dims import T_CRITICAL_090, SUITE23_PARADIGMS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
-ZORRO = [p for p, _ in ZORRO_PARADIGMS]
+SUITE23 = [p for p, _ in SUITE23_PARADIGMS]
 KEYS = RS.KEYS
 KEYS_SQL = ", ".join(KEYS)
 
@@ -95,7 +95,7 @@ def q_pair_acc_hol(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 ZDIM_SQL = "zdim as (select * from (values " + ", ".join(
-    f"('{p}', '{ph}', {i})" for i, (p, ph) in enumerate(ZORRO_PARADIGMS)) + ") t(paradigm, phenomenon, paradigm_index))"
+    f"('{p}', '{ph}', {i})" for i, (p, ph) in enumerate(SUITE23_PARADIGMS)) + ") t(paradigm, phenomenon, paradigm_index))"
 
 
 # exact-decimal mean, as functions.numeric.exact_avg
@@ -103,7 +103,7 @@ XAVG = "cast(avg(cast({} as decimal(38,10))) as double)"
 
 
 def _wide_sql(overall_decimals: int | None = 2) -> str:
-    cells = ",\n       ".join(f"max(case when paradigm = '{p}' then accuracy end) as \"{p}\"" for p in ZORRO)
+    cells = ",\n       ".join(f"max(case when paradigm = '{p}' then accuracy end) as \"{p}\"" for p in SUITE23)
     ov = XAVG.format("accuracy")
     if overall_decimals is not None:
         sc = float(10 ** overall_decimals)
@@ -116,7 +116,7 @@ from fx2 group by {KEYS_SQL})"""
 
 
 def fx2_wide(spark, sf_dir, overall_decimals=2):
-    return RS.results_wide(fx.results_long(spark, sf_dir), ZORRO, overall_decimals=overall_decimals)
+    return RS.results_wide(fx.results_long(spark, sf_dir), SUITE23, overall_decimals=overall_decimals)
 
 
 @register("results_wide", f"with {FX2},\n{_wide_sql()}\nselect * from wide")
@@ -144,9 +144,9 @@ def q_results_keys(spark, sf_dir):
 @register("results_unpivot", f"""with {FX2},
 {_wide_sql()}
 select {KEYS_SQL}, paradigm, accuracy from wide
-unpivot include nulls (accuracy for paradigm in ({', '.join('"' + p + '"' for p in ZORRO)}))""")
+unpivot include nulls (accuracy for paradigm in ({', '.join('"' + p + '"' for p in SUITE23)}))""")
 def q_unpivot(spark, sf_dir):
-    return RS.results_unpivot(fx2_wide(spark, sf_dir), ZORRO)
+    return RS.results_unpivot(fx2_wide(spark, sf_dir), SUITE23)
 
 
 def _old_new(spark, sf_dir):
@@ -167,7 +167,7 @@ def q_dedup(spark, sf_dir):
     return RS.results_dedup(old, new, KEYS + ["paradigm"])
 
 
-_OLD_COLS, _NEW_COLS = ZORRO[:12], ZORRO[8:]
+_OLD_COLS, _NEW_COLS = SUITE23[:12], SUITE23[8:]
 
 
 def _part_wide_sql(name, where, cols, adj):
@@ -231,7 +231,7 @@ def q_ph_acc(spark, sf_dir):
 def _ph_reps_sql(how: str) -> str:
     agg = XAVG.format("accuracy") if how == "avg" else "max(accuracy)"
     counts: dict[str, int] = {}
-    for _, p in ZORRO_PARADIGMS:
+    for _, p in SUITE23_PARADIGMS:
         counts[p] = counts.get(p, 0) + 1
     wsql = "(values " + ", ".join(f"('{k}', {float(v)})" for k, v in counts.items()) + ") w(phenomenon, w)"
     return f"""with {FX2}, {ZDIM_SQL},
@@ -1188,26 +1188,26 @@ def q_evaluate(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 from minpair.functions.numeric import exact_avg  # noqa: E402
-from minpair.sources.dims import BLIMP_PARADIGMS  # noqa: E402
+from minpair.sources.dims import SUITE67_PARADIGMS  # noqa: E402
 
-BLIMP = [p for p, _ in BLIMP_PARADIGMS]
+SUITE67 = [p for p, _ in SUITE67_PARADIGMS]
 BDIM_SQL = "bdim as (select * from (values " + ", ".join(
-    f"('{p}', '{ph}')" for p, ph in BLIMP_PARADIGMS) + ") t(paradigm, phenomenon))"
+    f"('{p}', '{ph}')" for p, ph in SUITE67_PARADIGMS) + ") t(paradigm, phenomenon))"
 
 
-@register("blimp_phenomenon_accuracy", f"""with {FX4},
+@register("suite67_phenomenon_accuracy", f"""with {FX4},
 {sql.pair_accuracy_sql('fx4', method='mlm')},
-named as (select {sql._str_list(BLIMP)}[cast(substr(paradigm, 2) as int) + 1] as paradigm,
+named as (select {sql._str_list(SUITE67)}[cast(substr(paradigm, 2) as int) + 1] as paradigm,
                  round(cast(n_correct as double) / cast(n_pairs as double) * 100.0, 4) as accuracy from acc),
 {BDIM_SQL}
 select phenomenon, count(*) as n_paradigms,
        round_even(cast(avg(cast(accuracy as decimal(38,10))) as double) * 10.0, 0) / 10.0 as accuracy
 from named join bdim using (paradigm) group by phenomenon""")
-def q_blimp_ph(spark, sf_dir):
+def q_suite67_ph(spark, sf_dir):
     acc = ACC.pair_accuracy(fx.pair_scores(spark, sf_dir), "mlm")
-    names = F.array(*[F.lit(p) for p in BLIMP])
+    names = F.array(*[F.lit(p) for p in SUITE67])
     idx = F.substring("paradigm", 2, 10).cast("int")
     named = acc.select(F.element_at(names, idx + 1).alias("paradigm"), "accuracy")
-    j = RS.phenomenon_join(named, "blimp")
+    j = RS.phenomenon_join(named, "suite67")
     return j.groupBy("phenomenon").agg(F.count(F.lit(1)).alias("n_paradigms"),
                                        TX.round_half_even(exact_avg("accuracy"), 1).alias("accuracy"))

@@ -7,7 +7,7 @@ The fixture definitions are shared CTE snippets below.
 
 from __future__ import annotations
 
-from minpair.sources.dims import BLIMP_PARADIGMS, T_CRITICAL_090, ZORRO_PARADIGMS
+from minpair.sources.dims import SUITE67_PARADIGMS, T_CRITICAL_090, SUITE23_PARADIGMS
 from minpair.functions.text import PHENOMENON_ABBREVIATIONS, TITLE_ABBREVIATIONS
 
 
@@ -15,7 +15,7 @@ def _str_list(items) -> str:
     return "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in items) + "]"
 
 
-ZORRO_NAMES = _str_list([p for p, _ in ZORRO_PARADIGMS])
+SUITE23_NAMES = _str_list([p for p, _ in SUITE23_PARADIGMS])
 
 FX1 = """fx1 as (
   select concat('p', cast(conv_id % 23 as varchar)) as paradigm,
@@ -31,7 +31,7 @@ FX2 = f"""fx2 as (
            concat('c', cast(user_id % 3 as varchar)) as corpora,
            cast(event_id % 4 as int) as rep,
            case when cast(floor(event_id / 4) as bigint) % 2 = 0 then 'mlm' else 'holistic' end as scoring_method,
-           {ZORRO_NAMES}[cast(cast(floor(event_id / 8) as bigint) % 23 as int) + 1] as paradigm,
+           {SUITE23_NAMES}[cast(cast(floor(event_id / 8) as bigint) % 23 as int) + 1] as paradigm,
            max(least(value, 100.0)) as accuracy
     from events group by 1, 2, 3, 4, 5))"""
 

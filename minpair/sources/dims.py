@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 # FIXED VALUES: must equal the published test-suite layout for results to line
 # up. Paradigm file names and their phenomenon, in written order.
 # ---------------------------------------------------------------------------
-BLIMP_PARADIGMS = [
+SUITE67_PARADIGMS = [
     ("anaphor_gender_agreement", "anaphor agreement"),
     ("anaphor_number_agreement", "anaphor agreement"),
     ("animate_subject_passive", "argument structure"),
@@ -84,7 +84,7 @@ BLIMP_PARADIGMS = [
     ("wh_island", "island effects"),
 ]
 
-ZORRO_PARADIGMS = [
+SUITE23_PARADIGMS = [
     ("anaphor_agreement-pronoun_gender", "anaphor agreement"),
     ("argument_structure-dropped_argument", "argument structure"),
     ("argument_structure-swapped_arguments", "argument structure"),
@@ -111,7 +111,7 @@ ZORRO_PARADIGMS = [
 ]
 
 # FIXED VALUES: expected sentences per paradigm file.
-EXPECTED_LINES = {"blimp": 2000, "zorro": 4000}
+EXPECTED_LINES = {"suite67": 2000, "suite23": 4000}
 
 # FIXED VALUES: two-sided Student t critical values at confidence 0.90
 # (upper 0.95 quantile), by degrees of freedom.
@@ -125,7 +125,7 @@ T_CRITICAL_090 = [
     (40, 1.683851), (60, 1.670649), (66, 1.668271), (120, 1.657651),
 ]
 
-SUITES = {"blimp": BLIMP_PARADIGMS, "zorro": ZORRO_PARADIGMS}
+SUITES = {"suite67": SUITE67_PARADIGMS, "suite23": SUITE23_PARADIGMS}
 
 PHENOMENON_SCHEMA = T.StructType([
     T.StructField("suite", T.StringType(), False),

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from minpair.functions.text import paradigm_name, swap_middle_chars
 from minpair.operators.ranking import range_row_number
-from minpair.sources.dims import ZORRO_PARADIGMS
+from minpair.sources.dims import SUITE23_PARADIGMS
 from minpair.sources.tables import read_table
 
 N_SUITE_PARADIGMS = 23
@@ -40,7 +40,7 @@ def suite_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def results_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX2: long accuracy table, one row per (model, corpora, rep, method, paradigm)."""
     ev = read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value")
-    names = F.array(*[F.lit(p) for p, _ in ZORRO_PARADIGMS])
+    names = F.array(*[F.lit(p) for p, _ in SUITE23_PARADIGMS])
     quad = F.floor(F.col("event_id") / 4).cast("long")
     octet = F.floor(F.col("event_id") / 8).cast("long")
     df = ev.select(
