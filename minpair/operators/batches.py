@@ -81,10 +81,10 @@ def stack(df: DataFrame, batch_col: str, seq_col: str, col: str, dtype: str | No
     (batch, stacked, n_rows, shape_ok); ``shape_ok`` is false when sizes differ.
     ``dtype`` casts the elements.
     """
-    value = F.col(col) if dtype is None else F.col(col).cast(
-        T.ArrayType(T._parse_datatype_string(dtype)) if isinstance(df.schema[col].dataType, T.ArrayType)
-        else T._parse_datatype_string(dtype))
     is_arr = isinstance(df.schema[col].dataType, T.ArrayType)
+    value = F.col(col)
+    if dtype is not None:
+        value = value.cast(f"array<{dtype}>" if is_arr else dtype)
     size = F.size(col) if is_arr else F.lit(0)
     return df.groupBy(batch_col).agg(
         _ordered(seq_col, value).alias("stacked"),

@@ -42,9 +42,9 @@ def paradigm_catalog(spark: SparkSession, path: str, glob: str = "*.txt") -> Dat
 def scan_suite(spark: SparkSession, path: str, strict: bool = True, glob: str = "*.txt") -> DataFrame:
     """A1: holistic-style scan: split on '\\n', no stripping.
 
-    (paradigm, line_no, sentence, n_lines, last_empty). With ``strict`` the
-    query fails at run time if a file has an odd number of lines or ends with
-    an empty line (e.g. a trailing newline).
+    (paradigm, line_no, sentence). With ``strict`` the query fails at run
+    time if a file has an odd number of lines or ends with an empty line
+    (e.g. a trailing newline).
     """
     files = _whole_files(spark, path, glob)
     parts = files.select(_url_decode(_paradigm_from_path()).alias("paradigm"),

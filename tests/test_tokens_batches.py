@@ -85,3 +85,8 @@ def test_pad_then_cut_is_identity(spark):
     df = BT.pad_batch(_batch(spark, arrays), "b", "x", pad_val=0)
     cut = df.select("seq", F.slice("padded", 1, F.col("valid_length")).alias("c")).orderBy("seq").collect()
     assert [r["c"] for r in cut] == arrays
+
+
+def test_stack_dtype_cast(spark):
+    st = BT.stack(_batch(spark, [[1, 2], [3, 4]]), "b", "seq", "x", dtype="double").collect()[0]
+    assert st["stacked"] == [[1.0, 2.0], [3.0, 4.0]]
