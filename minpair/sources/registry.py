@@ -83,6 +83,27 @@ def saved_runs(runs: DataFrame, root: str = "/runs") -> DataFrame:
     return runs.where(F.col("path").rlike(pat))
 
 
+def list_saved_runs(spark: SparkSession, root: str) -> DataFrame:
+    """A9 on a file system: (param_name, path) of every ``saves/`` directory
+    under ``root/param_NNN/``, found from the files inside them (the
+    ``binaryFile`` listing is pruned to the path column, so no content is
+    read)."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .load(root).select("path"))
+    m = r"^(.*/(param_[0-9]{3})/(?:.+/)?saves/)"
+    runs = files.select(F.regexp_extract("path", m, 1).alias("path"),
+                        F.regexp_extract("path", m, 2).alias("param_name"))
+    return runs.where(F.col("path") != "").select("param_name", "path").distinct()
+
+
+def list_checkpoints(spark: SparkSession, root: str) -> DataFrame:
+    """(dir_name, file_name, path) of ``checkpoint_last_*.pt`` files."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .option("pathGlobFilter", "checkpoint_last_*.pt").load(root).select("path"))
+    return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("dir_name"),
+                        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "path")
+
+
 def replication_numbers(runs: DataFrame) -> DataFrame:
     """H1: rep = rank of the path within its parameter set, from 0."""
     return range_row_number(runs, ["param_name"], ["path"], name="rep", base=0)

@@ -55,3 +55,20 @@ def test_scorer_matches_array_log_softmax(spark):
         assert r["t"][0] == r["m"] == int(np.argmax(r["logits"]))
     with pytest.raises(ValueError):
         check_temperature(0.7)
+
+
+def test_run_listing(spark, tmp_path):
+    from minpair.sources import registry as RG
+    for rel in ["param_001/a/saves/model.bin", "param_001/b/saves/model.bin", "param_002/x/y/saves/cfg.json",
+                "param_002/notes.txt", "ck/RoBERTa-base-AO-CHILDES/checkpoint_last_3.pt"]:
+        f = tmp_path / rel
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("x")
+    runs = RG.list_saved_runs(spark, str(tmp_path))
+    got = sorted((r["param_name"], r["path"].split(str(tmp_path))[1]) for r in runs.collect())
+    assert got == [("param_001", "/param_001/a/saves/"), ("param_001", "/param_001/b/saves/"),
+                   ("param_002", "/param_002/x/y/saves/")]
+    reps = {r["path"].split("/")[-3]: r["rep"] for r in RG.replication_numbers(runs).collect()}
+    assert reps == {"a": 0, "b": 1, "y": 0}
+    ck = RG.list_checkpoints(spark, str(tmp_path)).collect()[0]
+    assert ck["dir_name"] == "RoBERTa-base-AO-CHILDES" and ck["file_name"] == "checkpoint_last_3.pt"
