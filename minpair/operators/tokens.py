@@ -28,7 +28,11 @@ class Vocabulary:
     unit: str
 
     def broadcastable(self) -> bool:
-        return self.size <= BROADCAST_MAX_TYPES
+        try:
+            value = self.table.sparkSession.conf.get("minpair.broadcast.maxTypes", None)
+        except Exception:  # noqa: BLE001
+            value = None
+        return self.size <= (int(value) if value else BROADCAST_MAX_TYPES)
 
     def lookup(self) -> DataFrame:
         t = self.table.select("token", "token_id")
