@@ -15,15 +15,29 @@ from pyspark.sql import functions as F
 
 from minpair.functions import arrays as A
 from minpair.functions import text as TX
+from minpair.functions.numeric import exact_avg
 from minpair.operators import accuracy as ACC
+from minpair.operators import batches as BT
+from minpair.operators import count_model as CM
 from minpair.operators import lines as LN
 from minpair.operators import results as RS
+from minpair.operators import scoring as SC
 from minpair.operators import summaries as SM
+from minpair.operators import tokens as TK
+from minpair.plans import evaluate as EV
 from minpair.plans import flagship as fl
 from minpair.plans import oracle as sql
 from minpair.plans.oracle import FX1, FX2, FX3, FX4
+from minpair.plans.oracle import FX5, FX6, LOGPROB_SQL, count_model_token_scores, model_ctes
 from minpair.sources import fixtures as fx
+from minpair.sources import registry as RG
+from minpair.sources import sinks as SK
+from minpair.sources import suites as SU
+from minpair.sources.dims import SUITE67_PARADIGMS
 from minpair.sources.dims import T_CRITICAL_090, SUITE23_PARADIGMS
+from minpair.sources.registry import CORPORA_LABELS, PRETRAINED_MODELS
+from minpair.streaming import results as SR
+from minpair.streaming import scores as SS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -553,11 +567,6 @@ def q_violations(spark, sf_dir):
 # Tokens, vocabulary, masking, batches (FX5, word tokens)
 # ---------------------------------------------------------------------------
 
-from minpair.operators import batches as BT  # noqa: E402
-from minpair.operators import count_model as CM  # noqa: E402
-from minpair.operators import scoring as SC  # noqa: E402
-from minpair.operators import tokens as TK  # noqa: E402
-from minpair.plans.oracle import FX5, FX6, LOGPROB_SQL, count_model_token_scores, model_ctes  # noqa: E402
 
 VOCAB_SQL = f"""{FX5},
 v_tok as (select sent_id, unnest(string_split(sentence, ' ')) as token,
@@ -852,9 +861,6 @@ def q_pandas_scorer(spark, sf_dir):
 # Registry and runs (FX6)
 # ---------------------------------------------------------------------------
 
-from minpair.sources import registry as RG  # noqa: E402
-from minpair.sources.registry import CORPORA_LABELS, PRETRAINED_MODELS  # noqa: E402
-
 
 def _sql_val(v):
     if isinstance(v, bool):
@@ -979,9 +985,6 @@ def q_grid(spark, sf_dir):
 # Sources and sinks (files under the session's checkpoint directory)
 # ---------------------------------------------------------------------------
 
-from minpair.sources import sinks as SK  # noqa: E402
-from minpair.sources import suites as SU  # noqa: E402
-
 
 def _written_suite(spark, sf_dir):
     path = SK.scratch_path(spark, "suite-text")
@@ -1068,9 +1071,6 @@ def q_params_source(spark, sf_dir):
 # Structured Streaming (availableNow over files landed under the checkpoint dir)
 # ---------------------------------------------------------------------------
 
-from minpair.streaming import results as SR  # noqa: E402
-from minpair.streaming import scores as SS  # noqa: E402
-
 
 @register("stream_results_dedup", f"with {FX2}\nselect distinct {KEYS_SQL}, paradigm from fx2")
 def q_stream_dedup(spark, sf_dir):
@@ -1127,7 +1127,6 @@ def q_document_pll(spark, sf_dir):
 # All models x both methods x all paradigms in one plan (score-everything entry)
 # ---------------------------------------------------------------------------
 
-from minpair.plans import evaluate as EV  # noqa: E402
 
 FX1_PARADIGMS = [f"p{i}" for i in range(fx.N_SUITE_PARADIGMS)]
 
@@ -1187,8 +1186,6 @@ def q_evaluate(spark, sf_dir):
 # The 67-paradigm suite: FX4 paradigm i is the suite's i-th file
 # ---------------------------------------------------------------------------
 
-from minpair.functions.numeric import exact_avg  # noqa: E402
-from minpair.sources.dims import SUITE67_PARADIGMS  # noqa: E402
 
 SUITE67 = [p for p, _ in SUITE67_PARADIGMS]
 BDIM_SQL = "bdim as (select * from (values " + ", ".join(
