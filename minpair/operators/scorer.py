@@ -106,8 +106,16 @@ class LogitsScorer:
         return None
 
     def logprob(self, model: object, batch: pd.DataFrame) -> np.ndarray:
-        out = np.empty(len(batch), dtype="float64")
-        for i, (row, label) in enumerate(zip(batch["logits"], batch["label"])):
+        rows = batch["logits"].to_numpy()
+        labels = batch["label"].to_numpy().astype("int64")
+        if len(rows) and len({len(r) for r in rows}) == 1:
+            # one vocabulary size: the whole Arrow batch as one matrix
+            x = np.stack([np.asarray(r, dtype="float64") for r in rows])
+            m = x.max(axis=1, keepdims=True)
+            lse = m[:, 0] + np.log(np.exp(x - m).sum(axis=1))
+            return x[np.arange(len(x)), labels] - lse
+        out = np.empty(len(rows), dtype="float64")
+        for i, (row, label) in enumerate(zip(rows, labels)):
             x = np.asarray(row, dtype="float64")
             m = x.max()
             out[i] = x[int(label)] - m - np.log(np.exp(x - m).sum())

@@ -72,3 +72,12 @@ def test_run_listing(spark, tmp_path):
     assert reps == {"a": 0, "b": 1, "y": 0}
     ck = RG.list_checkpoints(spark, str(tmp_path)).collect()[0]
     assert ck["dir_name"] == "RoBERTa-base-AO-CHILDES" and ck["file_name"] == "checkpoint_last_3.pt"
+
+
+def test_scorer_ragged_rows(spark):
+    rows = [(1, 0, 1, [0.5, 2.0]), (1, 1, 2, [1.0, -1.0, 3.0])]
+    df = spark.createDataFrame(rows, "sent_id long, pos int, label int, logits array<double>")
+    got = {r[1]: r[2] for r in run_scorer(df.coalesce(1), LogitsScorer(), ["sent_id", "pos"]).collect()}
+    for _, p, lab, x in rows:
+        x = np.asarray(x)
+        assert math.isclose(got[p], x[lab] - np.log(np.exp(x).sum()), rel_tol=1e-12)
