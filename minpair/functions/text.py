@@ -49,11 +49,13 @@ def paradigm_name(index: Column) -> Column:
 
 
 def swap_middle_chars(s) -> Column:
-    """Swap the characters at 1-based positions k and k+1, k = floor(length/2)."""
+    """Swap the characters at 1-based positions k and k+1, k = floor(length/2);
+    strings shorter than two characters are returned unchanged."""
     s = _col(s)
     k = F.floor(F.length(s) / 2).cast("int")
-    return F.concat(F.substring(s, F.lit(1), k - 1), F.substring(s, k + 1, F.lit(1)),
-                    F.substring(s, k, F.lit(1)), F.substring(s, k + 2, F.lit(1 << 30)))
+    swapped = F.concat(F.substring(s, F.lit(1), k - 1), F.substring(s, k + 1, F.lit(1)),
+                       F.substring(s, k, F.lit(1)), F.substring(s, k + 2, F.lit(1 << 30)))
+    return F.when(F.length(s) < 2, s).otherwise(swapped)
 
 
 def lower_case_lines(s, flag) -> Column:

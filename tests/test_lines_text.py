@@ -55,6 +55,8 @@ def test_text_goldens(spark):
         TX.shorten_phenomenon(F.lit("determiner-noun agreement")).alias("f"),
         TX.strip_whitespace(F.lit("\t a b \n")).alias("g"),
         TX.swap_middle_chars(F.lit("abcd")).alias("h"),
+        TX.swap_middle_chars(F.lit("abcde")).alias("h5"),
+        TX.swap_middle_chars(F.lit("a")).alias("h1"),
         TX.group_name(F.lit("m"), F.lit(None).cast("string")).alias("i"),
     ).collect()[0]
     assert (row["a"], row["b"], row["c"]) == (0.12, 0.2, 72.12)
@@ -62,7 +64,7 @@ def test_text_goldens(spark):
     assert row["e"] == "gender agreement"
     assert row["f"] == "det. noun agr."
     assert row["g"] == "a b"
-    assert row["h"] == "acbd"
+    assert row["h"] == "acbd" and row["h5"] == "acbde" and row["h1"] == "a"
     assert row["i"] is None
 
 
