@@ -75,3 +75,11 @@ def test_missing_keys_are_dropped_like_pandas(spark):
     r = SM.margin_of_error_reps(long, "holistic").collect()
     assert len(r) == 1 and r[0]["accuracy"] == 60.0
     assert SM.phenomenon_over_reps(long.where("corpora is null or corpora = 'C'")).count() == 1
+
+
+def test_range_row_number_null_groups(spark):
+    rows = [(None if i % 5 == 0 else f"g{i % 3}", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, id long").repartition(4)
+    mine = range_row_number(df, ["g"], ["id"], name="rn", base=1, num_partitions=5)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("id")))
+    assert sorted(map(tuple, mine.select("id", "rn").collect())) == sorted(map(tuple, ref.select("id", "rn").collect()))
