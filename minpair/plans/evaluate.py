@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from minpair.functions.text import lower_case_lines
 from minpair.operators.accuracy import pair_accuracy
+from minpair.operators import count_model as cm
 from minpair.operators.count_model import CountModel
 from minpair.operators.results import KEYS, results_dedup, results_wide
 from minpair.operators.scoring import MLM_MAX_TOKENS, both_scores
@@ -33,18 +34,64 @@ class ScoredModel:
     lower_case: bool = False
 
 
+def _branch_scores(m: ScoredModel, lines: DataFrame, text_col: str, max_tokens) -> DataFrame:
+    src = lines.select("paradigm", "line_no", lower_case_lines(text_col, m.lower_case).alias(text_col))
+    s = both_scores(m.model, src, ["paradigm", "line_no"], text_col, max_tokens)
+    return s.select(F.lit(m.name).alias("model"), F.lit(m.corpora).alias("corpora"),
+                    F.lit(int(m.rep)).alias("rep"), F.lit(m.path).alias("path"),
+                    "scoring_method", "paradigm", "line_no", "score")
+
+
+def _shared_scores(group: list[ScoredModel], lines: DataFrame, text_col: str, max_tokens) -> DataFrame:
+    """Models with one token unit and lower-casing choice: the lines are
+    tokenised once, each token row is tagged with every model's index, and
+    all models' tables are looked up by (model, l, t, r) and (model, t)."""
+    m0 = group[0]
+    src = lines.select("paradigm", "line_no", lower_case_lines(text_col, m0.lower_case).alias(text_col))
+    toks = cm.token_contexts(src, text_col, m0.model.unit, keep=["paradigm", "line_no"], outer=True)
+    toks = toks.select("*", F.explode(F.array(*[F.lit(i) for i in range(len(group))])).alias("_m"))
+    tri = group[0].model.trigrams.select(F.lit(0).alias("_m"), "l", "t", "r", F.col("logprob").alias("_seen"))
+    uni = group[0].model.unigrams.select(F.lit(0).alias("_m"), "t", F.col("unseen_logprob").alias("_unseen"))
+    for i, m in enumerate(group[1:], start=1):
+        tri = tri.unionByName(m.model.trigrams.select(F.lit(i).alias("_m"), "l", "t", "r", F.col("logprob").alias("_seen")))
+        uni = uni.unionByName(m.model.unigrams.select(F.lit(i).alias("_m"), "t", F.col("unseen_logprob").alias("_unseen")))
+    # broadcast only if all models together stay under the checked bounds
+    if sum(m.model.n_trigrams for m in group) <= cm.BROADCAST_MAX_ROWS:
+        tri = F.broadcast(tri)
+    if sum(m.model.n_types for m in group) <= cm.BROADCAST_MAX_TYPES:
+        uni = F.broadcast(uni)
+    unknown = F.element_at(F.array(*[F.lit(m.model.unknown_logprob()) for m in group]), F.col("_m") + 1)
+    j = toks.join(tri, ["_m", "l", "t", "r"], "left").join(uni, ["_m", "t"], "left")
+    lp = F.when(F.col("t").isNotNull(), F.coalesce("_seen", "_unseen", unknown))
+    agg = j.groupBy("_m", "paradigm", "line_no").agg(F.sum(lp).alias("_sum"), F.avg(-lp).alias("_mean"),
+                                                     F.count("t").alias("_n"))
+    ok = F.lit(True) if max_tokens is None else (F.col("_n") + 2 <= F.lit(int(max_tokens)))
+    mlm = F.when(ok, F.coalesce(F.col("_sum"), F.lit(0.0))).otherwise(F.lit(0.0))
+    sides = F.array(F.struct(F.lit("mlm").alias("scoring_method"), mlm.alias("score")),
+                    F.struct(F.lit("holistic").alias("scoring_method"), F.col("_mean").alias("score")))
+
+    def key(field, cast=None):
+        vals = [getattr(m, field) for m in group]
+        arr = F.array(*[F.lit(v) for v in vals])
+        c = F.element_at(arr, F.col("_m") + 1)
+        return c.cast(cast) if cast else c
+
+    return agg.select(key("name").alias("model"), key("corpora").alias("corpora"), key("rep", "int").alias("rep"),
+                      key("path").alias("path"), "paradigm", "line_no", F.inline(sides)).select(
+        "model", "corpora", "rep", "path", "scoring_method", "paradigm", "line_no", "score")
+
+
 def results_long(models: list[ScoredModel], lines: DataFrame, text_col: str = "sentence",
                  max_tokens: int | None = MLM_MAX_TOKENS) -> DataFrame:
     """(model, corpora, rep, path, scoring_method, paradigm, accuracy) for
     every model, both methods and every paradigm of ``lines``
-    (paradigm, line_no, sentence)."""
-    branches = []
+    (paradigm, line_no, sentence). Models sharing a token unit and
+    lower-casing choice share one tokenisation of the lines."""
+    groups: dict[tuple, list[ScoredModel]] = {}
     for m in models:
-        src = lines.select("paradigm", "line_no", lower_case_lines(text_col, m.lower_case).alias(text_col))
-        s = both_scores(m.model, src, ["paradigm", "line_no"], text_col, max_tokens)
-        branches.append(s.select(F.lit(m.name).alias("model"), F.lit(m.corpora).alias("corpora"),
-                                 F.lit(int(m.rep)).alias("rep"), F.lit(m.path).alias("path"),
-                                 "scoring_method", "paradigm", "line_no", "score"))
+        groups.setdefault((m.model.unit, bool(m.lower_case)), []).append(m)
+    branches = [(_branch_scores(g[0], lines, text_col, max_tokens) if len(g) == 1
+                 else _shared_scores(g, lines, text_col, max_tokens)) for g in groups.values()]
     scores = branches[0]
     for b in branches[1:]:
         scores = scores.unionByName(b)

@@ -20,3 +20,16 @@ def test_evaluate_wide_and_previous_wins(spark):
     again = {r["scoring_method"]: r for r in evaluate([m], lines, ["p1", "p2"], previous=prev).collect()}
     assert again["mlm"]["p1"] == 12.5 and again["mlm"]["p2"] == 100.0
     assert again["mlm"]["overall"] == 56.25
+
+
+def test_shared_tokenisation_matches_separate_branches(spark):
+    a = CM.fit(spark.createDataFrame([("the cat sat",), ("a dog ran",)], "sentence string"), "sentence", "word")
+    b = CM.fit(spark.createDataFrame([("the dog sat",), ("the cat ran far",)], "sentence string"), "sentence", "word")
+    lines = spark.createDataFrame([("p1", 0, "the cat sat"), ("p1", 1, "cat the sat"),
+                                   ("p2", 0, "a dog ran"), ("p2", 1, "dog ran a"), ("p2", 2, "zz top")],
+                                  "paradigm string, line_no long, sentence string")
+    ma, mb = ScoredModel("A", "ca", 0, "a/0", a), ScoredModel("B", "cb", 1, "b/1", b)
+    shared = sorted(map(tuple, results_long([ma, mb], lines).collect()))
+    separate = sorted([tuple(r) for r in results_long([ma], lines).collect()]
+                      + [tuple(r) for r in results_long([mb], lines).collect()])
+    assert shared == separate
