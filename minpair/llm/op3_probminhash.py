@@ -30,6 +30,9 @@ from minpair.llm.common import no_null, words, written
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5  # a pair at 0.8 shares no band with probability 5e-5
+#: Largest number of candidate ids (8 bytes each) sent to the scan of the texts;
+#: beyond it the scan and the ids meet in a shuffle.
+BROADCAST_MAX_IDS = 2_000_000
 #: Nodes of a bucket up to which every two are compared.
 SMALL_BUCKET = 8
 
@@ -167,7 +170,9 @@ def band_table(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float,
            width: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole texts have that similarity or more, with it (s)."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ends = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    if ends.limit(BROADCAST_MAX_IDS + 1).count() <= BROADCAST_MAX_IDS:
+        ends = F.broadcast(ends)
     texts = written(docs.select(F.col(id_col).alias("id"), no_null(text_col).alias("t")).join(ends, "id", "left_semi"))
     one = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
     two = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
