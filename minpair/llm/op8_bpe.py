@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -21,60 +22,27 @@ from pyspark.sql import functions as F
 from minpair.llm.arrow import map_arrow
 from minpair.llm.common import no_null
 
-#: Pre-tokens remembered per Python worker, and the longest that is.
-CACHE_PIECES = 700_000
+#: Pre-tokens remembered per Python worker (in each of two generations), and the longest that is.
+CACHE_PIECES = 600_000
 CACHE_CHARS = 48
 
 
-class RankQueue:
-    """Positions by rank; ``pop`` gives the smallest rank, then the smallest position."""
-
-    def __init__(self, n_ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.low = [0] * ((n_ranks >> 6) + 1)
-        self.mid = [0] * ((n_ranks >> 12) + 1)
-        self.top = 0
-
-    def push(self, rank: int, pos: int) -> None:
-        b = self.buckets.get(rank)
-        if b is not None:
-            heappush(b, pos)
-            return
-        self.buckets[rank] = [pos]
-        w, x = rank >> 6, rank >> 12
-        self.low[w] |= 1 << (rank & 63)
-        self.mid[x] |= 1 << (w & 63)
-        self.top |= 1 << x
-
-    def pop(self) -> tuple[int, int]:
-        x = (self.top & -self.top).bit_length() - 1
-        m = self.mid[x]
-        w = (x << 6) + (m & -m).bit_length() - 1
-        v = self.low[w]
-        rank = (w << 6) + (v & -v).bit_length() - 1
-        b = self.buckets[rank]
-        pos = heappop(b)
-        if not b:
-            del self.buckets[rank]
-            self.low[w] = v & (v - 1)
-            if not self.low[w]:
-                self.mid[x] = m & (m - 1)
-                if not self.mid[x]:
-                    self.top &= self.top - 1
-        return rank, pos
-
-
 class _Pieces(dict):
-    """Pre-token -> packed ids; a missing one is merged, and kept while there is room."""
+    """Pre-token -> packed ids; a missing one is merged. Kept in two generations,
+    so that the bound never forgets the pieces in use."""
 
     def __init__(self, merge):
         super().__init__()
-        self.merge = merge
+        self.merge, self.old = merge, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.merge(piece.encode()), dtype="<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            got = self.merge(piece.encode())
+            ids = pack(f"<{len(got)}I", *got)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -89,42 +57,70 @@ class BytePairCodec:
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.find = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        n = max(ranks.values()) + 1
+        # the queue: which ranks, and which 64 and 4096 of them, have a bucket
+        self.low, self.mid = [0] * ((n >> 6) + 1), [0] * ((n >> 12) + 1)
         self.pieces = _Pieces(self.merge)
         self.token = {i: b for b, i in ranks.items()}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Token ids of one pre-token."""
-        ranks, n = self.ranks, len(piece)
-        if (whole := ranks.get(piece)) is not None:
+        """Token ids of one pre-token. The queue's steps are written out in place:
+        they are most of the work."""
+        ranks, n, get, longest = self.ranks, len(piece), self.ranks.get, self.longest
+        if (whole := get(piece)) is not None:
             return [whole]
-        get, longest, push, queue = ranks.get, self.longest, self.queue.push, self.queue
+        low, mid, top, buckets = self.low, self.mid, 0, {}
         # nodes are named by their first byte; nxt[i] is also where node i ends
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n))
-        pair = [-1] * n
-        for i in range(n - 1):
-            if (r := get(piece[i:i + 2])) is not None:
-                pair[i] = r
-                push(r, i)
-        while queue.top:
-            rank, i = queue.pop()
-            if pair[i] != rank:  # stale
-                continue
+        nxt, prv, pair = list(range(1, n + 1)), list(range(-1, n)), [-1] * n
+        changed = range(n - 1)
+        while True:
+            for p in changed:  # queue the pair that begins at p
+                j = nxt[p]
+                end = nxt[j] if j < n else n
+                r = get(piece[p:end]) if j < n and end - p <= longest else None
+                if r is None:
+                    pair[p] = -1
+                    continue
+                pair[p] = r
+                b = buckets.get(r)
+                if b is not None:
+                    heappush(b, p)
+                    continue
+                buckets[r] = [p]
+                w = r >> 6
+                if not low[w]:
+                    x = w >> 6
+                    mid[x] |= 1 << (w & 63)
+                    top |= 1 << x
+                low[w] |= 1 << (r & 63)
+            i = -1
+            while top:  # the smallest rank by find-first-set on three levels, its first position
+                x = (top & -top).bit_length() - 1
+                m = mid[x]
+                w = (x << 6) + (m & -m).bit_length() - 1
+                v = low[w]
+                r = (w << 6) + (v & -v).bit_length() - 1
+                b = buckets[r]
+                i = heappop(b)
+                if not b:
+                    del buckets[r]
+                    low[w] = v = v & (v - 1)
+                    if not v:
+                        mid[x] = m = m & (m - 1)
+                        if not m:
+                            top &= top - 1
+                if pair[i] == r:
+                    break
+                i = -1  # stale
+            if i < 0:
+                break
             j = nxt[i]
             end = nxt[i] = nxt[j]
-            pair[j] = pair[i] = -1
+            pair[j] = -1
+            k = prv[i]
             if end < n:
                 prv[end] = i
-                if nxt[end] - i <= longest and (r := get(piece[i:nxt[end]])) is not None:
-                    pair[i] = r
-                    push(r, i)
-            if (k := prv[i]) >= 0:
-                r = get(piece[k:end]) if end - k <= longest else None
-                if r is None:
-                    pair[k] = -1
-                else:
-                    pair[k] = r
-                    push(r, k)
+            changed = (i,) if k < 0 else (i, k)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i:nxt[i]]])
