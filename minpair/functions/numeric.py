@@ -19,8 +19,10 @@ def _col(c) -> Column:
 
 
 def exact_avg(c) -> Column:
-    """Mean computed on an exact decimal sum, returned as double."""
-    return F.avg(_col(c).cast(EXACT)).cast("double")
+    """Mean computed on an exact decimal sum, returned as double; NaN if any value is NaN."""
+    nan = F.isnan(_col(c).cast("double"))
+    return F.when(F.max(nan), F.lit(float("nan"))).otherwise(
+        F.avg(F.when(~nan, _col(c).cast(EXACT))).cast("double"))
 
 
 def exact_weighted_mean(value, weight) -> Column:

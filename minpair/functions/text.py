@@ -64,9 +64,13 @@ def lower_case_lines(s, flag) -> Column:
     return F.when(flag, F.lower(_col(s))).otherwise(_col(s))
 
 
+# FIXED VALUES: the characters Python's str.isspace accepts, as a regex class.
+UNICODE_SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def strip_whitespace(s) -> Column:
     """B2: like Python ``str.strip()``: all leading/trailing whitespace, not only spaces."""
-    return F.regexp_replace(_col(s), r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(s), f"^[{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+$", "")
 
 
 def shorten_phenomenon(c) -> Column:
@@ -131,8 +135,9 @@ def round_half_even(c, digits: int) -> Column:
 
 
 def param_name(i) -> Column:
-    """K9: ``param_{i:03}``."""
-    return F.concat(F.lit("param_"), F.lpad(_col(i).cast("string"), 3, "0"))
+    """K9: ``param_{i:03}``: at least three digits, none cut."""
+    n = _col(i).cast("string")
+    return F.concat(F.lit("param_"), F.when(F.length(n) >= 3, n).otherwise(F.lpad(n, 3, "0")))
 
 
 def dotted_name(name, width: int = 64) -> Column:
@@ -146,7 +151,7 @@ def fixed(c, width: int, decimals: int) -> Column:
     x = _col(c)
     txt = F.format_string(f"%.{decimals}f", x)
     txt = F.when(x.isNull() | F.isnan(x), F.lit("nan")).otherwise(txt)
-    return F.lpad(txt, width, " ") if width else txt
+    return F.when(F.length(txt) >= width, txt).otherwise(F.lpad(txt, width, " ")) if width else txt
 
 
 def report_line(group, accuracy, n, margin) -> Column:

@@ -29,8 +29,7 @@ def _check_array(df: DataFrame, col: str, depth: int = 1) -> None:
 
 def _pad_value(pad_val):
     if pad_val is None:
-        warnings.warn("Padding value is not given and will be set to 0; check that this "
-                      "is the padding index of the vocabulary.", stacklevel=3)
+        warnings.warn("no pad_val given: filling with id 0", stacklevel=3)
         return 0
     return pad_val
 

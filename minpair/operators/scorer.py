@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from minpair.functions.tokens import MASK_ID
+
 _WORKER_MODELS: dict[str, object] = {}
 _SHIPPED: set[str] = set()
 
@@ -120,3 +122,91 @@ class LogitsScorer:
             m = x.max()
             out[i] = x[int(label)] - m - np.log(np.exp(x - m).sum())
         return out
+
+
+class TokenModel(Protocol):
+    """A user's model over token ids: unnormalised scores of every label at given places.
+
+    ``prepare`` runs once per Python worker. ``logits`` takes a batch of id
+    rows of one length and, per row, the place asked for, and returns a
+    (rows, labels) array; ``label`` maps token ids to its columns.
+    """
+
+    key: str
+
+    def prepare(self) -> object: ...
+
+    def logits(self, model: object, ids: np.ndarray, places: np.ndarray) -> np.ndarray: ...
+
+    def label(self, ids: np.ndarray) -> np.ndarray: ...
+
+
+class ToyModel:
+    """A deterministic model of 64 labels, to check the scoring path end to end."""
+
+    key = "toy-64"
+
+    def prepare(self) -> object:
+        return np.arange(64, dtype="int64") ** 2 * 7
+
+    def logits(self, model, ids, places):
+        s = ids.sum(axis=1) * 31 + places * 17
+        return ((s[:, None] + model[None, :]) % 101) / 10.0
+
+    def label(self, ids):
+        return ids % 64
+
+
+#: Id cells of one call of the model: masked copies are made in blocks of this size.
+BLOCK_CELLS = 1 << 18
+
+
+def _label_logprob(scorer, model, ids, places, labels) -> np.ndarray:
+    x = np.asarray(scorer.logits(model, ids, places), dtype="float64")
+    m = x.max(axis=1, keepdims=True)
+    return x[np.arange(len(x)), scorer.label(labels)] - m[:, 0] - np.log(np.exp(x - m).sum(axis=1))
+
+
+def _sentence_scores(encoded: DataFrame, scorer: TokenModel, keys: list[str], ids_col: str, masked: bool) -> DataFrame:
+    ship_package(encoded.sparkSession)
+    schema = ", ".join(f"{encoded.schema[k].name} {encoded.schema[k].dataType.simpleString()}" for k in keys) + ", score double"
+
+    def one(model, ids: np.ndarray):
+        places = np.arange(1, len(ids) - 1) if masked else np.arange(len(ids))
+        total, block = 0.0, max(1, BLOCK_CELLS // max(1, len(ids)))
+        for lo in range(0, len(places), block):  # the copies of a block only, never all of a sentence's
+            at = places[lo:lo + block]
+            rows = np.repeat(ids[None, :], len(at), axis=0)
+            if masked:
+                rows[np.arange(len(at)), at] = MASK_ID
+            lp = _label_logprob(scorer, model, rows, at, ids[at])
+            if len(lp) != len(at):
+                raise ValueError("the model must return one row of scores per row of ids")
+            total += lp.sum()
+        if masked:
+            return total
+        return -total / len(places) if len(places) else None
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _WORKER_MODELS.get(scorer.key)
+        if model is None:
+            model = _WORKER_MODELS[scorer.key] = scorer.prepare()
+        for b in batches:
+            out = b[keys].copy()
+            out["score"] = [one(model, np.asarray(x, dtype="int64")) for x in b[ids_col]]
+            yield out
+
+    return encoded.select(*keys, ids_col).mapInPandas(score, schema)
+
+
+def scorer_mlm_scores(encoded: DataFrame, scorer: TokenModel, keys: list[str], ids_col: str = "token_ids") -> DataFrame:
+    """D3 + E8 + E7: keys + score, the sum over the inner positions of log P(label)
+    with that position masked, read at the masked position only. Copies are
+    made lazily inside the worker; a sentence without tokens scores 0.0."""
+    return _sentence_scores(encoded, scorer, keys, ids_col, masked=True)
+
+
+def scorer_holistic_scores(encoded: DataFrame, scorer: TokenModel, keys: list[str], ids_col: str = "token_ids") -> DataFrame:
+    """E6 with a user's model: keys + score, the mean cross entropy over all positions
+    of the unmasked sentence, boundaries included. Smaller is better."""
+    return _sentence_scores(encoded, scorer, keys, ids_col, masked=False)

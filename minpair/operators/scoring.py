@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from minpair.functions.tokens import split_tokens
 from minpair.operators import count_model as cm
 
 # FIXED VALUES: default run settings.
-MLM_MAX_TOKENS = 1024        # longer sentences (boundaries included) score 0.0
 HOLISTIC_BATCH_SIZE = 10
 HOLISTIC_MAX_LENGTH = 128
 
@@ -25,15 +25,30 @@ POOLINGS = ("mean", "sum")
 def pll_from_tokens(token_scores: DataFrame, keys: list[str], value: str = "logprob",
                     name: str = "score") -> DataFrame:
     """E7 + C5: sum per sentence; sentences whose rows carry NULL (no scorable
-    tokens: empty or over-long) score 0.0."""
+    tokens: empty) score 0.0."""
     return token_scores.groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias(name))
 
 
 def mlm_scores(model: "cm.CountModel", sentences: DataFrame, keys: list[str],
-               text_col: str = "sentence", max_tokens: int | None = MLM_MAX_TOKENS) -> DataFrame:
-    """Pseudo-log-likelihood per sentence under the count model."""
-    toks = cm.token_logprobs(model, sentences, text_col, keys, outer=True, max_tokens=max_tokens)
-    return pll_from_tokens(toks, keys)
+               text_col: str = "sentence", max_tokens: int | None = None) -> DataFrame:
+    """Pseudo-log-likelihood per sentence under the count model.
+
+    Every sentence is scored unless the caller sets ``max_tokens`` (boundaries
+    included): longer ones then score NULL, which never wins a comparison,
+    and ``over_long`` lists them.
+    """
+    toks = cm.token_logprobs(model, sentences, text_col, keys, outer=True)
+    if max_tokens is None:
+        return pll_from_tokens(toks, keys)
+    agg = toks.groupBy(*keys).agg(F.coalesce(F.sum("logprob"), F.lit(0.0)).alias("score"), F.count("t").alias("_n"))
+    return agg.select(*keys, F.when(F.col("_n") + 2 <= F.lit(int(max_tokens)), F.col("score")).alias("score"))
+
+
+def over_long(sentences: DataFrame, keys: list[str], unit: str, max_tokens: int,
+              text_col: str = "sentence") -> DataFrame:
+    """keys + n_tokens (boundaries included) of the sentences beyond ``max_tokens``."""
+    n = F.size(split_tokens(F.col(text_col), unit)) + 2
+    return sentences.select(*keys, n.alias("n_tokens")).where(F.col("n_tokens") > F.lit(int(max_tokens)))
 
 
 def holistic_scores(model: "cm.CountModel", sentences: DataFrame, keys: list[str],
@@ -46,7 +61,7 @@ def holistic_scores(model: "cm.CountModel", sentences: DataFrame, keys: list[str
     """
     if pooling not in POOLINGS:
         raise ValueError(f"unknown pooling {pooling!r}; expected one of {POOLINGS}")
-    toks = cm.token_logprobs(model, sentences, text_col, keys, outer=True, max_tokens=None)
+    toks = cm.token_logprobs(model, sentences, text_col, keys, outer=True)
     agg = F.avg(-F.col("logprob")) if pooling == "mean" else F.sum(-F.col("logprob"))
     return toks.groupBy(*keys).agg(agg.alias("score"))
 
@@ -64,18 +79,18 @@ def holistic_from_token_loss(token_loss: DataFrame, keys: list[str], pos: str =
 
 
 def both_scores(model: "cm.CountModel", sentences: DataFrame, keys: list[str],
-                text_col: str = "sentence", max_tokens: int | None = MLM_MAX_TOKENS) -> DataFrame:
+                text_col: str = "sentence", max_tokens: int | None = None) -> DataFrame:
     """MLM and holistic scores from one token pass and one aggregation, in
     long form: keys + (scoring_method, score).
 
-    mlm: sum of log P, 0.0 without tokens or above ``max_tokens``
-    (boundaries included); holistic: mean of -log P, NULL without tokens.
+    mlm: sum of log P, 0.0 without tokens, NULL above ``max_tokens``
+    (boundaries included, no bound unless set); holistic: mean of -log P, NULL without tokens.
     """
-    toks = cm.token_logprobs(model, sentences, text_col, keys, outer=True, max_tokens=None)
+    toks = cm.token_logprobs(model, sentences, text_col, keys, outer=True)
     agg = toks.groupBy(*keys).agg(F.sum("logprob").alias("_sum"), F.avg(-F.col("logprob")).alias("_mean"),
                                   F.count("t").alias("_n"))
     ok = F.lit(True) if max_tokens is None else (F.col("_n") + 2 <= F.lit(int(max_tokens)))
-    mlm = F.when(ok, F.coalesce(F.col("_sum"), F.lit(0.0))).otherwise(F.lit(0.0))
+    mlm = F.when(ok, F.coalesce(F.col("_sum"), F.lit(0.0)))
     sides = F.array(F.struct(F.lit("mlm").alias("scoring_method"), mlm.alias("score")),
                     F.struct(F.lit("holistic").alias("scoring_method"), F.col("_mean").alias("score")))
     return agg.select(*keys, F.inline(sides))

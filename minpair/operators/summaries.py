@@ -40,12 +40,12 @@ def _mean(c: str, missing: str) -> Column:
     return m
 
 
-def margin_of_error(values: str) -> list[Column]:
-    """mean, n and sem * t(0.95, n - 1) of a column inside an aggregation;
-    the margin is NULL when n < 2."""
+def margin_of_error(values: str, confidence: float = 0.90) -> list[Column]:
+    """mean, n and sem * t(n - 1) of a column inside an aggregation; the margin
+    is NULL when n < 2. A NaN among the values makes mean and margin NaN."""
     n = F.count(values)
     sem = F.stddev_samp(values) / F.sqrt(n)
-    h = F.when(n > 1, sem * t_critical_expr(n - 1))
+    h = F.when(n > 1, sem * t_critical_expr(n - 1, confidence))
     return [exact_avg(values).alias("accuracy"), n.alias("n"), h.alias("margin")]
 
 

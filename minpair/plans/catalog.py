@@ -36,6 +36,7 @@ from minpair.sources import suites as SU
 from minpair.sources.dims import SUITE67_PARADIGMS
 from minpair.sources.dims import T_CRITICAL_090, SUITE23_PARADIGMS
 from minpair.sources.registry import CORPORA_LABELS, PRETRAINED_MODELS
+from minpair.sources.tables import read_table
 from minpair.streaming import results as SR
 from minpair.streaming import scores as SS
 
@@ -617,17 +618,14 @@ def q_decode(spark, sf_dir):
 select sent_id, cast(i - 1 as int) as mask_pos, ids[i] as label,
        array_to_string(list_transform(ids, lambda x, j: case when j = i then 4 else x end), ' ') as token_ids,
        cast(len(ids) as int) as valid_length, 1 as normalization
-from (select sent_id, ids, unnest(range(2, len(ids))) as i from enc where len(ids) <= 1024)""")
+from (select sent_id, ids, unnest(range(2, len(ids))) as i from enc)""")
 def q_masked(spark, sf_dir):
     _, _, enc = fx5_encoded(spark, sf_dir)
-    m = TK.masked_copies(enc, ["sent_id"], max_len=CM_MAX)
+    m = TK.masked_copies(enc, ["sent_id"])
     return m.select("sent_id", "mask_pos", "label", arr_str("token_ids").alias("token_ids"),
                     "valid_length", "normalization")
 
 
-CM_MAX = SC.MLM_MAX_TOKENS
-
-
 @register("maskable_positions", f"""with {VOCAB_SQL}
 select sent_id, cast(i - 1 as int) as pos, ids[i] as token_id
 from (select sent_id, ids, unnest(range(2, len(ids))) as i from enc)""")
@@ -651,17 +649,17 @@ def q_true_len(spark, sf_dir):
 
 
 def _pad_sql(round_to=None):
-    width = "max(len(ids)) over (partition by floor(sent_id / 1000))"
+    width = "max(len(ids)) over (partition by floor(sent_id / 10))"
     if round_to:
         width = f"cast(ceil({width} / {round_to}) * {round_to} as int)"
     return f"""with {VOCAB_SQL}
-select sent_id, cast(floor(sent_id / 1000) as bigint) as batch_id, cast(len(ids) as int) as valid_length,
+select sent_id, cast(floor(sent_id / 10) as bigint) as batch_id, cast(len(ids) as int) as valid_length,
        array_to_string(list_resize(ids, {width}, 1), ' ') as padded from enc"""
 
 
 def _padded(spark, sf_dir, round_to=None):
     _, _, enc = fx5_encoded(spark, sf_dir)
-    b = enc.withColumn("batch_id", F.floor(F.col("sent_id") / 1000).cast("long"))
+    b = enc.withColumn("batch_id", F.floor(F.col("sent_id") / 10).cast("long"))
     return BT.pad_batch(b, "batch_id", "token_ids", pad_val=1, round_to=round_to)
 
 
@@ -693,7 +691,7 @@ select batch_id, array_to_string(list(padded order by sent_id), '|') as token_id
 from p join s using (sent_id) group by batch_id""")
 def q_batch_fields(spark, sf_dir):
     s, _, enc = fx5_encoded(spark, sf_dir)
-    b = (enc.join(s, "sent_id").withColumn("batch_id", F.floor(F.col("sent_id") / 1000).cast("long"))
+    b = (enc.join(s, "sent_id").withColumn("batch_id", F.floor(F.col("sent_id") / 10).cast("long"))
             .withColumn("n_ids", F.size("token_ids")))
     out = BT.batch_fields(b, "batch_id", "sent_id", {"token_ids": "pad", "n_ids": "stack", "sentence": "list"},
                           pad_val=1)
@@ -703,21 +701,26 @@ def q_batch_fields(spark, sf_dir):
 
 
 @register("batch_list", f"""with {FX5}
-select cast(floor(sent_id / 1000) as bigint) as batch_id,
+select cast(floor(sent_id / 10) as bigint) as batch_id,
        array_to_string(list(sentence order by sent_id), ' || ') as sentences from fx5 group by 1""")
 def q_batch_list(spark, sf_dir):
-    s = fx.sentences(spark, sf_dir).withColumn("batch_id", F.floor(F.col("sent_id") / 1000).cast("long"))
+    s = fx.sentences(spark, sf_dir).withColumn("batch_id", F.floor(F.col("sent_id") / 10).cast("long"))
     out = BT.batch_fields(s, "batch_id", "sent_id", {"sentence": "list"})
     return out.select("batch_id", F.array_join("sentence", " || ").alias("sentences"))
 
 
-@register("pad_inner_axis")
+@register("pad_inner_axis", f"""with {VOCAB_SQL},
+w as (select sent_id, cast(floor(sent_id / 10) as bigint) as batch_id, ids, max(len(ids)) over (partition by floor(sent_id / 10)) as n from enc)
+select sent_id, batch_id,
+       array_to_string(ids || list_transform(range(n - len(ids)), lambda x: 1), ' ') || ' | '
+       || array_to_string(ids[2:] || list_transform(range(n - len(ids) + 1), lambda x: 1), ' ') as padded from w""")
 def q_pad_inner(spark, sf_dir):
     _, _, enc = fx5_encoded(spark, sf_dir)
-    b = (enc.withColumn("batch_id", F.floor(F.col("sent_id") / 1000).cast("long"))
-            .withColumn("sample", F.array("token_ids", F.slice("token_ids", 1, 3))))
+    b = (enc.withColumn("batch_id", F.floor(F.col("sent_id") / 10).cast("long"))
+            .withColumn("sample", F.array("token_ids", F.slice("token_ids", F.lit(2), F.size("token_ids")))))
     p = BT.pad_inner_axis(b, "batch_id", "sample", pad_val=1)
-    return p.select("sent_id", "batch_id", F.transform("padded", lambda r: F.size(r)).alias("inner_sizes"))
+    return p.select("sent_id", "batch_id", F.array_join(F.transform(
+        "padded", lambda r: F.array_join(r.cast("array<string>"), " ")), " | ").alias("padded"))
 
 
 BUCKET_SQL = f"""e as (select sent_id, cast(len(ids) as int) as n_ids from enc),
@@ -768,18 +771,18 @@ def q_fit(spark, sf_dir):
 
 @register("count_mlm_token_scores", f"""with {model_ctes('char')},
 {sql.FX7_PAIRS},
-{count_model_token_scores('pairs', 'paradigm, line_no', 1024)}
+{count_model_token_scores('pairs', 'paradigm, line_no')}
 select paradigm, line_no, cast(pos as int) as pos, t, round(logprob, 4) as logprob from q_lp""")
 def q_tok_scores(spark, sf_dir):
     m = fl.fitted_model(spark, sf_dir)
     t = CM.token_logprobs(m, fx.minimal_pairs(spark, sf_dir), "sentence", ["paradigm", "line_no"],
-                          outer=False, max_tokens=SC.MLM_MAX_TOKENS)
+                          outer=False)
     return t.select("paradigm", "line_no", "pos", "t", r4(F.col("logprob")).alias("logprob"))
 
 
 @register("mlm_scores", f"""with {model_ctes('char')},
 {sql.FX7_PAIRS},
-{count_model_token_scores('pairs', 'paradigm, line_no', 1024)}
+{count_model_token_scores('pairs', 'paradigm, line_no')}
 select p.paradigm, p.line_no, round(coalesce(s.score, 0.0), 4) as score
 from pairs p left join (select paradigm, line_no, sum(logprob) as score from q_lp group by 1, 2) s
   on p.paradigm = s.paradigm and p.line_no = s.line_no""")
@@ -792,7 +795,7 @@ def q_mlm_scores(spark, sf_dir):
 {sql.FX7_PAIRS},
 {count_model_token_scores('pairs', 'paradigm, line_no', None)},
 s as (select p.paradigm, p.line_no,
-             coalesce(sum(q.logprob) filter (where len(string_split(p.sentence, '')) + 2 <= 1024), 0.0) as mlm,
+             coalesce(sum(q.logprob), 0.0) as mlm,
              avg(-q.logprob) as holistic
       from pairs p left join q_lp q on p.paradigm = q.paradigm and p.line_no = q.line_no group by 1, 2),
 scores as (select 'mlm' as scoring_method, paradigm, line_no, mlm as score from s
@@ -816,12 +819,11 @@ def q_paradigm_acc(spark, sf_dir):
 
 
 @register("pll_with_zero_default", f"""with {model_ctes('word')}, {FX5},
-{count_model_token_scores('fx5', 'sent_id', 1024, 'word')}
+{count_model_token_scores('fx5', 'sent_id', unit='word')}
 select f.sent_id, round(coalesce(s.score, 0.0), 4) as score
 from fx5 f left join (select sent_id, sum(logprob) as score from q_lp group by 1) s using (sent_id)""")
 def q_pll_zero(spark, sf_dir):
-    s = SC.mlm_scores(word_model(spark, sf_dir), fx.sentences(spark, sf_dir), ["sent_id"],
-                      max_tokens=SC.MLM_MAX_TOKENS)
+    s = SC.mlm_scores(word_model(spark, sf_dir), fx.sentences(spark, sf_dir), ["sent_id"])
     return s.withColumn("score", r4(F.col("score")))
 
 
@@ -857,6 +859,34 @@ def q_pandas_scorer(spark, sf_dir):
     return out.withColumn("logprob", r4(F.col("logprob")))
 
 
+# A model DuckDB can follow: 64 labels (id modulo 64), logits from the sum of the
+# (masked) ids, the position and the label.
+TOY_SQL = """lg as (select *, list_transform(range(64), lambda v: ((s * 31 + pos * 17 + v * v * 7) % 101) / 10.0) as z from src),
+tok as (select sent_id, pos, z[cast(label % 64 as int) + 1] - ln(list_sum(list_transform(z, lambda x: exp(x)))) as lp from lg)"""
+
+
+@register("scorer_mlm_scores", f"""with {VOCAB_SQL},
+src as (select sent_id, i - 1 as pos, ids[i] as label, list_sum(ids) - ids[i] + 4 as s
+        from (select sent_id, ids, unnest(range(2, len(ids))) as i from enc)),
+{TOY_SQL}
+select enc.sent_id, round(coalesce(sum(lp), 0.0), 4) as score from enc left join tok on enc.sent_id = tok.sent_id group by 1""")
+def q_scorer_mlm(spark, sf_dir):
+    from minpair.operators.scorer import ToyModel, scorer_mlm_scores
+    _, _, enc = fx5_encoded(spark, sf_dir)
+    return scorer_mlm_scores(enc, ToyModel(), ["sent_id"]).withColumn("score", r4(F.col("score")))
+
+
+@register("scorer_holistic_scores", f"""with {VOCAB_SQL},
+src as (select sent_id, i - 1 as pos, ids[i] as label, list_sum(ids) as s
+        from (select sent_id, ids, unnest(range(1, len(ids) + 1)) as i from enc)),
+{TOY_SQL}
+select sent_id, round(avg(-lp), 4) as score from tok group by 1""")
+def q_scorer_holistic(spark, sf_dir):
+    from minpair.operators.scorer import ToyModel, scorer_holistic_scores
+    _, _, enc = fx5_encoded(spark, sf_dir)
+    return scorer_holistic_scores(enc, ToyModel(), ["sent_id"]).withColumn("score", r4(F.col("score")))
+
+
 # ---------------------------------------------------------------------------
 # Registry and runs (FX6)
 # ---------------------------------------------------------------------------
@@ -887,7 +917,7 @@ def _label_case(c="corpora", o="training_order", m="consecutive_masking") -> str
     return "case " + " ".join(parts) + " end"
 
 
-SAVES_RE = "^/runs/param_[0-9]{3}/(.+/)?saves/$"
+SAVES_RE = "^/runs/param_[0-9]{3,}/(.+/)?saves/$"
 
 REGISTRY_SQL = f"""{FX6}, {PARAMS_SQL},
 pre as (select * from (values {', '.join('(' + ', '.join(_sql_val(x) for x in r) + ')' for r in PRETRAINED_MODELS)})
@@ -897,12 +927,27 @@ tr as (select '{RG.TRAINED_MODEL_NAME}' as name, lab.corpora,
               cast(row_number() over (partition by fx6.param_name order by path) - 1 as int) as rep, path,
               false as case_sensitive, true as trained_on_lower_cased_data
        from fx6 left join lab using (param_name) where regexp_matches(path, '{SAVES_RE}')),
-reg as (select * from pre union all select * from tr)"""
+ck as (select doc_id, concat('RoBERTa-base-', case when doc_id % 3 = 0 then 'AO-CHILDES'
+              when doc_id % 3 = 1 then 'Wikipedia-1' else source end) as dir_name from documents),
+cv as (select 'RoBERTa-base' as name, case when contains(dir_name, 'AO-CHILDES') then 'AO-CHILDES' else 'Wikipedia-1' end as corpora,
+              cast(doc_id % 10 as int) as rep, concat('/fairseq/', dir_name, '/checkpoint_last_', cast(doc_id % 10 as varchar), '.pt') as path,
+              true as case_sensitive, true as trained_on_lower_cased_data
+       from ck where contains(dir_name, 'AO-CHILDES') or contains(dir_name, 'Wikipedia-1')),
+reg as (select * from pre union all select * from tr union all select * from cv)"""
 
 
 def registry(spark, sf_dir):
     return RG.registry_union(RG.pretrained_registry(spark),
-                             RG.trained_registry(fx.runs(spark, sf_dir), fx.run_params(spark)))
+                             RG.trained_registry(fx.runs(spark, sf_dir), fx.run_params(spark)),
+                             RG.checkpoint_registry(fx.checkpoint_files(spark, sf_dir).withColumnRenamed("ckpt_path", "path"),
+                                                    strict=False))
+
+
+@register("param_name", """select doc_id, concat('param_', case when doc_id < 1000 then right(concat('00', cast(doc_id as varchar)), 3)
+       else cast(doc_id as varchar) end) as param_name from (select doc_id * 7 as doc_id from documents)""")
+def q_param_name(spark, sf_dir):
+    ids = read_table(spark, sf_dir, "documents", (F.col("doc_id") * 7).alias("doc_id"))
+    return ids.select("doc_id", TX.param_name("doc_id").alias("param_name"))
 
 
 @register("runs_scan", f"with {FX6}\nselect param_name, path from fx6 where regexp_matches(path, '{SAVES_RE}')")
@@ -1072,7 +1117,8 @@ def q_params_source(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-@register("stream_results_dedup", f"with {FX2}\nselect distinct {KEYS_SQL}, paradigm from fx2")
+@register("stream_results_dedup", f"""with {FX2}
+select {KEYS_SQL}, paradigm, case when rep < 2 then accuracy else least(accuracy + 1.0, 100.0) end as accuracy from fx2""")
 def q_stream_dedup(spark, sf_dir):
     old, new = _old_new(spark, sf_dir)
     landing = SK.scratch_path(spark, "results-landing")
@@ -1081,7 +1127,7 @@ def q_stream_dedup(spark, sf_dir):
     sink, ck = SK.scratch_path(spark, "results-sink"), SK.scratch_path(spark, "results-ckpt")
     q = SR.results_dedup_stream(spark, landing, old.schema, sink, ck, max_files_per_trigger=4)
     SR.run_to_completion(q)
-    return SR.read_sink(spark, sink).select(*KEYS, "paradigm")
+    return SR.read_sink(spark, sink).select(*KEYS, "paradigm", "accuracy")
 
 
 @register("stream_sentence_scores", f"""with {FX3}
@@ -1139,7 +1185,7 @@ def _eval_sql() -> str:
         sep = "''" if unit == "char" else "' '"
         parts.append(f"""{prefix}s as (
   select p.paradigm, p.line_no,
-         case when len(string_split(p.sentence, {sep})) + 2 <= 1024 then coalesce(sum(q.logprob), 0.0) else 0.0 end as mlm,
+         coalesce(sum(q.logprob), 0.0) as mlm,
          avg(-q.logprob) as holistic
   from pairs p left join {prefix}q_lp q on p.paradigm = q.paradigm and p.line_no = q.line_no
   group by p.paradigm, p.line_no, p.sentence),

@@ -19,8 +19,8 @@ from minpair.functions.text import lower_case_lines
 from minpair.operators.accuracy import pair_accuracy
 from minpair.operators import count_model as cm
 from minpair.operators.count_model import CountModel
-from minpair.operators.results import KEYS, results_dedup, results_wide
-from minpair.operators.scoring import MLM_MAX_TOKENS, both_scores
+from minpair.operators.results import KEYS, results_wide
+from minpair.operators.scoring import both_scores
 
 
 @dataclass
@@ -66,7 +66,7 @@ def _shared_scores(group: list[ScoredModel], lines: DataFrame, text_col: str, ma
     agg = j.groupBy("_m", "paradigm", "line_no").agg(F.sum(lp).alias("_sum"), F.avg(-lp).alias("_mean"),
                                                      F.count("t").alias("_n"))
     ok = F.lit(True) if max_tokens is None else (F.col("_n") + 2 <= F.lit(int(max_tokens)))
-    mlm = F.when(ok, F.coalesce(F.col("_sum"), F.lit(0.0))).otherwise(F.lit(0.0))
+    mlm = F.when(ok, F.coalesce(F.col("_sum"), F.lit(0.0)))
     sides = F.array(F.struct(F.lit("mlm").alias("scoring_method"), mlm.alias("score")),
                     F.struct(F.lit("holistic").alias("scoring_method"), F.col("_mean").alias("score")))
 
@@ -82,7 +82,7 @@ def _shared_scores(group: list[ScoredModel], lines: DataFrame, text_col: str, ma
 
 
 def results_long(models: list[ScoredModel], lines: DataFrame, text_col: str = "sentence",
-                 max_tokens: int | None = MLM_MAX_TOKENS) -> DataFrame:
+                 max_tokens: int | None = None) -> DataFrame:
     """(model, corpora, rep, path, scoring_method, paradigm, accuracy) for
     every model, both methods and every paradigm of ``lines``
     (paradigm, line_no, sentence). Models sharing a token unit and
@@ -100,12 +100,16 @@ def results_long(models: list[ScoredModel], lines: DataFrame, text_col: str = "s
 
 
 def evaluate(models: list[ScoredModel], lines: DataFrame, paradigms: list[str],
-             previous: DataFrame | None = None) -> DataFrame:
+             previous: DataFrame | None = None, max_tokens: int | None = None) -> DataFrame:
     """The wide results table (one row per model and method, a column per
-    paradigm, ``overall`` rounded to 2 decimals half-even); rows already in
-    ``previous`` (long form) win over new ones, as in the original's
-    first-occurrence deduplication."""
-    long = results_long(models, lines)
+    paradigm, ``overall`` rounded to 2 decimals half-even). A result row
+    (model, corpora, rep, path, method) already in ``previous`` (long form)
+    wins whole over a new one: no cell of the new row is mixed in."""
+    long = results_long(models, lines, max_tokens=max_tokens)
     if previous is not None:
-        long = results_dedup(previous.select(*long.columns), long, KEYS + ["paradigm"])
+        have = previous.select(*[F.col(k).alias(f"_{k}") for k in KEYS]).distinct()
+        same = F.lit(True)
+        for k in KEYS:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        long = previous.select(*long.columns).unionByName(long.join(have, same, "left_anti"))
     return results_wide(long, paradigms, overall_decimals=2)

@@ -49,7 +49,7 @@ FX4 = """fx4 as (
   from lineitem)"""
 
 FX5 = """fx5 as (
-  select conv_id * 1000 + turn as sent_id, lower(replace(text, chr(10), ' ')) as sentence from conversations
+  select cast(conv_id as bigint) * 1000000000 + turn as sent_id, lower(replace(text, chr(10), ' ')) as sentence from conversations
   union all select -1, '')"""
 
 FX6 = """fx6 as (
@@ -101,7 +101,7 @@ def logprob_sql(prefix: str = "") -> str:
 LOGPROB_SQL = logprob_sql()
 
 
-def count_model_token_scores(source: str, keys: str, max_tokens: int | None = 1024,
+def count_model_token_scores(source: str, keys: str, max_tokens: int | None = None,
                              unit: str = "char", prefix: str = "") -> str:
     """CTEs q_tok (keys, pos, l, t, r) and q_lp (keys, pos, ..., logprob) for
     sentences in CTE ``source`` (columns keys + sentence); names preceded by
@@ -151,10 +151,9 @@ def flagship_sql(method: str = "mlm") -> str:
   select p.paradigm, p.line_no, s.score
   from pairs p left join (select paradigm, line_no, avg(-logprob) as score from q_lp group by 1, 2) s
     on p.paradigm = s.paradigm and p.line_no = s.line_no)"""
-    max_tokens = 1024 if method == "mlm" else None
     return f"""with {FX7_TRAIN},
 {FX7_PAIRS},
-{count_model_token_scores('pairs', 'paradigm, line_no', max_tokens)},
+{count_model_token_scores('pairs', 'paradigm, line_no')},
 {score},
 {pair_accuracy_sql('scores', method=method)}
 select paradigm, n_pairs, n_correct,

@@ -6,6 +6,9 @@ any data size.
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,10 +156,52 @@ def t_critical(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(T_CRITICAL_090, "df int, t double")
 
 
-def t_critical_expr(df_col) -> "F.Column":
-    """t critical value (conf 0.90) for a degrees-of-freedom column, as a
-    literal map lookup: no join needed, NULL for df outside the table."""
+def t_quantile(p: float, df: int) -> float:
+    """Quantile of Student's t by bisection on its distribution function, which
+    for an integer df is a finite trigonometric sum."""
+    def upper(t):  # P(T <= t), t >= 0
+        a = math.atan(t / math.sqrt(df))
+        c, term, total = math.cos(a), 1.0, 0.0
+        if df % 2:
+            term = c
+            for k in range(3, df + 1, 2):
+                total += term
+                term *= c * c * (k - 1) / k
+            return 0.5 + (a + math.sin(a) * total) / math.pi
+        for k in range(2, df + 1, 2):
+            total += term
+            term *= c * c * (k - 1) / k
+        return 0.5 + math.sin(a) * total / 2
+
+    lo, hi = 0.0, 1.0
+    while upper(hi) < p:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if upper(mid) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def _t_expansion(z: float, df) -> "F.Column":
+    """Cornish-Fisher expansion of the t quantile in 1/df (error under 1e-7 beyond df 100)."""
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+             (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+    n = df.cast("double")
+    return F.lit(z) + F.lit(terms[0]) / n + F.lit(terms[1]) / (n * n) + F.lit(terms[2]) / (n * n * n)
+
+
+#: Degrees of freedom up to which the quantile is computed exactly.
+T_EXACT_DF = 120
+
+
+def t_critical_expr(df_col, confidence: float = 0.90) -> "F.Column":
+    """Two-sided t critical value of a degrees-of-freedom column for any df >= 1
+    and any confidence, to 6 decimals: a literal map up to ``T_EXACT_DF``, the
+    expansion beyond. No join; NULL below 1."""
+    p = 0.5 + confidence / 2
     flat = []
-    for k, v in T_CRITICAL_090:
-        flat += [F.lit(k), F.lit(v)]
-    return F.try_element_at(F.create_map(*flat), df_col.cast("int"))
+    for k in range(1, T_EXACT_DF + 1):
+        flat += [F.lit(k), F.lit(round(t_quantile(p, k), 6))]
+    z = NormalDist().inv_cdf(p)
+    return F.when(df_col > T_EXACT_DF, F.round(_t_expansion(z, df_col), 6)).otherwise(
+        F.try_element_at(F.create_map(*flat), df_col.cast("int")))

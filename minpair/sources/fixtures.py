@@ -83,9 +83,9 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FX5: lower-cased FX1 sentences keyed by conv_id*1000+turn, plus one empty line."""
+    """FX5: lower-cased FX1 sentences keyed by conv_id*10^9+turn, plus one empty line."""
     conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    df = conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"),
+    df = conv.select((F.col("conv_id").cast("long") * 1_000_000_000 + F.col("turn")).alias("sent_id"),
                      F.lower(F.replace("text", F.lit("\n"), F.lit(" "))).alias("sentence"))
     empty = spark.createDataFrame([(-1, "")], "sent_id long, sentence string")
     return df.unionByName(empty)

@@ -79,7 +79,7 @@ def select_runs(runs: DataFrame, param_names: list[str] | DataFrame) -> DataFram
 
 def saved_runs(runs: DataFrame, root: str = "/runs") -> DataFrame:
     """A9 on a paths table: ``root/param_NNN/**/saves/`` directories."""
-    pat = "^" + root.rstrip("/").replace(".", r"\.") + r"/param_[0-9]{3}/(.+/)?saves/$"
+    pat = "^" + root.rstrip("/").replace(".", r"\.") + r"/param_[0-9]{3,}/(.+/)?saves/$"
     return runs.where(F.col("path").rlike(pat))
 
 
@@ -90,7 +90,7 @@ def list_saved_runs(spark: SparkSession, root: str) -> DataFrame:
     read)."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .load(root).select("path"))
-    m = r"^(.*/(param_[0-9]{3})/(?:.+/)?saves/)"
+    m = r"^(.*/(param_[0-9]{3,})/(?:.+/)?saves/)"
     runs = files.select(F.regexp_extract("path", m, 1).alias("path"),
                         F.regexp_extract("path", m, 2).alias("param_name"))
     return runs.where(F.col("path") != "").select("param_name", "path").distinct()
@@ -150,6 +150,29 @@ def trained_registry(runs: DataFrame, params: DataFrame) -> DataFrame:
         F.lit(False).alias("case_sensitive"), F.lit(True).alias("trained_on_lower_cased_data"))
 
 
+# FIXED VALUES: model name and flags of converted checkpoints.
+CHECKPOINT_MODEL = ("RoBERTa-base", True, True)
+
+
+def checkpoint_registry(files: DataFrame, strict: bool = True) -> DataFrame:
+    """Registry rows of converted checkpoints (dir_name, file_name, path).
+
+    A directory whose corpora are not known is an error at run time; with
+    ``strict`` off its files are left out and ``invalid_checkpoints`` lists them.
+    """
+    name, cased, lowered = CHECKPOINT_MODEL
+    label = checkpoint_label(F.col("dir_name"))
+    if strict:
+        label = F.coalesce(label, F.raise_error(F.concat(F.lit("unknown corpora of checkpoint "), F.col("path"))).cast("string"))
+    return files.select(F.lit(name).alias("name"), label.alias("corpora"), checkpoint_rep(F.col("file_name")).alias("rep"),
+                        "path", F.lit(cased).alias("case_sensitive"),
+                        F.lit(lowered).alias("trained_on_lower_cased_data")).where(F.col("corpora").isNotNull())
+
+
+def invalid_checkpoints(files: DataFrame) -> DataFrame:
+    return files.where(checkpoint_label(F.col("dir_name")).isNull())
+
+
 def registry_union(*registries: DataFrame) -> DataFrame:
     """Concatenate registries by column name."""
     out = registries[0]

@@ -40,7 +40,7 @@ def paradigm_catalog(spark: SparkSession, path: str, glob: str = "*.txt") -> Dat
 
 
 def scan_suite(spark: SparkSession, path: str, strict: bool = True, glob: str = "*.txt") -> DataFrame:
-    """A1: holistic-style scan: split on '\\n', no stripping.
+    """A1: holistic-style scan: split on \\n, \\r\\n or \\r, no stripping.
 
     (paradigm, line_no, sentence). With ``strict`` the query fails at run
     time if a file has an odd number of lines or ends with an empty line
@@ -48,7 +48,7 @@ def scan_suite(spark: SparkSession, path: str, strict: bool = True, glob: str =
     """
     files = _whole_files(spark, path, glob)
     parts = files.select(_url_decode(_paradigm_from_path()).alias("paradigm"),
-                         F.split("value", "\n").alias("_lines"))
+                         F.split("value", "\\r\\n|\\r|\\n", -1).alias("_lines"))
     if strict:
         bad = (F.size("_lines") % 2 == 1) | (F.element_at("_lines", -1) == "")
         parts = parts.withColumn("_lines", F.when(bad, F.raise_error(F.concat(
@@ -63,7 +63,7 @@ def scan_corpus(spark: SparkSession, path: str, lower_case: bool = False, glob:
     """A2: MLM-style corpus scan: lines keyed by line number, whitespace
     stripped, the empty item after a final newline dropped."""
     files = _whole_files(spark, path, glob)
-    lines = F.split("value", "\n")
+    lines = F.split("value", "\\r\\n|\\r|\\n", -1)
     lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
     parts = files.select(_url_decode(_paradigm_from_path()).alias("paradigm"), lines.alias("_lines"))
     out = parts.select("paradigm", F.posexplode("_lines").alias("line_no", "sentence"))

@@ -17,19 +17,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+#: Default size of a scan split.
+SPLIT_BYTES = 128 << 20
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition the rows over the cluster's cores when a scan yields
     fewer partitions than that (a small single-row-group file gives one task).
 
-    Large inputs already arrive in many splits and pass through unchanged, so
-    no shuffle is added at scale. Hash partitioning (on ``keys``, else on all
-    columns) is deterministic on retry without the sort that round-robin
-    repartitioning needs.
+    The size comes from the plan's statistics, so nothing runs while a plan is
+    built. A scan estimated to fill every core with a split of its own passes
+    through unchanged: no shuffle is added at scale. Hash partitioning (on
+    ``keys``, else on all columns) is deterministic on retry.
     """
     try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave as is
+        spark = df.sparkSession
+        cores = spark.sparkContext.defaultParallelism
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no JVM plan (Spark Connect): leave as is
+        return df
+    if size >= cores * SPLIT_BYTES:
         return df
     return df.repartition(cores, *(keys or df.columns))

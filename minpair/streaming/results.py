@@ -1,15 +1,14 @@
 """L1: the results table grown incrementally, first row per key wins.
 
 Each scoring run appends files of long-form rows to a landing directory; the
-stream keeps the first row it sees per key and appends it to the results
-table. State is one entry per key (a results table is small: models x
-methods x paradigms). Sources with an event-time column can bound the
-state with ``dropDuplicatesWithinWatermark`` instead.
+stream appends the first row per key to the results table. What it has
+written is its only memory: it holds no state between micro-batches.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from minpair.operators.results import KEYS
@@ -18,23 +17,49 @@ from minpair.operators.results import KEYS
 def results_dedup_stream(spark: SparkSession, landing: str, schema: T.StructType, sink: str,
                          checkpoint: str, keys: list[str] | None = None,
                          max_files_per_trigger: int | None = None):
-    """Start the dedup stream (``availableNow``) and return the query handle."""
+    """Start the dedup stream (``availableNow``) and return the query handle.
+
+    Within a micro-batch the row of the earliest file wins (by modification
+    time, then path, then the row's own values); rows whose key an earlier
+    batch has written are left out. A batch overwrites its own folder, so a
+    replay after a failure writes the same rows.
+    """
     keys = keys or KEYS + ["paradigm"]
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.parquet(landing)
-    dedup = src.dropDuplicates(keys)
-    return (dedup.writeStream.format("parquet").option("path", sink)
-                 .option("checkpointLocation", checkpoint)
-                 .outputMode("append").trigger(availableNow=True).start())
+    src = reader.parquet(landing).select("*", F.col("_metadata.file_modification_time").alias("_at"),
+                                         F.col("_metadata.file_path").alias("_file"))
+    rest = [c for c in schema.names if c not in keys]
+
+    def first_rows(batch: DataFrame, batch_id: int) -> None:
+        first = batch.groupBy(*keys).agg(F.min(F.struct("_at", "_file", *rest)).alias("_v"))
+        first = first.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
+        if batch_id > 0:
+            have = (batch.sparkSession.read.schema(T.StructType([schema[k] for k in keys])).parquet(
+                *[f"{sink}/batch={i:06d}" for i in range(batch_id)])
+                .select(*[F.col(k).alias(f"_{k}") for k in keys]))
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+            first = first.join(have, same, "left_anti")
+        first.write.mode("overwrite").parquet(f"{sink}/batch={batch_id:06d}")
+
+    return (src.writeStream.foreachBatch(first_rows).option("checkpointLocation", checkpoint)
+               .trigger(availableNow=True).start())
 
 
-def run_to_completion(query, timeout_s: int = 600) -> None:
-    query.awaitTermination(timeout_s)
+def run_to_completion(query, timeout_s: float | None = None) -> None:
+    """Wait for the stream's end. With ``timeout_s``, a stream that is not done by
+    then is stopped and TimeoutError is raised."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"stream not done after {timeout_s} s")
     if query.exception() is not None:
         raise query.exception()
 
 
 def read_sink(spark: SparkSession, sink: str) -> DataFrame:
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).drop("batch")

@@ -69,14 +69,17 @@ def test_text_goldens(spark):
 
 
 def test_report_line_matches_python(spark):
-    name, acc, n, h = "RoBERTa-base+AO-CHILDES", 73.641, 3, 1.2345
-    expected = f"{name:.<64}accuracy={acc:.2f} n={n:>2} margin-of-error={h:>8.2f}"
+    name, acc, n, h = "model-x+corpus-y", 73.641, 3, 1.2345
+    expected = "model-x+corpus-y" + "." * 48 + "accuracy=73.64 n= 3 margin-of-error=    1.23"
     got = spark.range(1).select(TX.report_line(F.lit(name), TX.round_half_even(F.lit(acc), 2), F.lit(n),
                                                TX.round_half_even(F.lit(h), 2)).alias("x")).collect()[0]["x"]
     assert got == expected
     nan_line = spark.range(1).select(TX.report_line(F.lit(name), F.lit(70.0), F.lit(1),
                                                     F.lit(None).cast("double")).alias("x")).collect()[0]["x"]
-    assert nan_line.endswith(f"margin-of-error={float('nan'):>8.2f}")
+    assert nan_line.endswith("margin-of-error=     nan")
+    wide = spark.range(1).select(TX.fixed(F.lit(1234567.89), 8, 2).alias("x"), TX.param_name(F.lit(1001)).alias("p"),
+                                 TX.param_name(F.lit(7)).alias("q"), TX.strip_whitespace(F.lit("\u00a0\u2003a b\u3000")).alias("s")).collect()[0]
+    assert (wide["x"], wide["p"], wide["q"], wide["s"]) == ("1234567.89", "param_1001", "param_007", "a b")
 
 
 def test_shorten_path(spark):

@@ -83,3 +83,23 @@ def test_range_row_number_null_groups(spark):
     mine = range_row_number(df, ["g"], ["id"], name="rn", base=1, num_partitions=5)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("id")))
     assert sorted(map(tuple, mine.select("id", "rn").collect())) == sorted(map(tuple, ref.select("id", "rn").collect()))
+
+
+def test_margin_for_any_df_and_confidence(spark):
+    """Against published t values, and no NULL beyond the old table's end."""
+    from minpair.sources.dims import t_critical_expr, t_quantile
+    for df, p, t in [(1, 0.975, 12.706205), (7, 0.995, 3.499483), (34, 0.95, 1.690924), (100, 0.975, 1.983972)]:
+        assert abs(t_quantile(p, df) - t) < 1e-6
+    got = {r[0]: r[1] for r in spark.range(1, 401).select("id", t_critical_expr(F.col("id")).alias("t")).collect()}
+    for k, v in T_CRITICAL_090:
+        assert got[k] == v
+    assert abs(got[200] - 1.652508) < 2e-6 and abs(got[400] - 1.648672) < 2e-6
+    rows = [("M", "C", rep, f"p{rep}", "holistic", "irregular-verb", 50.0 + rep) for rep in range(35)]
+    assert SM.margin_of_error_reps(_long(spark, rows), "holistic").collect()[0]["margin"] is not None
+
+
+def test_missing_cell_propagates_through_the_margin(spark):
+    rows = [("M", "C", 0, "p0", "holistic", "irregular-verb", 60.0), ("M", "C", 1, "p1", "holistic", "irregular-verb", 70.0),
+            ("M", "C", 2, "p2", "holistic", "irregular-verb", None)]
+    m = SM.margin_of_error_reps(_long(spark, rows), "holistic", missing="propagate").collect()[0]
+    assert math.isnan(m["accuracy"]) and math.isnan(m["margin"])

@@ -81,3 +81,43 @@ def test_scorer_ragged_rows(spark):
     for _, p, lab, x in rows:
         x = np.asarray(x)
         assert math.isclose(got[p], x[lab] - np.log(np.exp(x).sum()), rel_tol=1e-12)
+
+
+def test_universal_newlines(spark, tmp_path):
+    from minpair.sources.suites import scan_corpus, scan_suite
+    (tmp_path / "par.txt").write_bytes(b"a b\r\nc\rd\n e")
+    got = [r["sentence"] for r in scan_corpus(spark, str(tmp_path)).orderBy("line_no").collect()]
+    assert got == ["a b", "c", "d", "e"]
+    assert [r["sentence"] for r in scan_suite(spark, str(tmp_path)).orderBy("line_no").collect()] == ["a b", "c", "d", " e"]
+
+
+def test_checkpoint_registry_rejects_unknown_corpora(spark):
+    import pytest
+    from minpair.sources import registry as RG
+    files = spark.createDataFrame([("X-AO-CHILDES", "checkpoint_last_3.pt", "/a"), ("X-other", "checkpoint_last_1.pt", "/b")],
+                                  "dir_name string, file_name string, path string")
+    ok = RG.checkpoint_registry(files, strict=False).collect()
+    assert [(r["corpora"], r["rep"], r["case_sensitive"]) for r in ok] == [("AO-CHILDES", 3, True)]
+    assert RG.invalid_checkpoints(files).count() == 1
+    with pytest.raises(Exception, match="unknown corpora"):
+        RG.checkpoint_registry(files).collect()
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    import pytest
+    from minpair import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session())

@@ -34,3 +34,32 @@ def test_sentence_score_stream_sums_batches(spark, tmp_path):
     SR.run_to_completion(q)
     got = {r["sent_id"]: (r["score"], r["n_tokens"]) for r in SS.current_scores(spark, str(tmp_path / "sink"), ["sent_id"]).collect()}
     assert got == {1: (-3.25, 3), 2: (-0.5, 1)}
+
+
+def test_results_stream_first_row_wins_inside_a_batch(spark, tmp_path):
+    landing = str(tmp_path / "landing")
+    for acc in (10.0, 90.0, 5.0):
+        _long(spark, [("m", "c", 0, "m/c/0", "mlm", "p", acc)]).coalesce(1).write.mode("append").parquet(landing)
+        import time
+        time.sleep(0.05)
+    q = SR.results_dedup_stream(spark, landing, spark.read.parquet(landing).schema, str(tmp_path / "sink"), str(tmp_path / "ck"))
+    SR.run_to_completion(q)
+    assert [r["accuracy"] for r in SR.read_sink(spark, str(tmp_path / "sink")).collect()] == [10.0]
+
+
+def test_wait_with_a_limit_raises(spark):
+    import pytest
+
+    class Slow:
+        stopped = False
+
+        def awaitTermination(self, timeout=None):
+            return False
+
+        def stop(self):
+            self.stopped = True
+
+    q = Slow()
+    with pytest.raises(TimeoutError):
+        SR.run_to_completion(q, 1)
+    assert q.stopped
