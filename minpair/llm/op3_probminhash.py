@@ -10,8 +10,8 @@ Bands of registers give buckets. Texts that are equal word by word are one
 node from the start. In a small bucket every two nodes are compared; in a
 large one (a large group of near copies, or texts round a common passage)
 each node meets the bucket's pivot, the node with the most company over all
-bands, and the nodes whose component the pivot did not join meet a new pivot,
-until a round over all buckets adds no link. Every candidate is verified on
+bands. The nodes that the pivot's component has not reached meet further ones,
+drawn anew in each bucket and round, until rounds over all buckets add no link. Every candidate is verified on
 the whole texts: a link is an exact similarity of 0.8 or more, by the
 probability Jaccard of the shingle counts or by the Jaccard of the distinct
 shingles (the two differ only where a text repeats itself).
@@ -38,6 +38,9 @@ BROADCAST_MAX_IDS = 2_000_000
 #: Nodes of a bucket up to which every two are compared.
 SMALL_BUCKET = 8
 
+#: Rounds in a row without a new link after which the search ends.
+PATIENCE = 2
+
 _U = np.uint64
 
 
@@ -228,9 +231,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _pivots(members: DataFrame) -> DataFrame:
-    """(key, pivot): the node of most company in each bucket of (key, id, score)."""
-    return members.groupBy("key").agg(F.max(F.struct("score", "id")).alias("m")).select("key", F.col("m.id").alias("pivot"))
+def _pivots(members: DataFrame, turn: int = 0) -> DataFrame:
+    """(key, pivot): the node of most company in each bucket of (key, id, score); at
+    later turns company is weighed by chance, each bucket and turn on its own."""
+    worth = F.col("score").cast("double")
+    if turn:
+        worth = worth * (F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.lit(1000)) + 1)
+    return (members.groupBy("key").agg(F.max(F.struct(worth.alias("w"), F.col("id"))).alias("m"))
+            .select("key", F.col("m.id").alias("pivot")))
 
 
 def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -269,24 +277,28 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = written(met.union(every).distinct())
     edges = written(verify(asked, docs, id_col, text_col, similarity, width).select("a", "b").distinct().union(links))
     labels = components(edges)
-    left = large
-    while True:
-        # members that their bucket's pivot did not reach meet a new pivot
-        named = left.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    left, idle, turn = large, 0, 0
+    while idle < PATIENCE:
+        # members that their bucket's pivot has not reached meet two more of the
+        # bucket: one of all its members and one of those not reached
+        turn += 1
         at = pivots.join(labels, F.col("pivot") == F.col("id"), "left").select(
             "key", F.coalesce("label", "pivot").alias("reached"))
-        left = written(named.join(at, "key").filter("label != reached").select("key", "id", "score"))
-        pivots = written(_pivots(left))
-        new = _ordered(left.join(pivots, "key"), "id", "pivot").join(asked, ["a", "b"], "left_anti")
-        new = written(new)
-        if new.isEmpty():
+        # classes only grow, so what one round has reached needs no second look
+        named = left.select("key", "id", "score").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        left = written(named.join(at, "key").filter("label != reached").select("key", "id", "score", "label"))
+        if left.isEmpty():
             break
+        drawn = large.join(left.select("key").distinct(), "key")
+        met = (left.join(_pivots(drawn, turn), "key").select("id", "pivot")
+               .union(left.join(_pivots(left, turn), "key").select("id", "pivot")))
+        new = written(_ordered(met, "id", "pivot").join(asked, ["a", "b"], "left_anti"))
         found = written(verify(new, docs, id_col, text_col, similarity, width).select("a", "b").distinct())
-        if found.isEmpty():
-            break
         asked = written(asked.union(new))
-        edges = written(edges.union(found))
-        labels = components(edges)
+        idle = idle + 1 if found.isEmpty() else 0
+        if not idle:
+            edges = written(edges.union(found))
+            labels = components(edges)
     home = written(nodes.select("fp", "node").join(labels.withColumnRenamed("id", "node"), "node", "left")
                    .select("fp", "node", F.coalesce("label", "node").alias("label")))
     out = table.select("id", "fp").join(home, "fp", "left")
