@@ -56,9 +56,9 @@ def _shared_scores(group: list[ScoredModel], lines: DataFrame, text_col: str, ma
         tri = tri.unionByName(m.model.trigrams.select(F.lit(i).alias("_m"), "l", "t", "r", F.col("logprob").alias("_seen")))
         uni = uni.unionByName(m.model.unigrams.select(F.lit(i).alias("_m"), "t", F.col("unseen_logprob").alias("_unseen")))
     # broadcast only if all models together stay under the checked bounds
-    if sum(m.model.n_trigrams for m in group) <= cm.BROADCAST_MAX_ROWS:
+    if sum(m.model.n_trigrams for m in group) <= cm.max_rows(tri):
         tri = F.broadcast(tri)
-    if sum(m.model.n_types for m in group) <= cm.BROADCAST_MAX_TYPES:
+    if sum(m.model.n_types for m in group) <= cm.max_types(uni):
         uni = F.broadcast(uni)
     unknown = F.element_at(F.array(*[F.lit(m.model.unknown_logprob()) for m in group]), F.col("_m") + 1)
     j = toks.join(tri, ["_m", "l", "t", "r"], "left").join(uni, ["_m", "t"], "left")
