@@ -58,19 +58,28 @@ def text_stats(df: DataFrame, keys: list[str], text_col: str = "text", more: boo
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         *([F.size("lines").cast("long").alias("n_lines"),
            F.size(F.array_distinct("w")).cast("long").alias("n_distinct_words")] if more else []),
-        # the 3-word windows; words hold no space, so the joined text is the window
+        "w",
+        # the 3-word windows by hash: longs are told apart and sorted faster than strings
         F.when(F.size("w") >= 3, F.transform(
             F.sequence(F.lit(0), F.size("w") - 3),
-            lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).alias("win"))
+            lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).alias("win"))
     carried += ["n_words", "n_dup_lines"] + (["n_lines", "n_distinct_words"] if more else [])
-    # sorted with their places, only where some window repeats
-    d = d.select(*ks, *carried, F.when(
+
+    def repeated(srt):
+        return F.filter(srt, lambda x, i: x["g"].eqNullSafe(F.get(srt, i - 1)["g"])
+                        | x["g"].eqNullSafe(F.get(srt, i + 1)["g"]))
+
+    # sorted with their places, only where some hash repeats
+    d = d.select(*ks, *carried, "w", F.when(
         F.size(F.array_distinct("win")) < F.size("win"),
         F.sort_array(F.transform("win", lambda x, i: F.struct(x.alias("g"), i.alias("p"))))).alias("srt"))
-    d = d.select(*ks, *carried, F.filter(
-        "srt", lambda x, i: x["g"].eqNullSafe(F.get("srt", i - 1)["g"])
-        | x["g"].eqNullSafe(F.get("srt", i + 1)["g"])).alias("rep"))
-    d = d.select(*ks, *carried, F.sort_array(F.transform("rep", lambda x: x["p"])).alias("p"))
+    # the windows of a repeated hash once more, by their words; these hold no
+    # space, so the joined text is the window
+    d = d.select(*ks, *carried, F.sort_array(F.transform(repeated("srt"), lambda x: F.struct(
+        F.concat_ws(" ", F.get("w", x["p"]), F.get("w", x["p"] + 1), F.get("w", x["p"] + 2)).alias("g"),
+        x["p"].alias("p")))).alias("same"))
+    d = d.select(*ks, *carried, repeated("same").alias("rep"))
+    d = d.select(*ks, *carried, F.sort_array("rep.p").alias("p"))
     d = d.select(*ks, *carried, F.coalesce(F.aggregate(
         F.transform("p", lambda x, i: F.least(F.lit(3), x - F.coalesce(F.get("p", i - 1), F.lit(-3)))),
         F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"))
