@@ -9,12 +9,16 @@ register with the probability Jaccard similarity of their shingle counts.
 Bands of registers give buckets. Texts that are equal word by word are one
 node from the start. In a small bucket every two nodes are compared; in a
 large one (a large group of near copies, or texts round a common passage)
-each node meets the bucket's pivot, the node with the most company over all
-bands. The nodes that the pivot's component has not reached meet further ones,
-drawn anew in each bucket and round, until rounds over all buckets add no link. Every candidate is verified on
-the whole texts: a link is an exact similarity of 0.8 or more, by the
-probability Jaccard of the shingle counts or by the Jaccard of the distinct
-shingles (the two differ only where a text repeats itself).
+each node first meets the bucket's pivot, the node with the most company over
+all bands. The nodes that the pivot's component has not reached meet further
+ones, drawn anew in each bucket and round, while that settles half of them or
+more. What is left then meets the whole bucket: blocks of nodes are compared
+by matrix products over their common shingles, which give every pair's plain
+Jaccard and an upper bound of its probability Jaccard. So two nodes of a
+bucket end in one class, or have been compared. Every link is verified on the
+whole texts: it is an exact similarity of 0.8 or more, by the probability
+Jaccard of the shingle counts or by the Jaccard of the distinct shingles (the
+two differ only where a text repeats itself).
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 
 from minpair.llm.arrow import map_arrow
 from minpair.llm.common import no_null, words, written
+from minpair.operators.scorer import ship_package
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -38,8 +43,10 @@ BROADCAST_MAX_IDS = 2_000_000
 #: Nodes of a bucket up to which every two are compared.
 SMALL_BUCKET = 8
 
-#: Rounds in a row without a new link after which the search ends.
-PATIENCE = 2
+#: Nodes and words of a block; two blocks are held by one task at a time.
+BLOCK_NODES, BLOCK_WORDS = 512, 400_000
+#: Shingles of one matrix product of two blocks.
+SLICE = 4096
 
 _U = np.uint64
 
@@ -157,7 +164,8 @@ def _fingerprint(text):
 
 
 def band_table(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, width: int) -> DataFrame:
-    """(id, fp, keys): the fingerprint and bucket keys of every row; no keys without words."""
+    """(id, fp, size, keys): fingerprint, number of words and bucket keys of every row; no
+    keys without words."""
     d = docs.select(F.col(id_col).alias("id"), words(no_null(text_col)).alias("w"))
     d = d.select("id", F.md5(F.array_join("w", " ").cast("binary")).alias("fp"),
                  F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
@@ -172,20 +180,26 @@ def band_table(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
             some = np.diff(starts) > 0
             offsets = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))],
-                names=["id", "fp", "keys"])
+                [b.column(0), b.column(1), pa.array(np.diff(starts)),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))],
+                names=["id", "fp", "size", "keys"])
 
-    return map_arrow(d, run, f"id {id_type}, fp string, keys array<bigint>")
+    return map_arrow(d, run, f"id {id_type}, fp string, size bigint, keys array<bigint>")
+
+
+def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t) of the rows whose id is among the distinct ``ids``."""
+    ids = written(ids)
+    if ids.limit(BROADCAST_MAX_IDS + 1).count() <= BROADCAST_MAX_IDS:
+        ids = F.broadcast(ids)
+    return written(docs.select(F.col(id_col).alias("id"), no_null(text_col).alias("t")).join(ids, "id", "left_semi"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float,
            width: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole texts have that similarity or more by either
     measure, with the larger (s)."""
-    ends = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    if ends.limit(BROADCAST_MAX_IDS + 1).count() <= BROADCAST_MAX_IDS:
-        ends = F.broadcast(ends)
-    texts = written(docs.select(F.col(id_col).alias("id"), no_null(text_col).alias("t")).join(ends, "id", "left_semi"))
+    texts = _texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, id_col, text_col)
     one = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
     two = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
     both = pairs.join(one, "a").join(two, "b").select(
@@ -209,6 +223,105 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, simila
     return map_arrow(both, run, f"a {id_type}, b {id_type}, s double")
 
 
+def block_links(ids: list, label: np.ndarray, first: np.ndarray, second: np.ndarray, flat: np.ndarray,
+                starts: np.ndarray, similarity: float, width: int) -> list[tuple]:
+    """Links between the texts ``first`` and the texts ``second`` (indices), enough to
+    join all classes (``label``) that a pair of ``similarity`` or more joins."""
+    n = len(ids)
+    d, h, w = shingle_counts(flat, starts, width)
+    at = np.searchsorted(d, np.arange(n + 1))
+    distinct, total = np.diff(at).astype(float), np.bincount(d, weights=w, minlength=n)
+    _, col, times = np.unique(h, return_inverse=True, return_counts=True)
+    shared = times[col] > 1
+    place = np.cumsum(times > 1) - 1
+    sd, sw, sc = d[shared], w[shared], place[col[shared]]
+    order = np.argsort(sc, kind="stable")
+    sd, sw, sc = sd[order], sw[order], sc[order]
+    repeats = bool((sw > 1).any())
+    # distinct shingles in common, and their counts in the first and in the second text
+    both = np.zeros((len(first), len(second)))
+    mine, theirs = (np.zeros_like(both), np.zeros_like(both)) if repeats else (both, both)
+    for lo in range(0, int(sc[-1]) + 1 if len(sc) else 0, SLICE):
+        x = slice(*np.searchsorted(sc, [lo, lo + SLICE]))
+        has = np.zeros((n, SLICE), dtype=np.float32)
+        has[sd[x], sc[x] - lo] = 1
+        both += has[first] @ has[second].T
+        if repeats:
+            count = np.zeros((n, SLICE), dtype=np.float32)
+            count[sd[x], sc[x] - lo] = sw[x]
+            mine += count[first] @ has[second].T
+            theirs += has[first] @ count[second].T
+    plain = both / (distinct[first][:, None] + distinct[second][None, :] - both)
+    # each term of the probability Jaccard is at most max(x_i, y_i) / sum of max(x_j, y_j)
+    bound = (mine + theirs - both) / (total[first][:, None] + total[second][None, :] - both)
+    least = similarity - 1e-9
+    ok = (np.maximum(plain, bound) >= least) & (label[first][:, None] != label[second][None, :])
+    parent = {int(x): int(x) for x in np.unique(label)}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in np.argwhere(ok):
+        a, b = first[i], second[j]
+        p, q = root(int(label[a])), root(int(label[b]))
+        if p == q:
+            continue
+        x, y = slice(at[a], at[a + 1]), slice(at[b], at[b + 1])
+        if plain[i, j] >= least or probability_jaccard(h[x], w[x], h[y], w[y]) >= least:
+            parent[p] = q
+            out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+    return out
+
+
+def bucket_links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float,
+                 width: int) -> DataFrame:
+    """(a, b): links of all the members (key, id, size, label, reached) of the buckets.
+
+    A bucket's members are dealt to blocks, the unreached (``label`` is not
+    ``reached``) and the others apart; the others are of one class, so each
+    block of the unreached meets every block but needs no others to meet. One
+    task holds two blocks.
+    """
+    m = members.withColumn("far", F.col("label") != F.col("reached"))
+    near, far = F.when(~F.col("far"), F.col("size")), F.when(F.col("far"), F.col("size"))
+    blocks = lambda c: F.ceil(F.greatest(
+        F.count(c) / F.lit(BLOCK_NODES), F.coalesce(F.sum(c), F.lit(0)) / F.lit(BLOCK_WORDS))).cast("int")
+    deal = written(m.groupBy("key").agg(blocks(far).alias("nf"), blocks(near).alias("nn"), blocks(F.col("size")).alias("n_all"))
+                   .filter("nf > 0"))
+    m = m.join(deal, "key").withColumn(
+        "mine", F.pmod(F.xxhash64("id"), F.when(F.col("far"), F.col("nf")).otherwise(F.col("nn"))).cast("int"))
+    # (i, j, side): row block i of the unreached and column block j, the others' after the unreached
+    task = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    rows = F.transform(F.filter(upto(F.col("nf") + F.col("nn")), lambda j: j >= F.col("mine")),
+                       lambda j: task(F.col("mine"), j, 0))
+    cols = F.transform(F.filter(upto(F.col("nf")), lambda i: i < F.col("mine")), lambda i: task(i, F.col("mine"), 1))
+    others = F.transform(upto(F.col("nf")), lambda i: task(i, F.col("nf") + F.col("mine"), 1))
+    alone = F.array(F.when(F.col("far"), task(F.lit(0), F.lit(0), 0)).otherwise(task(F.lit(0), F.lit(0), 1)))
+    m = m.select("key", "id", "label", F.explode(
+        F.when(F.col("n_all") <= 1, alone).when(F.col("far"), F.concat(rows, cols)).otherwise(others)).alias("x"))
+    m = written(m.select("key", F.col("x.i").alias("i"), F.col("x.j").alias("j"), F.col("x.side").alias("side"), "id",
+                         F.xxhash64("label").alias("label")))
+    texts = _texts(m.select("id").distinct(), docs, id_col, text_col)
+    texts = texts.dropDuplicates(["id", "t"]).select("id", _word_hashes(F.col("t")).alias("wh"))
+    id_type = m.schema["id"].dataType.simpleString()
+
+    def run(key, t):
+        t = t.combine_chunks()
+        side, label = t["side"].to_numpy(), t["label"].to_numpy()
+        flat, starts = _lists(pa.concat_arrays(t["wh"].chunks))
+        first = np.flatnonzero(side == 0)
+        second = np.arange(len(side)) if key[1].as_py() == key[2].as_py() else np.flatnonzero(side)
+        found = block_links(t["id"].to_pylist(), label, first, second, flat, starts, similarity, width)
+        return pa.table({c: pa.array([x[k] for x in found], t["id"].type) for k, c in enumerate("ab")})
+
+    ship_package(docs.sparkSession)
+    return m.join(texts, "id").groupBy("key", "i", "j").applyInArrow(run, f"a {id_type}, b {id_type}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id linked, through any number of edges (a, b).
 
@@ -258,18 +371,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     table = written(band_table(docs, id_col, text_col, bands, rows, width))
     nodes = written(table.filter(F.col("id").isNotNull() & (F.size("keys") > 0)).groupBy("fp", "keys")
-                    .agg(F.min("id").alias("node")))
+                    .agg(F.min("id").alias("node"), F.max("size").alias("size")))
     # rows of one id with several texts link them
     links = (table.filter(F.size("keys") > 0).join(nodes.select("fp", "node"), "fp")
              .filter(F.col("id") != F.col("node")).groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
              .filter("a < b").select("a", "b"))
-    members = nodes.select(F.col("node").alias("id"), F.explode("keys").alias("key"))
+    members = nodes.select(F.col("node").alias("id"), "size", F.explode("keys").alias("key"))
     busy = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = written(members.join(written(busy), "key"))
     company = members.groupBy("id").agg(F.sum("n").alias("score"))
     members = written(members.join(written(company), "id"))
     small = members.filter(F.col("n") <= small_bucket).select("key", "id")
-    large = members.filter(F.col("n") > small_bucket).select("key", "id", "score")
+    large = members.filter(F.col("n") > small_bucket).select("key", "id", "score", "size")
     pivots = written(_pivots(large))
     met = _ordered(large.join(pivots, "key"), "id", "pivot")
     every = _ordered(small.alias("x").join(small.alias("y"), F.col("x.key") == F.col("y.key"))
@@ -277,8 +390,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = written(met.union(every).distinct())
     edges = written(verify(asked, docs, id_col, text_col, similarity, width).select("a", "b").distinct().union(links))
     labels = components(edges)
-    left, idle, turn = large, 0, 0
-    while idle < PATIENCE:
+    left, turn, before = large, 0, None
+    while True:
         # members that their bucket's pivot has not reached meet two more of the
         # bucket: one of all its members and one of those not reached
         turn += 1
@@ -287,18 +400,28 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # classes only grow, so what one round has reached needs no second look
         named = left.select("key", "id", "score").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         left = written(named.join(at, "key").filter("label != reached").select("key", "id", "score", "label"))
-        if left.isEmpty():
+        n = left.count()
+        if not n or before is not None and n > before / 2:
             break
+        before = n
         drawn = large.join(left.select("key").distinct(), "key")
         met = (left.join(_pivots(drawn, turn), "key").select("id", "pivot")
                .union(left.join(_pivots(left, turn), "key").select("id", "pivot")))
         new = written(_ordered(met, "id", "pivot").join(asked, ["a", "b"], "left_anti"))
         found = written(verify(new, docs, id_col, text_col, similarity, width).select("a", "b").distinct())
         asked = written(asked.union(new))
-        idle = idle + 1 if found.isEmpty() else 0
-        if not idle:
+        if not found.isEmpty():
             edges = written(edges.union(found))
             labels = components(edges)
+    if n:
+        # what is left meets the whole of its buckets
+        rest = (large.join(left.select("key").distinct(), "key").join(labels, "id", "left")
+                .withColumn("label", F.coalesce("label", "id")).join(at, "key"))
+        # an id with several texts is one member
+        rest = written(rest.groupBy("key", "id", "label", "reached").agg(F.sum("size").alias("size")))
+        found = written(bucket_links(rest, docs, id_col, text_col, similarity, width).distinct())
+        if not found.isEmpty():
+            labels = components(written(edges.union(found)))
     home = written(nodes.select("fp", "node").join(labels.withColumnRenamed("id", "node"), "node", "left")
                    .select("fp", "node", F.coalesce("label", "node").alias("label")))
     out = table.select("id", "fp").join(home, "fp", "left")

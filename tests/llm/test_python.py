@@ -129,6 +129,65 @@ def test_near_dedup_brute_force(make_docs):
         assert got == brute_classes(rows)
 
 
+def template_rows(n=2000, planted=150, seed=3):
+    """Texts round one template (mutual similarity 0.74), and pairs of 0.80 to 0.85 among them."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template = [word() for _ in range(120)]
+    rows = [(i, template + [word() for _ in range(20)]) for i in range(n)]
+    for k in range(planted):
+        same = 120 + rng.choice([6, 7, 8])
+        rows[n - 1 - k] = (n - 1 - k, rows[k][1][:same] + [word() for _ in range(140 - same)])
+    return [(i, " ".join(t)) for i, t in rows]
+
+
+def plain_classes(rows):
+    """Classes by the Jaccard of the distinct shingles alone (no text repeats itself)."""
+    sets = [set(shingles(t)) for _, t in rows]
+    times = collections.Counter(x for s in sets for x in s)
+    place = {x: k for k, x in enumerate(x for x, n in times.items() if n > 1)}
+    has = np.zeros((len(rows), len(place)), dtype=np.float32)
+    for k, s in enumerate(sets):
+        has[k, [place[x] for x in s if x in place]] = 1
+    both, size = has @ has.T, np.array([len(s) for s in sets])
+    label = np.arange(len(rows))
+    for x, y in np.argwhere(both >= (0.8 - 1e-9) * (size[:, None] + size[None, :] - both)):
+        label[label == max(label[x], label[y])] = min(label[x], label[y])
+    return {i: rows[label[k]][0] for k, (i, _) in enumerate(rows)}
+
+
+def test_near_dedup_pairs_round_a_template(make_docs):
+    rows = template_rows()
+    want = plain_classes(rows)
+    assert sum(i != g for i, g in want.items()) >= 150
+    got = {r.doc_id: r.group_id for r in op3.near_dedup(make_docs(rows)).collect()}
+    assert got == want
+
+
+def test_near_dedup_blocks(make_docs, monkeypatch):
+    """Small blocks, so that buckets are dealt to many tasks."""
+    for name, value in (("BLOCK_NODES", 16), ("BLOCK_WORDS", 4000), ("SLICE", 100)):
+        monkeypatch.setattr(op3, name, value)
+    rows = template_rows(150, 20, seed=5)
+    assert {r.doc_id: r.group_id for r in op3.near_dedup(make_docs(rows)).collect()} == plain_classes(rows)
+
+
+def test_block_links_brute_force():
+    rng = random.Random(7)
+    for _ in range(40):
+        base = [rng.randrange(6) for _ in range(30)]
+        texts = [base[:rng.randrange(20, 31)] + [rng.randrange(6) for _ in range(rng.randrange(6))] * rng.randrange(1, 4)
+                 for _ in range(12)]
+        flat = np.array([x for t in texts for x in t], dtype=np.uint64)
+        starts = np.cumsum([0] + [len(t) for t in texts])
+        found = op3.block_links(list(range(12)), np.arange(12), np.arange(12), np.arange(12), flat, starts, 0.8, 5)
+        want = brute_classes([(i, " ".join(map(str, t))) for i, t in enumerate(texts)])
+        label = list(range(12))
+        for a, b in sorted(found):
+            label = [min(label[a], label[b]) if v in (label[a], label[b]) else v for v in label]
+        assert dict(enumerate(label)) == want
+
+
 def test_near_dedup_edges(make_docs, edge_rows):
     out = op3.near_dedup(make_docs(edge_rows, extra=True)).collect()
     assert len(out) == len(edge_rows)
