@@ -4,9 +4,12 @@ A shingle of weight w (its count in the text) is a Poisson process of rate w
 whose arrivals fall on random registers; each register keeps the shingle that
 arrives first. Arrivals of a shingle come in increasing time, so it stops as
 soon as its next one is later than every register holds. Two texts agree on a
-register with the probability Jaccard similarity of their shingle counts.
+register with the probability Jaccard similarity of their shingle counts. A
+text that repeats a shingle has a second set of registers, with every weight 1:
+two texts agree on those with the plain Jaccard of their distinct shingles (for
+a text that repeats none the two sets are one).
 
-Bands of registers give buckets. Texts that are equal word by word are one
+Bands of registers give buckets, the same for both sets. Texts that are equal word by word are one
 node from the start. In a small bucket every two nodes are compared; in a
 large one (a large group of near copies, or texts round a common passage)
 each node first meets the bucket's pivot, the node with the most company over
@@ -36,7 +39,7 @@ from minpair.operators.scorer import ship_package
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 25, 5  # a pair at 0.8 shares no band with probability 5e-5
+BANDS, ROWS = 25, 5  # a pair at 0.8 by either measure shares no band with probability 5e-5
 #: Largest number of candidate ids (8 bytes each) sent to the scan of the texts;
 #: beyond it the scan and the ids meet in a shuffle.
 BROADCAST_MAX_IDS = 2_000_000
@@ -178,10 +181,18 @@ def band_table(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
             x, h, w = shingle_counts(flat, starts, width)
             keys = band_keys(signatures(x, h, w, n, bands * rows), bands, rows).view(np.int64)
             some = np.diff(starts) > 0
-            offsets = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)
+            # the texts that repeat a shingle once more, by their distinct shingles
+            again = np.unique(x[w > 1])
+            mine = np.isin(x, again)
+            flat_keys = np.zeros_like(keys)
+            flat_keys[again] = band_keys(signatures(np.searchsorted(again, x[mine]), h[mine], np.ones(mine.sum()), len(again),
+                                                    bands * rows), bands, rows).view(np.int64)
+            use = np.repeat(np.stack([some, np.isin(np.arange(n), again)], axis=1), bands, axis=1)
+            keys = np.concatenate([keys, flat_keys], axis=1)
+            offsets = np.concatenate([[0], np.cumsum(use.sum(axis=1))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(np.diff(starts)),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))],
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[use]))],
                 names=["id", "fp", "size", "keys"])
 
     return map_arrow(d, run, f"id {id_type}, fp string, size bigint, keys array<bigint>")
@@ -376,7 +387,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = (table.filter(F.size("keys") > 0).join(nodes.select("fp", "node"), "fp")
              .filter(F.col("id") != F.col("node")).groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
              .filter("a < b").select("a", "b"))
-    members = nodes.select(F.col("node").alias("id"), "size", F.explode("keys").alias("key"))
+    members = nodes.select(F.col("node").alias("id"), "size", F.explode(F.array_distinct("keys")).alias("key"))
     busy = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = written(members.join(written(busy), "key"))
     company = members.groupBy("id").agg(F.sum("n").alias("score"))

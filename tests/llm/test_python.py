@@ -188,6 +188,17 @@ def test_block_links_brute_force():
         assert dict(enumerate(label)) == want
 
 
+def test_near_dedup_unequal_repetition(make_docs):
+    """A block ten times in one text and once in the other: plain Jaccard about 1, the other 0.5."""
+    rng, rows = random.Random(9), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    for k in range(12):
+        text, block = [word() for _ in range(200)], [word() for _ in range(100)]
+        rows += [(2 * k, " ".join(text + block * 10)), (2 * k + 1, " ".join(text + block))]
+    got = {r.doc_id: r.group_id for r in op3.near_dedup(make_docs(rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(24)}
+
+
 def test_near_dedup_edges(make_docs, edge_rows):
     out = op3.near_dedup(make_docs(edge_rows, extra=True)).collect()
     assert len(out) == len(edge_rows)
