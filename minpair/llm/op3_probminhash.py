@@ -383,10 +383,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = written(band_table(docs, id_col, text_col, bands, rows, width))
     nodes = written(table.filter(F.col("id").isNotNull() & (F.size("keys") > 0)).groupBy("fp", "keys")
                     .agg(F.min("id").alias("node"), F.max("size").alias("size")))
-    # rows of one id with several texts link them
-    links = (table.filter(F.size("keys") > 0).join(nodes.select("fp", "node"), "fp")
-             .filter(F.col("id") != F.col("node")).groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-             .filter("a < b").select("a", "b"))
+    # rows of one id with several texts link them, each to the smallest
+    held = (table.filter(F.col("id").isNotNull() & (F.size("keys") > 0)).select("id", "fp")
+            .join(nodes.select("fp", "node"), "fp").select("id", "node"))
+    least = held.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("id", "a")
+    links = written(held.join(written(least), "id").filter("node != a").select("a", F.col("node").alias("b")).distinct())
     members = nodes.select(F.col("node").alias("id"), "size", F.explode(F.array_distinct("keys")).alias("key"))
     busy = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = written(members.join(written(busy), "key"))

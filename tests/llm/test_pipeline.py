@@ -43,3 +43,13 @@ def test_edges(spark, make_docs, edge_rows):
         for _, stage in cp.STAGES:
             docs = stage(spark, docs, DIR)
             docs.count()
+
+
+def test_rows_of_one_id_leave_a_survivor(spark, make_docs):
+    """Every text that goes has a class whose smallest id stays."""
+    a, b, c = ("a b c d e f g h", "k l m n o p q r", "s t u v w x y z")
+    rows = [(2, a), (5, a), (5, b), (3, c), (7, a), (7, b), (7, c)]
+    docs = make_docs(rows)
+    classes = {(r.doc_id, r.group_id, r.kept) for r in cp.op3_probminhash.near_dedup(docs).collect()}
+    assert classes == {(2, 2, True), (3, 2, False), (5, 2, False), (7, 2, False)}
+    assert [(r.doc_id, r.text) for r in cp.near_dedup(spark, docs, DIR).collect()] == [(2, a)]
