@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from minpair.operators.scorer import ship_package
@@ -18,3 +21,16 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
         spark.conf.set(key, str(TEXT_ROWS))
     return df.mapInArrow(fn, schema)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``rows`` (for short rows and vectorised work)."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()

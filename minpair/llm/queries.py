@@ -20,6 +20,7 @@ from minpair.llm import op7_quality_classifier as op7
 from minpair.llm import op8_bpe as op8
 from minpair.llm import op9_exact_dedup as op9
 from minpair.llm import op10_toxicity as op10
+from minpair.llm import op11_spelling_groups as op11
 from minpair.llm.common import crc_fold, read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -112,9 +113,14 @@ def op10_toxicity(spark, sf_dir):
                       "score", "predicted", *[f"f_{f}" for f in op10.FEATURES])
 
 
+def op11_spelling_groups(spark, sf_dir):
+    return op11.spelling_groups(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_mixing, op3_probminhash, op4_decision_list, op5_blob_ledger, op6_line_dedup,
-    op7_rule_ensemble, op8_rank_queue_bpe, op9_exact_dedup, op10_toxicity)}
+    op7_rule_ensemble, op8_rank_queue_bpe, op9_exact_dedup, op10_toxicity,
+    op11_spelling_groups)}
 
 # ---------------------------------------------------------------------------
 # DuckDB SQL
@@ -201,4 +207,28 @@ OP9_SQL = """with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJ
 g as (select x, max(doc_id) as keep_id, count(*) as group_size from d group by 1)
 select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, sha256(d.x) as text_sha256 from d join g on d.x = g.x"""
 
-ORACLES = {"op2_mixing": OP2_SQL, "op5_blob_ledger": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+# crc32 by its table (reflected polynomial 0xEDB88320), one byte a step; near words by equal deletions
+OP11_SQL = """with recursive tab as (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as tab),
+r as (select doc_id, run, count(*) as c from (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as run from documents)
+  where length(run) >= 5 group by 1, 2),
+x as (select run, c, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) as x from r),
+h as (select run, c, xor(list_reduce(list_transform(range(0, len(x), 2), lambda i: cast('0x' || substr(x, i + 1, 2) as bigint)),
+        lambda s, b: xor(s >> 8, tab[xor(s, b) % 256 + 1]), 4294967295), 4294967295) as h from x, tab),
+v as (select word, cast(sum(c) as bigint) as n from (
+  select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, c from h)
+  where length(word) >= 5 group by 1 having sum(c) >= 3),
+del as (select word, n, length(word) as l, i, substr(word, 1, i - 1) || substr(word, i + 1) as d from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+near as (select a.word, b.word as near, b.n as near_n from del a join del b on a.l = b.l and a.i = b.i and a.d = b.d and a.word <> b.word
+  union all select distinct del.word, v.word, v.n from del join v on del.d = v.word
+  union all select distinct v.word, del.word, del.n from del join v on del.d = v.word),
+best as (select word, near, near_n, count(*) over (partition by word) as n_near from near
+  qualify row_number() over (partition by word order by near_n desc, near) = 1),
+f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when near_n >= 2 * v.n then near end as form, case when near_n >= 2 * v.n then near_n end as form_n
+  from v left join best on v.word = best.word),
+chain as (select word, word as root from f union all select chain.word, f.form from chain join f on chain.root = f.word where f.form is not null),
+root as (select chain.word, chain.root from chain join f on chain.root = f.word where f.form is null)
+select f.word, f.form, root.root, f.n, cast(f.n_near as bigint) as n_near, f.form_n from f join root on f.word = root.word"""
+
+ORACLES = {"op11_spelling_groups": OP11_SQL, "op2_mixing": OP2_SQL, "op5_blob_ledger": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
