@@ -21,6 +21,7 @@ from minpair.llm import op8_bpe as op8
 from minpair.llm import op9_exact_dedup as op9
 from minpair.llm import op10_toxicity as op10
 from minpair.llm import op11_spelling_groups as op11
+from minpair.llm import op12_substring_dedup as op12
 from minpair.llm.common import crc_fold, read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -117,10 +118,15 @@ def op11_spelling_groups(spark, sf_dir):
     return op11.spelling_groups(read(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark, sf_dir):
+    out = op12.substring_dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_mixing, op3_probminhash, op4_decision_list, op5_blob_ledger, op6_line_dedup,
     op7_rule_ensemble, op8_rank_queue_bpe, op9_exact_dedup, op10_toxicity,
-    op11_spelling_groups)}
+    op11_spelling_groups, op12_substring_dedup)}
 
 # ---------------------------------------------------------------------------
 # DuckDB SQL
@@ -231,4 +237,15 @@ chain as (select word, word as root from f union all select chain.word, f.form f
 root as (select chain.word, chain.root from chain join f on chain.root = f.word where f.form is null)
 select f.word, f.form, root.root, f.n, cast(f.n_near as bigint) as n_near, f.form_n from f join root on f.word = root.word"""
 
-ORACLES = {"op11_spelling_groups": OP11_SQL, "op2_mixing": OP2_SQL, "op5_blob_ledger": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+OP12_SQL = """with w as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from w where len(w) >= 50),
+h as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from s),
+f as (select h, min(doc_id) as first from h group by 1),
+c as (select distinct doc_id, unnest(range(i, i + 50)) as p from h join f on h.h = f.h and f.first < h.doc_id),
+g as (select doc_id, list(p) as ps from c group by 1),
+k as (select w.doc_id, len(w) as n, coalesce(len(ps), 0) as gone,
+        case when ps is null then w else list_filter(w, lambda x, i: not list_contains(ps, i)) end as kept from w left join g on w.doc_id = g.doc_id)
+select doc_id, cast(n as bigint) as n_words, cast(gone as bigint) as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k"""
+
+ORACLES = {"op12_substring_dedup": OP12_SQL, "op11_spelling_groups": OP11_SQL, "op2_mixing": OP2_SQL, "op5_blob_ledger": OP5_SQL, "op6_line_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
