@@ -22,9 +22,12 @@ from minpair.llm import op9_exact_dedup as op9
 from minpair.llm import op10_toxicity as op10
 from minpair.llm import op11_spelling_groups as op11
 from minpair.llm import op12_substring_dedup as op12
+from minpair.llm import op13_token_alignment as op13
 from minpair.llm.common import crc_fold, read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The two sides of the alignment.
+SIDE_A, SIDE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 #: Target weights of the mix: by domain, then by language within it; sources share equally.
 DOMAIN_WEIGHTS = {("d0",): 4.0, ("d1",): 3.0, ("d2",): 2.0, ("d3",): 1.0}
@@ -123,10 +126,18 @@ def op12_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op13_token_alignment(spark, sf_dir):
+    a, b = public_tokenizers.path(SIDE_A), public_tokenizers.path(SIDE_B)
+    out = op13.align(read(spark, sf_dir, "documents"), a, b)
+    sha = F.when(F.col("n_groups") == 0, "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    out = op13.with_pair_counts(out.withColumn("groups_sha256", sha).drop("groups"), op13.piece_count(b))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_mixing, op3_probminhash, op4_decision_list, op5_blob_ledger, op6_line_dedup,
     op7_rule_ensemble, op8_rank_queue_bpe, op9_exact_dedup, op10_toxicity,
-    op11_spelling_groups, op12_substring_dedup)}
+    op11_spelling_groups, op12_substring_dedup, op13_token_alignment)}
 
 # ---------------------------------------------------------------------------
 # DuckDB SQL
