@@ -26,8 +26,6 @@ from minpair.llm.common import crc_fold, labelled_sample, no_null, written
 #: Bound on the labelled texts the lexicon and the weights are learned from.
 MAX_ROWS = 8_000
 CUTOFF = 0.3
-#: Bound on the terms of a lexicon.
-MAX_TERMS = 2_000
 FEATURES = ("exact", "fuzzy", "stem", "quoted", "rate")
 
 _WORD = re.compile(r"[^\W_]+")
@@ -277,8 +275,9 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, max_rows:
         g2 = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
         odds = ((a + 0.5) / (n_pos + 1)) / ((b + 0.5) / (n_neg + 1))
         c = (c.filter(a >= max(min_docs, min_share * n_pos)).filter((odds >= 8) & (g2 >= least_g2))
-             .orderBy(g2.desc(), "term").limit(20 * MAX_TERMS))
-        terms = learn_lexicon([tuple(r) for r in c.collect()])[:MAX_TERMS]
+             .orderBy(g2.desc(), "term"))
+        # as many as the bounded sample has: each is in at least min_share of its toxic texts
+        terms = learn_lexicon([tuple(r) for r in c.collect()])
     rows = sorted(toxicity_features(sample, terms, ["id", "label"]).collect())
     x = np.array([r[2:] for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
     y = np.array([r[1] for r in rows], dtype=float)

@@ -65,14 +65,26 @@ def _spans(off: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
+def _folded(lang: Column, kept: list[str]) -> Column:
+    """A label outside the kept ones becomes its primary subtag if that is kept, else ``other``."""
+    primary = F.regexp_extract(lang, "^[^-_]*", 0)
+    return F.when(lang.isin(kept), lang).when(primary.isin(kept), primary).otherwise("other")
+
+
 def trigram_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages and their log P(bin), from every text with a language.
 
     Each task sums its counts, Spark adds them up; what reaches the driver is
-    languages x bins numbers, whatever the size of the corpus.
+    languages x bins numbers, whatever the size of the corpus. Beyond
+    ``MAX_LANGUAGES`` labels the most frequent ones (ties: by name) stay, and
+    the others count as their primary subtag, if that stays, or as ``other``.
     """
     d = docs.select(F.lower(F.col(lang_col).cast("string")).alias("lang"), no_null(text_col).alias("t")).filter(
         F.col("lang").isNotNull())
+    sizes = d.groupBy("lang").count()
+    if sizes.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        d = d.withColumn("lang", _folded(F.col("lang"), [r.lang for r in sizes.orderBy(F.col("count").desc(), "lang")
+                                                         .limit(MAX_LANGUAGES - 1).collect()]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -94,13 +106,14 @@ def trigram_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
 
     counts = map_arrow(d, count, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     counts = written(counts)
-    langs = sorted(r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col}")
+    sums = counts.toArrow()
+    coded = sums.column("lang").combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    langs = sorted(names)
+    place = np.array([langs.index(x) for x in names], dtype=np.int64)
     table = np.full((len(langs), BINS), 0.5)
-    place = {x: i for i, x in enumerate(langs)}
-    for r in counts.collect():
-        table[place[r[0]], r[1]] += r[2]
+    if langs:
+        table[place[coded.indices.to_numpy()], sums.column("bin").to_numpy()] += sums.column("n").to_numpy()
     return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 

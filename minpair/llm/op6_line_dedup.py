@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from minpair.llm.common import no_null, written
 
 RATIO = 0.1
-#: A host with fewer pages has no frequency to speak of; a line on fewer pages is no boilerplate.
-MIN_HOST_PAGES = 10
-MIN_PAGES = 3
+#: A line that one page alone holds is no boilerplate, however few pages its host has.
+MIN_PAGES = 2
 #: Largest number of boilerplate lines (16 bytes each) that are broadcast.
 BROADCAST_MAX_LINES = 200_000
 
@@ -37,10 +36,10 @@ def _line_hash(x: Column) -> Column:
 
 
 def boilerplate_lines(docs: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO,
-                      min_host_pages: int = MIN_HOST_PAGES, min_pages: int = MIN_PAGES) -> DataFrame:
+                      min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, line_hash, pages, host_pages) of the lines to drop. Blank lines never count."""
     d = docs.select(host.alias("host"), no_null(text_col).alias("t"))
-    total = d.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")).filter(F.col("host_pages") >= min_host_pages)
+    total = d.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     lines = d.select("host", F.explode(F.array_distinct(F.split("t", "\n", -1))).alias("line"))
     count = (lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
              .groupBy("host", F.unhex(_line_hash(F.col("line"))).alias("line_hash"))
@@ -51,31 +50,31 @@ def boilerplate_lines(docs: DataFrame, host: Column, text_col: str = "text", rat
 
 
 def line_dedup(docs: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO,
-               min_host_pages: int = MIN_HOST_PAGES, min_pages: int = MIN_PAGES,
-               broadcast_max_lines: int = BROADCAST_MAX_LINES,
+               min_pages: int = MIN_PAGES, broadcast_max_lines: int = BROADCAST_MAX_LINES,
                dropped_col: str | None = None) -> DataFrame:
     """``docs`` with the boilerplate lines of its host taken out of ``text_col``.
 
-    Every row and column stays; a page all of whose lines go keeps an empty
-    text. Kept lines keep their order and repetitions, joined by a newline.
-    A null text stays null; null hosts are one host; repeated rows count as
-    pages of their own. ``dropped_col`` adds the number of lines dropped.
+    Every row and column stays, whatever the columns are called; a page all of
+    whose lines go keeps an empty text. Kept lines keep their order and
+    repetitions, joined by a newline. A null text stays null; null hosts are
+    one host; repeated rows count as pages of their own. ``dropped_col`` adds
+    the number of lines dropped (and replaces a column of that name).
     """
-    found = written(boilerplate_lines(docs, host, text_col, ratio, min_host_pages, min_pages)
+    found = written(boilerplate_lines(docs, host, text_col, ratio, min_pages)
                     .select("host", F.lower(F.hex("line_hash")).alias("line")))
-    lists = found.groupBy("host").agg(F.collect_set("line").alias("__drop")).withColumnRenamed("host", "__list_host")
+    lists = found.groupBy("host").agg(F.collect_set("line").alias("gone")).withColumnRenamed("host", "list_host")
     if found.limit(broadcast_max_lines + 1).count() <= broadcast_max_lines:
         lists = F.broadcast(lists)
     else:
         lists = written(lists)
-    d = docs.withColumn("__host", host)
-    d = d.join(lists, F.col("__host").eqNullSafe(F.col("__list_host")), "left")
-    split = F.split(F.col(text_col), "\n", -1)
-    d = d.withColumn("__lines", split)
-    kept = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(
-        F.filter("__lines", lambda x: ~F.array_contains("__drop", _line_hash(x))))
-    d = d.withColumn("__kept", kept)
-    out = [F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    # the row travels as one column, so that no name of its columns can clash
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), host.alias("host"),
+                    F.split(F.col(f"`{text_col}`"), "\n", -1).alias("lines"))
+    d = d.join(lists, F.col("host").eqNullSafe(F.col("list_host")), "left")
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(
+        F.filter("lines", lambda x: ~F.array_contains("gone", _line_hash(x))))
+    d = d.withColumn("kept", kept)
+    out = [F.array_join("kept", "\n").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != dropped_col]
     if dropped_col:
-        out.append(F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long").alias(dropped_col))
+        out.append(F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long").alias(dropped_col))
     return d.select(*out)

@@ -206,13 +206,13 @@ select d.doc_id, cast(coalesce(n_assign, 0) as bigint) as n_assign, cast(coalesc
        cast(coalesce(n_hex, 0) as bigint) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join g on d.doc_id = g.doc_id"""
 
-OP6_SQL = f"""with l as (
+OP6_SQL = """with l as (
   select doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) as line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
 t as (select source, count(*) as host_pages from documents group by 1),
 c as (select source, line, count(distinct doc_id) as pages from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by 1, 2),
 b as (select c.source, c.line from c join t on c.source is not distinct from t.source
-      where host_pages >= {op6.MIN_HOST_PAGES} and pages >= {op6.MIN_PAGES} and pages > {op6.RATIO}::double * host_pages),
+      where pages >= 2 and pages > 0.1::double * host_pages),
 k as (select l.doc_id, string_agg(l.line, chr(10) order by l.i) filter (b.line is null) as kept,
         count(b.line) as n_dropped
       from l left join b on l.source is not distinct from b.source and l.line = b.line group by 1)

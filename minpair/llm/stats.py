@@ -6,6 +6,8 @@ expression is evaluated per element of another.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,4 +126,6 @@ def labelled_ratios(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[str
     st = with_ratios(text_stats(sample, ["id", "label"], "text", more=True))
     rows = sorted(st.select("id", "label", *[f"r_{n}" for n in names]).collect())
     x = {n: np.array([r[i + 2] for r in rows], dtype=float) for i, n in enumerate(names)}
-    return (np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64), x)
+    # ids only deal the rows into parts; those that are no numbers do so by their crc32
+    ids = [r[0] if isinstance(r[0], int) else crc32(str(r[0]).encode()) for r in rows]
+    return (np.array(ids, dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64), x)
