@@ -19,11 +19,19 @@ from minpair.llm.queries import RANKS, WEIGHTS, digests, levels
 MIX_FRACTION = 0.8
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = op7_quality_classifier.fit(docs, read(spark, sf_dir, "labels"), op7_quality_classifier.training_fold())
-    out = op7_quality_classifier.quality_scores(docs, model, docs.columns, score_col="__score", predicted_col="__keep")
-    return out.filter("__keep = 1").select(*[f"`{c}`" for c in docs.columns])
+    score, keep = _free(docs, "score"), _free(docs, "keep")
+    out = op7_quality_classifier.quality_scores(docs, model, docs.columns, score_col=score, predicted_col=keep)
+    return out.filter(F.col(keep) == 1).select(*[f"`{c}`" for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +54,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token-prefix of each leaf of the domain-language-source tree that its budget allows."""
-    mix = op2_mixing.mix(docs, levels(), WEIGHTS, MIX_FRACTION, max_epochs=1)
-    gone = written(mix.filter("copies = 0 and doc_id is not null").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """The token-prefix of each leaf of the domain-language-source tree that its budget allows.
+    Rows are told apart by their id as text, those without one by their text."""
+    key = _free(docs, "key")
+    named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"),
+                                            F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))))
+    mix = op2_mixing.mix(named, levels(), WEIGHTS, MIX_FRACTION, max_epochs=1, id_col=key)
+    gone = written(mix.filter("copies = 0").select(key).distinct())
+    return named.join(gone, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
