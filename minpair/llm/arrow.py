@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame
 
 from minpair.operators.scorer import ship_package
@@ -20,7 +21,38 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
         spark.conf.set(key, str(TEXT_ROWS))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+        yield from fn(batches)
+        release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def release_memory() -> None:
+    """Hand freed memory back: workers are reused, and what a task before had at its peak adds up."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def text_slices(b: pa.RecordBatch, column: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A batch cut into slices of about ``max_bytes`` of a string column (a longer text stands alone)."""
+    sizes = [x or 0 for x in pa.compute.binary_length(b.column(column)).to_pylist()]
+    lo = held = 0
+    for i, n in enumerate(sizes):
+        if i > lo and held + n > max_bytes:
+            yield b.slice(lo, i - lo)
+            lo, held = i, 0
+        held += n
+    if lo < b.num_rows:
+        yield b.slice(lo)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:

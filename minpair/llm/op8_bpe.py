@@ -19,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minpair.llm.arrow import map_arrow
+from minpair.llm.arrow import map_arrow, text_slices
 from minpair.llm.common import no_null
 
-#: Pre-tokens remembered per Python worker (in each of two generations), and the longest that is.
-CACHE_PIECES = 600_000
+#: Bytes of the pre-tokens remembered per Python worker (in each of two generations), and the longest that is.
+CACHE_BYTES = 112 << 20
 CACHE_CHARS = 48
+#: What a remembered pre-token takes besides its characters and ids: two objects and its place in the table.
+ENTRY_BYTES = 180
+#: Bytes of text encoded before the ids are passed on.
+SLICE_BYTES = 2 << 20
 
 
 class _Pieces(dict):
@@ -33,7 +37,7 @@ class _Pieces(dict):
 
     def __init__(self, merge):
         super().__init__()
-        self.merge, self.old = merge, {}
+        self.merge, self.old, self.bytes = merge, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -41,9 +45,11 @@ class _Pieces(dict):
             got = self.merge(piece.encode())
             ids = pack(f"<{len(got)}I", *got)
         if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.old = dict(self)
+            if self.bytes >= CACHE_BYTES:
+                self.old, self.bytes = dict(self), 0
                 self.clear()
+            # two bytes a character at most, in nearly all texts
+            self.bytes += ENTRY_BYTES + 2 * len(piece) + len(ids)
             self[piece] = ids
         return ids
 
@@ -166,7 +172,7 @@ def bpe_encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, ranks, pattern)
-        for b in batches:
+        for b in (s for x in batches for s in text_slices(x, 1, SLICE_BYTES)):
             ids = [codec.encode(t.as_py()) for t in b.column(1)]
             back = [codec.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
