@@ -41,9 +41,8 @@ def _wins(good: Column, bad: Column, method) -> Column:
     return F.coalesce(clean & cmp, F.lit(False))
 
 
-def pairs(scores: DataFrame, keys: list[str] | None = None, line_col: str = "line_no",
-          score_col: str = "score") -> DataFrame:
-    """One row per complete pair: keys + paradigm, pair_id, good, bad."""
+def _sides(scores: DataFrame, keys: list[str] | None, line_col: str, score_col: str) -> DataFrame:
+    """One row per pair, complete or not: keys + paradigm, pair_id, good, bad, whole."""
     keys = list(keys or [])
     side = F.col(line_col) % 2
     grouped = scores.groupBy(*keys, "paradigm", F.floor(F.col(line_col) / 2).alias("pair_id")).agg(
@@ -52,7 +51,13 @@ def pairs(scores: DataFrame, keys: list[str] | None = None, line_col: str = "lin
         F.count(F.when(side == 0, F.lit(1))).alias("_n_good"),
         F.count(F.when(side == 1, F.lit(1))).alias("_n_bad"),
     )
-    return grouped.where((F.col("_n_good") > 0) & (F.col("_n_bad") > 0)).drop("_n_good", "_n_bad")
+    return grouped.withColumn("whole", (F.col("_n_good") > 0) & (F.col("_n_bad") > 0)).drop("_n_good", "_n_bad")
+
+
+def pairs(scores: DataFrame, keys: list[str] | None = None, line_col: str = "line_no",
+          score_col: str = "score") -> DataFrame:
+    """One row per complete pair: keys + paradigm, pair_id, good, bad."""
+    return _sides(scores, keys, line_col, score_col).where("whole").drop("whole")
 
 
 def pair_accuracy(scores: DataFrame, method="mlm", keys: list[str] | None = None,
@@ -61,7 +66,8 @@ def pair_accuracy(scores: DataFrame, method="mlm", keys: list[str] | None = None
     """keys + paradigm, n_pairs, n_correct, accuracy (percent).
 
     ``method`` is 'mlm', 'holistic', or the name of a column holding it per row
-    (then it must be one of ``keys``).
+    (then it must be one of ``keys``). A paradigm without a complete pair has
+    NULL accuracy.
     """
     keys = list(keys or [])
     if isinstance(method, str) and method in METHODS:
@@ -70,10 +76,10 @@ def pair_accuracy(scores: DataFrame, method="mlm", keys: list[str] | None = None
         if method not in keys:
             raise ValueError(f"invalid scoring_method {method!r}")
         m = F.col(method)
-    p = pairs(scores, keys, line_col, score_col)
-    right = _wins(F.col("good"), F.col("bad"), m)
+    p = _sides(scores, keys, line_col, score_col)
+    right = F.col("whole") & _wins(F.col("good"), F.col("bad"), m)
     out = p.groupBy(*keys, "paradigm").agg(
-        F.count(F.lit(1)).alias("n_pairs"),
+        F.count(F.when(F.col("whole"), F.lit(1))).alias("n_pairs"),
         F.count(F.when(right, F.lit(1))).alias("n_correct"),
     )
     acc = F.try_divide(F.col("n_correct").cast("double"), F.col("n_pairs").cast("double")) * 100.0

@@ -40,13 +40,16 @@ def _mean(c: str, missing: str) -> Column:
     return m
 
 
-def margin_of_error(values: str, confidence: float = 0.90) -> list[Column]:
+def margin_of_error(values: str, confidence: float = 0.90, missing: str = "skip") -> list[Column]:
     """mean, n and sem * t(n - 1) of a column inside an aggregation; the margin
-    is NULL when n < 2. A NaN among the values makes mean and margin NaN."""
+    is NULL when n < 2. A NaN among the values makes mean and margin NaN, and so
+    does a missing one with ``missing='propagate'``."""
     n = F.count(values)
     sem = F.stddev_samp(values) / F.sqrt(n)
     h = F.when(n > 1, sem * t_critical_expr(n - 1, confidence))
-    return [exact_avg(values).alias("accuracy"), n.alias("n"), h.alias("margin")]
+    if missing == "propagate":
+        h = F.when(n < F.count(F.lit(1)), F.lit(float("nan"))).otherwise(h)
+    return [_mean(values, missing).alias("accuracy"), n.alias("n"), h.alias("margin")]
 
 
 def phenomenon_accuracy(long: DataFrame, suite: str = "suite23", keys: list[str] = KEYS) -> DataFrame:
@@ -139,21 +142,21 @@ def report_lines(long: DataFrame, method: str) -> DataFrame:
                                               round_half_even("margin", 2)).alias("line"))
 
 
-def paradigm_mean_moe(long: DataFrame, method: str) -> DataFrame:
+def paradigm_mean_moe(long: DataFrame, method: str, missing: str = "skip") -> DataFrame:
     """per (group, paradigm): mean across replications, n, margin."""
     f = with_group(long.where(F.col("scoring_method") == method))
-    return f.groupBy("group_name", "paradigm").agg(*margin_of_error("accuracy"))
+    return f.groupBy("group_name", "paradigm").agg(*margin_of_error("accuracy", missing=missing))
 
 
-def paradigm_means(long: DataFrame, method: str) -> DataFrame:
+def paradigm_means(long: DataFrame, method: str, missing: str = "skip") -> DataFrame:
     f = with_group(long.where(F.col("scoring_method") == method))
-    return f.groupBy("group_name", "paradigm").agg(exact_avg("accuracy").alias("paradigm_accuracy"))
+    return f.groupBy("group_name", "paradigm").agg(_mean("accuracy", missing).alias("paradigm_accuracy"))
 
 
-def margin_of_error_paradigms(long: DataFrame, method: str) -> DataFrame:
+def margin_of_error_paradigms(long: DataFrame, method: str, missing: str = "skip") -> DataFrame:
     """per group, mean over paradigms of the replication-mean, and the
     margin of error across paradigms."""
-    return paradigm_means(long, method).groupBy("group_name").agg(*margin_of_error("paradigm_accuracy"))
+    return paradigm_means(long, method, missing).groupBy("group_name").agg(*margin_of_error("paradigm_accuracy", missing=missing))
 
 
 def box_stats(long: DataFrame, method: str) -> DataFrame:

@@ -87,7 +87,7 @@ def decode(encoded: DataFrame, vocab: Vocabulary, keys: list[str], ids_col: str
 
 
 def length_guard(encoded: DataFrame, max_len: int, ids_col: str = "token_ids") -> DataFrame:
-    """Adds n_ids and ``kept`` (n_ids <= max_len); over-long rows score 0.0 later."""
+    """Adds n_ids and ``kept`` (n_ids <= max_len)."""
     n = F.size(ids_col)
     return encoded.withColumn("n_ids", n).withColumn("kept", n <= F.lit(int(max_len)))
 

@@ -91,7 +91,7 @@ def _acc_sql(method: str) -> str:
     return f"""with {FX4},
 {sql.pair_accuracy_sql('fx4', method=method)}
 select paradigm, n_pairs, n_correct,
-       round(cast(n_correct as double) / cast(n_pairs as double) * 100.0, 4) as accuracy
+       round(cast(n_correct as double) / nullif(cast(n_pairs as double), 0) * 100.0, 4) as accuracy
 from acc"""
 
 
@@ -801,16 +801,16 @@ s as (select p.paradigm, p.line_no,
 scores as (select 'mlm' as scoring_method, paradigm, line_no, mlm as score from s
            union all select 'holistic', paradigm, line_no, holistic from s),
 pr as (select scoring_method, paradigm, line_no // 2 as pair_id,
-              max(case when line_no % 2 = 0 then score end) as good, max(case when line_no % 2 = 1 then score end) as bad
+              max(case when line_no % 2 = 0 then score end) as good, max(case when line_no % 2 = 1 then score end) as bad, count(*) as n
        from scores group by all)
-select scoring_method, paradigm, count(*) as n_pairs,
-       count(case when not isnan(good) and not isnan(bad) and
+select scoring_method, paradigm, count(case when n = 2 then 1 end) as n_pairs,
+       count(case when n = 2 and not isnan(good) and not isnan(bad) and
              ((scoring_method = 'mlm' and round(good, 6) > round(bad, 6)) or
               (scoring_method = 'holistic' and round(good, 6) < round(bad, 6))) then 1 end) as n_correct,
-       round(cast(count(case when not isnan(good) and not isnan(bad) and
+       round(cast(count(case when n = 2 and not isnan(good) and not isnan(bad) and
              ((scoring_method = 'mlm' and round(good, 6) > round(bad, 6)) or
               (scoring_method = 'holistic' and round(good, 6) < round(bad, 6))) then 1 end) as double)
-             / cast(count(*) as double) * 100.0, 4) as accuracy
+             / nullif(cast(count(case when n = 2 then 1 end) as double), 0) * 100.0, 4) as accuracy
 from pr group by all""")
 def q_paradigm_acc(spark, sf_dir):
     m = fl.fitted_model(spark, sf_dir)
@@ -1043,6 +1043,14 @@ def q_scan_corpus(spark, sf_dir):
     return SU.scan_corpus(spark, _written_suite(spark, sf_dir))
 
 
+@register("scan_suite", f"""with {FX1}
+select paradigm, line_no, sentence from fx1
+union all select paradigm, max(line_no) + 1, '' from fx1 group by paradigm""")
+def q_scan_suite(spark, sf_dir):
+    # the text writer ends files with a newline: as written, the last line is empty
+    return SU.scan_suite(spark, _written_suite(spark, sf_dir), strict=False)
+
+
 @register("paradigm_catalog", f"with {FX1}\nselect paradigm, count(*) as n_files from (select distinct paradigm from fx1) group by 1")
 def q_catalog(spark, sf_dir):
     c = SU.paradigm_catalog(spark, _written_suite(spark, sf_dir))
@@ -1146,6 +1154,20 @@ def q_stream_scores(spark, sf_dir):
     return s.select("sent_id", r4(F.col("score")).alias("score"), "n_tokens")
 
 
+@register("scorer_fill_mask", f"""with {VOCAB_SQL},
+src as (select sent_id, i - 1 as pos, ids[i] as label, list_sum(ids) as s
+        from (select sent_id, ids, unnest(range(1, len(ids) + 1)) as i from enc)),
+lg as (select sent_id, pos, list_transform(range(64), lambda v: ((s * 31 + pos * 17 + v * v * 7) % 101) / 10.0) as z from src),
+sc as (select sent_id, pos, ln(list_sum(list_transform(z, lambda x: exp(x)))) as lse, unnest(z) as x, unnest(range(64)) as label from lg)
+select sent_id, cast(pos as int) as pos, cast(row_number() over (partition by sent_id, pos order by x desc, label) as int) as rank,
+       cast(label as int) as label, round(x - lse, 4) as logprob
+from sc qualify row_number() over (partition by sent_id, pos order by x desc, label) <= 5""")
+def q_scorer_fill_mask(spark, sf_dir):
+    from minpair.operators.scorer import ToyModel, scorer_fill_mask
+    _, _, enc = fx5_encoded(spark, sf_dir)
+    return scorer_fill_mask(enc, ToyModel(), ["sent_id"]).withColumn("logprob", r4(F.col("logprob")))
+
+
 # ---------------------------------------------------------------------------
 # Pseudo-log-likelihood per document (word tokens, whole texts)
 # ---------------------------------------------------------------------------
@@ -1177,6 +1199,26 @@ def q_document_pll(spark, sf_dir):
 FX1_PARADIGMS = [f"p{i}" for i in range(fx.N_SUITE_PARADIGMS)]
 
 
+# A user's model (the toy one) over the words of the lines themselves, both methods
+USER_MODEL_SQL = """u_tok as (select paradigm, line_no, unnest(string_split(sentence, ' ')) as token,
+                 unnest(range(len(string_split(sentence, ' ')))) as pos from pairs where sentence <> ''),
+u_vocab as (select token, row_number() over (order by count(*) desc, token) + 4 as token_id from u_tok group by token),
+u_ids as (select paradigm, line_no, list(token_id order by pos) as ids from u_tok join u_vocab using (token) group by 1, 2),
+u_enc as (select p.paradigm, p.line_no, [0::bigint] || coalesce(u.ids, []::bigint[]) || [2::bigint] as ids
+          from pairs p left join u_ids u on p.paradigm = u.paradigm and p.line_no = u.line_no),
+u_src as (select 'mlm' as method, paradigm, line_no, i - 1 as pos, ids[i] as label, list_sum(ids) - ids[i] + 4 as s
+          from (select *, unnest(range(2, len(ids))) as i from u_enc)
+          union all
+          select 'holistic', paradigm, line_no, i - 1, ids[i], list_sum(ids) from (select *, unnest(range(1, len(ids) + 1)) as i from u_enc)),
+u_lg as (select *, list_transform(range(64), lambda v: ((s * 31 + pos * 17 + v * v * 7) % 101) / 10.0) as z from u_src),
+u_lp as (select method, paradigm, line_no, z[cast(label % 64 as int) + 1] - ln(list_sum(list_transform(z, lambda x: exp(x)))) as lp from u_lg),
+u_scores as (
+  select 'toy' as model, 'documents' as corpora, 0 as rep, 'user/toy' as path, m.method as scoring_method, e.paradigm, e.line_no,
+         case when m.method = 'mlm' then coalesce(sum(lp), 0.0) else avg(-lp) end as score
+  from u_enc e cross join (values ('mlm'), ('holistic')) m(method)
+  left join u_lp l on l.method = m.method and l.paradigm = e.paradigm and l.line_no = e.line_no group by m.method, e.paradigm, e.line_no)"""
+
+
 def _eval_sql() -> str:
     parts = []
     for prefix, unit, name in (("c_", "char", "count-char"), ("w_", "word", "count-word")):
@@ -1194,7 +1236,7 @@ def _eval_sql() -> str:
          paradigm, line_no, mlm as score from {prefix}s
   union all
   select '{name}', 'documents', 0, 'count/{unit}', 'holistic', paradigm, line_no, holistic from {prefix}s)""")
-    cells = ",\n       ".join(f"max(case when paradigm = '{p}' then accuracy end) as \"{p}\"" for p in FX1_PARADIGMS)
+    cells = ",\n       ".join(f"round_even(max(case when paradigm = '{p}' then accuracy end) * 100.0, 0) / 100.0 as \"{p}\"" for p in FX1_PARADIGMS)
     return f"""with {FX1},
 pairs as (
   select paradigm, 2 * line_no as line_no, lower(sentence) as sentence from fx1
@@ -1203,15 +1245,16 @@ pairs as (
          concat(substr(s, 1, k - 1), substr(s, k + 1, 1), substr(s, k, 1), substr(s, k + 2))
   from (select paradigm, line_no, lower(sentence) as s, cast(floor(length(lower(sentence)) / 2) as int) as k from fx1)),
 {','.join(parts)},
-scores as (select * from c_scores union all select * from w_scores),
+{USER_MODEL_SQL},
+scores as (select * from c_scores union all select * from w_scores union all select * from u_scores),
 pr as (select model, corpora, rep, path, scoring_method, paradigm, line_no // 2 as pair_id,
-              max(case when line_no % 2 = 0 then score end) as good, max(case when line_no % 2 = 1 then score end) as bad
+              max(case when line_no % 2 = 0 then score end) as good, max(case when line_no % 2 = 1 then score end) as bad, count(*) as n
        from scores group by all),
 acc as (select model, corpora, rep, path, scoring_method, paradigm,
-               round(cast(count(case when not isnan(good) and not isnan(bad) and
+               cast(count(case when n = 2 and not isnan(good) and not isnan(bad) and
                      ((scoring_method = 'mlm' and round(good, 6) > round(bad, 6)) or
                       (scoring_method = 'holistic' and round(good, 6) < round(bad, 6))) then 1 end) as double)
-                     / cast(count(*) as double) * 100.0, 4) as accuracy
+                     / nullif(cast(count(case when n = 2 then 1 end) as double), 0) * 100.0 as accuracy
         from pr group by all)
 select model, corpora, rep, path, scoring_method,
        {cells},
@@ -1221,10 +1264,12 @@ from acc group by model, corpora, rep, path, scoring_method"""
 
 @register("evaluate_models", _eval_sql())
 def q_evaluate(spark, sf_dir):
+    from minpair.operators.scorer import ToyModel
     lines = fx.minimal_pairs(spark, sf_dir)
     train = fx.training_lines(spark, sf_dir)
     models = [EV.ScoredModel("count-char", "documents", 0, "count/char", CM.fit(train, "sentence", "char")),
-              EV.ScoredModel("count-word", "documents", 0, "count/word", CM.fit(train, "sentence", "word"))]
+              EV.ScoredModel("count-word", "documents", 0, "count/word", CM.fit(train, "sentence", "word")),
+              EV.ScoredModel("toy", "documents", 0, "user/toy", EV.UserModel(ToyModel(), TK.vocab_build(lines, unit="word")))]
     return EV.evaluate(models, lines, FX1_PARADIGMS)
 
 
@@ -1241,7 +1286,7 @@ BDIM_SQL = "bdim as (select * from (values " + ", ".join(
 @register("suite67_phenomenon_accuracy", f"""with {FX4},
 {sql.pair_accuracy_sql('fx4', method='mlm')},
 named as (select {sql._str_list(SUITE67)}[cast(substr(paradigm, 2) as int) + 1] as paradigm,
-                 round(cast(n_correct as double) / cast(n_pairs as double) * 100.0, 4) as accuracy from acc),
+                 round(cast(n_correct as double) / nullif(cast(n_pairs as double), 0) * 100.0, 4) as accuracy from acc),
 {BDIM_SQL}
 select phenomenon, count(*) as n_paradigms,
        round_even(cast(avg(cast(accuracy as decimal(38,10))) as double) * 10.0, 0) / 10.0 as accuracy

@@ -5,7 +5,9 @@ wide row per (model, method). Here each model contributes one branch that
 scores all lines once for both methods (``both_scores``); the branches are
 unioned with the model's registry keys as columns, and pair accuracy,
 the long results table and the wide table with ``overall`` are computed for
-all of them together.
+all of them together. A registry row can hold a count model or a user's own
+(``UserModel``): its branch encodes the lines by its vocabulary and scores
+both methods in one pass of the workers that hold the model.
 """
 
 from __future__ import annotations
@@ -15,12 +17,23 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minpair.functions.text import lower_case_lines
+from minpair.functions.text import lower_case_lines, round_half_even
 from minpair.operators.accuracy import pair_accuracy
 from minpair.operators import count_model as cm
 from minpair.operators.count_model import CountModel
 from minpair.operators.results import KEYS, results_wide
+from minpair.operators.scorer import TokenModel, scorer_scores
 from minpair.operators.scoring import both_scores
+from minpair.operators.tokens import Vocabulary, encode
+
+
+@dataclass
+class UserModel:
+    """A user's model over the ids of ``vocab``; ``profile`` is the ResourceProfile of the
+    stage that runs it (None: that of the session)."""
+    scorer: TokenModel
+    vocab: Vocabulary
+    profile: object | None = None
 
 
 @dataclass
@@ -30,7 +43,7 @@ class ScoredModel:
     corpora: str
     rep: int
     path: str
-    model: CountModel
+    model: CountModel | UserModel
     lower_case: bool = False
 
 
@@ -42,6 +55,18 @@ def _branch_scores(m: ScoredModel, lines: DataFrame, text_col: str, max_tokens)
                     "scoring_method", "paradigm", "line_no", "score")
 
 
+def _user_scores(m: ScoredModel, lines: DataFrame, text_col: str, max_tokens) -> DataFrame:
+    """Each model is a branch, so a stage of its own: its tasks load no other model."""
+    at = ["paradigm", "line_no"]
+    src = lines.select(*at, lower_case_lines(text_col, m.lower_case).alias(text_col))
+    s = scorer_scores(encode(src, m.model.vocab, at, text_col), m.model.scorer, at, max_ids=max_tokens, profile=m.model.profile)
+    sides = F.array(*[F.struct(F.lit(x).alias("scoring_method"), F.nanvl(F.col(x), F.lit(None).cast("double")).alias("score"))
+                      for x in ("mlm", "holistic")])
+    return s.select(F.lit(m.name).alias("model"), F.lit(m.corpora).alias("corpora"), F.lit(int(m.rep)).alias("rep"),
+                    F.lit(m.path).alias("path"), *at, F.inline(sides)).select(
+        "model", "corpora", "rep", "path", "scoring_method", *at, "score")
+
+
 def _shared_scores(group: list[ScoredModel], lines: DataFrame, text_col: str, max_tokens) -> DataFrame:
     """Models with one token unit and lower-casing choice: the lines are
     tokenised once, each token row is tagged with every model's index, and
@@ -88,21 +113,27 @@ def results_long(models: list[ScoredModel], lines: DataFrame, text_col: str = "s
     (paradigm, line_no, sentence). Models sharing a token unit and
     lower-casing choice share one tokenisation of the lines."""
     groups: dict[tuple, list[ScoredModel]] = {}
+    own = [m for m in models if isinstance(m.model, UserModel)]
     for m in models:
+        if isinstance(m.model, UserModel):
+            continue
         groups.setdefault((m.model.unit, bool(m.lower_case)), []).append(m)
     branches = [(_branch_scores(g[0], lines, text_col, max_tokens) if len(g) == 1
                  else _shared_scores(g, lines, text_col, max_tokens)) for g in groups.values()]
+    branches += [_user_scores(m, lines, text_col, max_tokens) for m in own]
     scores = branches[0]
     for b in branches[1:]:
         scores = scores.unionByName(b)
-    acc = pair_accuracy(scores, "scoring_method", keys=KEYS)
+    # unrounded: what is averaged over paradigms is rounded once, at the end
+    acc = pair_accuracy(scores, "scoring_method", keys=KEYS, decimals=None)
     return acc.select(*KEYS, "paradigm", "accuracy")
 
 
 def evaluate(models: list[ScoredModel], lines: DataFrame, paradigms: list[str],
              previous: DataFrame | None = None, max_tokens: int | None = None) -> DataFrame:
     """The wide results table (one row per model and method, a column per
-    paradigm, ``overall`` rounded to 2 decimals half-even). A result row
+    paradigm and ``overall``, the mean of the unrounded ones; all rounded to 2
+    decimals half-even). A result row
     (model, corpora, rep, path, method) already in ``previous`` (long form)
     wins whole over a new one: no cell of the new row is mixed in."""
     long = results_long(models, lines, max_tokens=max_tokens)
@@ -112,4 +143,5 @@ def evaluate(models: list[ScoredModel], lines: DataFrame, paradigms: list[str],
         for k in KEYS:
             same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
         long = previous.select(*long.columns).unionByName(long.join(have, same, "left_anti"))
-    return results_wide(long, paradigms, overall_decimals=2)
+    wide = results_wide(long, paradigms, overall_decimals=2)
+    return wide.select(*[round_half_even(f"`{c}`", 2).alias(c) if c in paradigms else F.col(c) for c in wide.columns])

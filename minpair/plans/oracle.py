@@ -134,10 +134,10 @@ def pair_accuracy_sql(source: str, keys: str = "", method: str = "mlm") -> str:
          count(case when line_no % 2 = 1 then 1 end) as nb
   from {source} group by all),
 acc as (
-  select {k}paradigm, cast(count(*) as bigint) as n_pairs,
-         cast(count(case when not isnan(good) and not isnan(bad)
+  select {k}paradigm, cast(count(case when ng > 0 and nb > 0 then 1 end) as bigint) as n_pairs,
+         cast(count(case when ng > 0 and nb > 0 and not isnan(good) and not isnan(bad)
                           and round(good, 6) {op} round(bad, 6) then 1 end) as bigint) as n_correct
-  from pr where ng > 0 and nb > 0 group by all)"""
+  from pr group by all)"""
 
 
 def flagship_sql(method: str = "mlm") -> str:
@@ -157,5 +157,5 @@ def flagship_sql(method: str = "mlm") -> str:
 {score},
 {pair_accuracy_sql('scores', method=method)}
 select paradigm, n_pairs, n_correct,
-       round(cast(n_correct as double) / cast(n_pairs as double) * 100.0, 4) as accuracy
+       round(cast(n_correct as double) / nullif(cast(n_pairs as double), 0) * 100.0, 4) as accuracy
 from acc"""

@@ -2,16 +2,19 @@
 
 A suite is a directory of text files, one per paradigm (file stem = paradigm
 name), or a Hive-style ``paradigm=<name>/`` layout as written by Spark.
-Suite files are small by definition (2,000 or 4,000 lines), so each is read
-whole (``wholetext``) to keep its line numbers; files spread over tasks.
+The strict suite scan reads each file whole (``wholetext``): suite files are
+small by definition (2,000 or 4,000 lines), and only the whole file tells how
+it ends. Corpora are read line by line, a file over as many tasks as its byte
+ranges; line numbers come from the ranges' line counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from minpair.functions.text import strip_whitespace
+from minpair.session import durable_checkpoint
 
 
 def _paradigm_from_path():
@@ -59,18 +62,35 @@ def scan_suite(spark: SparkSession, path: str, strict: bool = True, glob: str =
         "paradigm", F.col("line_no").cast("long").alias("line_no"), "sentence")
 
 
+def scan_lines(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+    """(file_path, line_no, line) of every line of every file, from 0, without reading a file whole.
+
+    The reader cuts files into byte ranges (``spark.sql.files.maxPartitionBytes``); a line
+    belongs to the range it begins in, a \\r\\n over a border included, and ends with \\n, \\r\\n
+    or \\r. A line's number is its place in its range plus the lines of the file's earlier
+    ranges: one prefix sum over a table of a row per range. A final newline adds no line; an
+    empty file has none.
+    """
+    rows = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+            .select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_from"),
+                    F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")))
+    # the ids depend on the layout: both uses read the same rows
+    rows = durable_checkpoint(rows)
+    ranges = rows.groupBy("file_path", "_from").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    earlier = Window.partitionBy("file_path").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("file_path", "_from", (F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(ranges, ["file_path", "_from"]).select(
+        "file_path", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
+
+
 def scan_corpus(spark: SparkSession, path: str, lower_case: bool = False, glob: str = "*.txt") -> DataFrame:
-    """A2: MLM-style corpus scan: lines keyed by line number, whitespace
-    stripped, the empty item after a final newline dropped."""
-    files = _whole_files(spark, path, glob)
-    lines = F.split("value", "\\r\\n|\\r|\\n", -1)
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    parts = files.select(_url_decode(_paradigm_from_path()).alias("paradigm"), lines.alias("_lines"))
-    out = parts.select("paradigm", F.posexplode("_lines").alias("line_no", "sentence"))
-    s = strip_whitespace("sentence")
+    """A2: MLM-style corpus scan: lines keyed by line number, whitespace stripped, no
+    line after a final newline. A large file is read by many tasks (``scan_lines``)."""
+    lines = scan_lines(spark, path, glob).withColumnRenamed("file_path", "_path")
+    s = strip_whitespace("line")
     if lower_case:
         s = F.lower(s)
-    return out.select("paradigm", F.col("line_no").cast("long").alias("line_no"), s.alias("sentence"))
+    return lines.select(_url_decode(_paradigm_from_path()).alias("paradigm"), "line_no", s.alias("sentence"))
 
 
 def write_suite_text(lines: DataFrame, path: str) -> None:
