@@ -11,8 +11,8 @@ removed; windows are judged on the input.
    bits), and each one that recurs is owned by the smallest document that has
    it. Runs of windows that a document owns are its recurring passages.
 3. Compile: passages are dealt into shards; the automaton (Aho-Corasick) of a
-   shard holds a phrase of each passage at every ``window - phrase + 1`` words, so any window of a
-   passage holds a whole one.
+   shard holds a phrase of ``key`` words of each passage at every ``window - key + 1`` words, so
+   any window of a passage holds a whole one.
 4. Stream: every document that shares a chosen phrase with a smaller owner's
    passage passes through the automata of those shards. Each hit is
    extended word by word over the passage; a match of ``window`` words or more
@@ -29,40 +29,54 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from minpair.llm.arrow import map_arrow
 from minpair.llm.common import no_null, written
 from minpair.operators.scorer import ship_package
 
-#: Words of a window (fixed by the query contract) and of a phrase.
-WINDOW, PHRASE = 50, 16
+#: Words of a window (fixed by the query contract), of a chosen phrase, and of an automaton's phrase.
+WINDOW, PHRASE, KEY = 50, 16, 8
 #: Characters of the passages of one shard, and of the documents that one task streams through it.
-SHARD_CHARS, TASK_CHARS = 2_000_000, 8_000_000
-#: Hashes of words remembered per worker, and the longest word that is.
-HELD_WORDS, HELD_BYTES = 200_000, 64
+SHARD_CHARS, TASK_CHARS = 2_000_000, 16_000_000
+#: Window hashes of one batch.
+HELD_WINDOWS = 100_000
 #: Largest number of documents whose ids (8 bytes each) are sent to every task.
 BROADCAST_MAX_IDS = 1_000_000
 
-_MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+#: Odd bases of the polynomial hashes: of bytes, and two of words.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
-class _WordHashes(dict):
-    """Word -> 64-bit hash."""
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2^64, as many as were asked for."""
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+    def __init__(self, base: int):
+        self.bases = base, pow(base, -1, 1 << 64)
+        self.tables = [np.ones(1, dtype=np.uint64)] * 2
 
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= HELD_BYTES:
-            if len(self) >= HELD_WORDS:
-                self.clear()
-            self[word] = h
-        return h
+    def __call__(self, n: int) -> list[np.ndarray]:
+        while len(self.tables[0]) < n:
+            self.tables = [np.concatenate((t, t * np.uint64(pow(b, len(t), 1 << 64)))) for b, t in zip(self.bases, self.tables)]
+        return [t[:n] for t in self.tables]
 
 
-_HASHES = _WordHashes()
+_POWERS = [_Powers(b) for b in _BASES]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _slice_hashes(x: np.ndarray, start: np.ndarray, stop: np.ndarray, which: int) -> np.ndarray:
+    """64-bit hashes of slices of x: a polynomial over the slice modulo 2^64, by prefix sums."""
+    up, down = _POWERS[which](len(x))
+    prefix = np.zeros(len(x) + 1, dtype=np.uint64)
+    np.cumsum(x * up, out=prefix[1:])
+    return _mix((prefix[stop] - prefix[start]) * down[start] + (stop - start).astype(np.uint64))
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -70,26 +84,19 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order."""
+    x = np.frombuffer(raw, dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(np.r_[True, (x == 32) | ((x >= 9) & (x <= 13)), True]))
+    if not len(edge):
+        return np.zeros(0, dtype=np.uint64)
+    return _slice_hashes(x.astype(np.uint64) + np.uint64(1), edge[::2], edge[1::2], 0)
 
 
 def run_hashes(h: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-    """Hash of every run of ``k`` words, by a polynomial over the words' hashes (modulo 2^64)."""
-    m = len(h) - k + 1
-    if m <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    b = _MUL[which] | np.uint64(1)
-    out = np.zeros(m, dtype=np.uint64)
-    for i in range(k):
-        out = out * b + h[i:i + m]
-    return _mix(out)
+    """Hash of every run of ``k`` words, from the words' hashes."""
+    start = np.arange(max(0, len(h) - k + 1))
+    return _slice_hashes(h, start, start + k, 1 + which) if len(start) else np.zeros(0, dtype=np.uint64)
 
 
 def chosen(h: np.ndarray, window: int, phrase: int) -> np.ndarray:
@@ -115,113 +122,145 @@ def _runs(at: np.ndarray, gap: int = 1) -> list[tuple[int, int]]:
     return list(zip(at[np.r_[0, cut + 1]].tolist(), at[np.r_[cut, len(at) - 1]].tolist()))
 
 
+def _cls(sha: bytes) -> int:
+    """First 64 bits of a digest: the class of a text."""
+    return int.from_bytes(sha[:8], "big", signed=True)
+
+
 def _joined(words: list[bytes]) -> str:
     return b" ".join(words).decode()
 
 
 def _summaries(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """id, n_words, sha (of the words joined by a space), seeds (chosen phrases) of every row."""
+    """id, n_words, sha (of the words joined by a space), cls, seeds (chosen phrases) of every row."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, sha, seeds = [], [], []
             for t in b.column(1):
-                words = split_words(t.as_py())
+                raw = t.as_py().encode()
+                words = raw.split()
                 n.append(len(words))
                 sha.append(sha256(b" ".join(words)).digest())
-                seeds.append(np.unique(chosen(word_hashes(words), window, phrase)) if len(words) >= window else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.binary()),
-                                              pa.array(seeds, pa.list_(pa.int64()))], names=["id", "n_words", "sha", "seeds"])
+                seeds.append(np.unique(chosen(word_hashes(raw), window, phrase)) if len(words) >= window else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(map(_cls, sha), pa.int64()),
+                                              pa.array(seeds, pa.list_(pa.int64()))], names=["id", "n_words", "sha", "cls", "seeds"])
+
+    return map_arrow(docs, run, f"id {id_type}, n_words long, sha binary, cls long, seeds array<long>")
+
 
-    return map_arrow(docs, run, f"id {id_type}, n_words long, sha binary, seeds array<long>")
+def _packed(text: str) -> bytes:
+    """A text as it travels between stages (zstd)."""
+    import zstandard
 
+    return zstandard.compress(text.encode(), 1)
 
-def _texts_of(docs: DataFrame, keys: DataFrame, key_rows: int) -> DataFrame:
-    """keys (id, sha, ...) + text of a row of that id and those words; each key once."""
+
+def _unpacked(blob: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(blob)
+
+
+def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """keys (id, cls, ...) + packed text and chars of a row of that id and those words; each key once."""
     ids = keys.select("id").distinct()
-    some = docs.join(F.broadcast(ids) if key_rows <= BROADCAST_MAX_IDS else ids, "id", "left_semi")
+    some = docs.join(F.broadcast(ids) if keys.count() <= BROADCAST_MAX_IDS else ids, "id", "left_semi")
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sha = [sha256(b" ".join(split_words(t.as_py()))).digest() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary()), b.column(1)], names=["id", "sha", "text"])
+            texts = b.column(1).to_pylist()
+            cls = [_cls(sha256(b" ".join(split_words(t))).digest()) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(map(_packed, texts), pa.binary()),
+                                              pa.array(map(len, texts), pa.int64())], names=["id", "cls", "packed", "chars"])
 
-    rows = map_arrow(some.select("id", "text"), run, f"id {id_type}, sha binary, text string")
-    return keys.join(rows, ["id", "sha"]).dropDuplicates(["id", "sha"])
+    rows = map_arrow(some.select("id", "text"), run, f"id {id_type}, cls long, packed binary, chars long")
+    return keys.join(rows, ["id", "cls"]).dropDuplicates(["id", "cls"])
 
 
 def _window_rows(cand: DataFrame, window: int, phrase: int) -> DataFrame:
-    """id, sha64, pos, h1, h2 of every window of ``cand`` whose chosen phrase recurs."""
+    """id, sub, pos, h1, h2 of every window of ``cand`` whose chosen phrase recurs."""
     id_type = cand.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            held, n = [], 0
             for i in range(b.num_rows):
-                h = word_hashes(split_words(b.column("text")[i].as_py()))
+                h = word_hashes(_unpacked(b.column("packed")[i].as_py()))
                 again = b.column("seeds")[i].values.to_numpy(zero_copy_only=False)
                 pos = np.flatnonzero(np.isin(chosen(h, window, phrase), again))
-                one, two = (run_hashes(h, window, k)[pos].view(np.int64) for k in (0, 1))
-                same = pa.array([0] * len(pos), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(i, 1).take(same), b.column("cls").slice(i, 1).take(same), pa.array(pos.astype(np.int32)),
-                     pa.array(one), pa.array(two)], names=["id", "cls", "pos", "h1", "h2"])
+                held.append((np.full(len(pos), i), pos, *(run_hashes(h, window, k)[pos].view(np.int64) for k in (0, 1))))
+                n += len(pos)
+                if n >= HELD_WINDOWS or i + 1 == b.num_rows:
+                    row, pos, one, two = (np.concatenate(x) for x in zip(*held))
+                    row = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(row), b.column("sub").take(row), pa.array(pos.astype(np.int32)),
+                                                      pa.array(one), pa.array(two)], names=["id", "sub", "pos", "h1", "h2"])
+                    held, n = [], 0
 
-    return map_arrow(cand.select("id", "cls", "text", "seeds"), run, f"id {id_type}, cls long, pos int, h1 long, h2 long")
+    return map_arrow(cand.select("id", "sub", "packed", "seeds"), run, f"id {id_type}, sub int, pos int, h1 long, h2 long")
 
 
 def _passages(owned: DataFrame, window: int, phrase: int) -> DataFrame:
-    """owner, cls, passage (its words joined by a space), seeds: the runs of windows that a document owns."""
+    """owner, sub, passage (its words joined by a space), seeds: the runs of windows that a document owns."""
     id_type = owned.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows, texts, seeds = [], [], []
             for i in range(b.num_rows):
-                words = split_words(b.column("text")[i].as_py())
-                h = word_hashes(words)
-                runs = _runs(np.sort(b.column("starts")[i].values.to_numpy(zero_copy_only=False)))
-                same = pa.array([0] * len(runs), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(i, 1).take(same), b.column("cls").slice(i, 1).take(same),
-                     pa.array([_joined(words[x:y + window]) for x, y in runs], pa.string()),
-                     pa.array([np.unique(chosen(h[x:y + window], window, phrase)) for x, y in runs], pa.list_(pa.int64()))],
-                    names=["owner", "cls", "passage", "seeds"])
+                raw = _unpacked(b.column("packed")[i].as_py())
+                words, h = raw.split(), word_hashes(raw)
+                for x, y in _runs(np.sort(b.column("starts")[i].values.to_numpy(zero_copy_only=False))):
+                    rows.append(i)
+                    texts.append(_joined(words[x:y + window]))
+                    seeds.append(np.unique(chosen(h[x:y + window], window, phrase)))
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("sub").take(at), pa.array(texts, pa.string()),
+                                              pa.array(seeds, pa.list_(pa.int64()))], names=["owner", "sub", "passage", "seeds"])
+
+    return map_arrow(owned.select("id", "sub", "packed", "starts"), run, f"owner {id_type}, sub int, passage string, seeds array<long>")
+
 
-    return map_arrow(owned.select("id", "cls", "text", "starts"), run, f"owner {id_type}, cls long, passage string, seeds array<long>")
+def _flat(words: list[bytes]) -> str:
+    """Words between spaces, a character per byte: as the automaton reads them."""
+    return f" {b' '.join(words).decode('latin-1')} "
 
 
 class PassageAutomaton:
     """Aho-Corasick automaton over phrases of passages; finds where a text repeats a passage."""
 
-    def __init__(self, passages: list[tuple[object, str]], window: int = WINDOW, phrase: int = PHRASE):
+    def __init__(self, passages: list[tuple[object, str]], window: int = WINDOW, key: int = KEY):
         import ahocorasick
 
         self.window, self.passages, self.owners = window, [], []
         at: dict[str, list[tuple[int, int]]] = {}
         for owner, text in passages:
             words = split_words(text)
-            for k in range(0, len(words) - phrase + 1, window - phrase + 1):
-                at.setdefault(f" {_joined(words[k:k + phrase])} ", []).append((len(self.passages), k))
+            for k in range(0, len(words) - key + 1, window - key + 1):
+                at.setdefault(_flat(words[k:k + key]), []).append((len(self.passages), k))
             self.passages.append(words)
             self.owners.append(owner)
         self.find = ahocorasick.Automaton()
-        for key, places in at.items():
-            self.find.add_word(key, (len(key), places))
+        for text, places in at.items():
+            self.find.add_word(text, (len(text), places))
         if at:
             self.find.make_automaton()
 
-    def repeats(self, doc_id, text: str) -> list[tuple[int, int]]:
+    def repeats(self, doc_id, raw: bytes) -> list[tuple[int, int]]:
         """Word ranges (end exclusive) of at least ``window`` words that the text shares with a
         passage of a smaller owner; ranges can overlap."""
-        words = split_words(text)
+        words = raw.split()
         if len(words) < self.window or not len(self.find):
             return []
-        flat = f" {_joined(words)} "
-        first = np.cumsum([1, *(len(w.decode()) + 1 for w in words)])  # characters before each word
-        found, done = [], {}
+        flat = _flat(words)
+        found, done, space = [], {}, None
         for end, (n, places) in self.find.iter(flat):
-            i = int(np.searchsorted(first, end - n + 2))
+            if space is None:  # the space before each word
+                space = np.flatnonzero(np.frombuffer(flat.encode("latin-1"), dtype=np.uint8) == 32)
+            i = int(space.searchsorted(end - n + 1))
             for p, k in places:
                 if not self.owners[p] < doc_id or done.get((p, i - k), -1) >= i:
                     continue
@@ -264,19 +303,19 @@ def _spans_array(spans: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"start": a, "stop": b} for a, b in x] for x in spans], _SPANS_ARROW)
 
 
-def _stream(routed: DataFrame, passages: DataFrame, window: int, phrase: int) -> DataFrame:
-    """id, cls, spans: each routed document through the automaton of its shard (shard, salt: one task)."""
+def _stream(routed: DataFrame, passages: DataFrame, window: int) -> DataFrame:
+    """id, sub, spans: each routed document through the automaton of its shard (shard, salt: one task)."""
     ship_package(routed.sparkSession)
     id_type = routed.schema["id"].dataType.simpleString()
 
     def run(docs: pa.Table, parts: pa.Table) -> pa.Table:
-        auto = PassageAutomaton(list(zip(parts.column("owner").to_pylist(), parts.column("passage").to_pylist())), window, phrase)
-        spans = [_merge(auto.repeats(i.as_py(), t.as_py())) for i, t in zip(docs.column("id"), docs.column("text"))]
-        return pa.table({"id": docs.column("id"), "cls": docs.column("cls"), "spans": _spans_array(spans)})
+        auto = PassageAutomaton(list(zip(parts.column("owner").to_pylist(), parts.column("passage").to_pylist())), window, min(KEY, window))
+        spans = [_merge(auto.repeats(i.as_py(), _unpacked(t.as_py()))) for i, t in zip(docs.column("id"), docs.column("packed"))]
+        return pa.table({"id": docs.column("id"), "sub": docs.column("sub"), "spans": _spans_array(spans)})
 
-    left = routed.select("shard", "salt", "id", "cls", "text").groupBy("shard", "salt")
+    left = routed.select("shard", "salt", "id", "sub", "packed").groupBy("shard", "salt")
     right = passages.select("shard", "salt", "owner", "passage").groupBy("shard", "salt")
-    return left.cogroup(right).applyInArrow(lambda a, b: run(a, b), f"id {id_type}, cls long, spans {_SPANS}").filter(F.size("spans") > 0)
+    return left.cogroup(right).applyInArrow(lambda a, b: run(a, b), f"id {id_type}, sub int, spans {_SPANS}").filter(F.size("spans") > 0)
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE,
@@ -286,7 +325,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows: id, n_words, sha, cls, first; one per input row. ``sha`` is the SHA-256 of the words joined
     by a space, ``cls`` its first 64 bits, ``first`` the smallest id of those words (null below
     ``window`` words). A row whose id is larger than ``first`` is covered whole.
-    cut: id, cls, spans (word ranges to remove, end exclusive, disjoint) and text, for those
+    cut: id, cls, spans (word ranges to remove, end exclusive) and the packed text, for those
     smallest rows of which a part is removed.
 
     Null texts have no words. A row with a null id neither owns windows nor loses words.
@@ -295,38 +334,38 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not 1 <= phrase <= window:
         raise ValueError("a phrase has 1 to window words")
     d = docs.select(F.col(id_col).alias("id"), no_null(text_col).alias("text"))
-    # the first 64 bits of the digest as a signed integer
-    cls = F.conv(F.substring(F.hex("sha"), 1, 16), 16, -10).cast("long")
-    rows = written(_summaries(d, window, phrase).withColumn("cls", cls))
+    rows = written(_summaries(d, window, phrase))
     long_rows = rows.filter(f"n_words >= {int(window)} and id is not null")
     reps = written(long_rows.groupBy("sha", "cls").agg(F.min("id").alias("id"), F.min_by("seeds", "id").alias("seeds")))
     # phrases that documents of different ids chose
-    seeds = reps.select("id", "sha", "cls", F.explode("seeds").alias("seed"))
-    again = (seeds.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("seed"))
-    keys = written(seeds.join(again, "seed").groupBy("id", "sha", "cls").agg(F.collect_list("seed").alias("seeds")))
-    cand = written(_texts_of(d, keys, keys.count()).withColumn("chars", F.length("text")))
+    seeds = reps.select("id", "cls", F.explode("seeds").alias("seed"))
+    again = seeds.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("seed")
+    # sub numbers the different texts of an id (one, as a rule)
+    sub = (F.row_number().over(Window.partitionBy("id").orderBy("cls")) - 1).alias("sub")
+    keys = written(seeds.join(again, "seed").repartition("id").groupBy("id", "cls").agg(F.collect_list("seed").alias("seeds"))
+                   .select("*", sub))
+    cand = written(_texts_of(d, keys))
     # a recurring window belongs to the smallest document that has it, once
     wins = (_window_rows(cand, window, phrase).groupBy("h1", "h2")
-            .agg(F.min(F.struct("id", "cls", "pos")).alias("own"), F.max("id").alias("hi")).filter("own.id < hi"))
-    starts = wins.select("own.*").groupBy("id", "cls").agg(F.collect_list("pos").alias("starts"))
-    passages = written(_passages(cand.drop("seeds").join(starts, ["id", "cls"]), window, phrase))
+            .agg(F.min(F.struct("id", "sub", "pos")).alias("own"), F.max("id").alias("hi")).filter("own.id < hi"))
+    starts = wins.select("own.*").groupBy("id", "sub").agg(F.collect_list("pos").alias("starts"))
+    passages = written(_passages(cand.drop("seeds").join(starts, ["id", "sub"]), window, phrase))
     total = passages.agg(F.sum(F.length("passage"))).first()[0] or 0
     n_shards = max(1, -(-int(total) // shard_chars))
-    passages = passages.withColumn("shard", F.pmod(F.xxhash64("owner", "cls"), F.lit(n_shards)).cast("int"))
+    passages = passages.withColumn("shard", F.pmod(F.xxhash64("owner", "sub"), F.lit(n_shards)).cast("int"))
     # a document goes to the shards where a smaller owner's passage chose one of its phrases
     where = passages.select("shard", "owner", F.explode("seeds").alias("seed")).groupBy("seed", "shard").agg(F.min("owner").alias("owner"))
-    met = (cand.select("id", "cls", "chars", F.explode("seeds").alias("seed")).join(where, "seed").filter("owner < id")
-           .select("shard", "id", "cls", "chars").distinct())
-    met = written(met)
+    met = written(cand.select("id", "sub", "chars", F.explode("seeds").alias("seed")).join(where, "seed").filter("owner < id")
+                  .select("shard", "id", "sub", "chars").distinct())
     salts = written(met.groupBy("shard").agg(F.ceil(F.sum("chars") / F.lit(task_chars)).cast("int").alias("salts")))
-    routed = (met.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("id", "cls"), F.col("salts")).cast("int"))
-              .select("shard", "salt", "id", "cls").join(cand.select("id", "cls", "text"), ["id", "cls"]))
+    routed = (met.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("id", "sub"), F.col("salts")).cast("int"))
+              .select("shard", "salt", "id", "sub").join(cand.select("id", "sub", "packed"), ["id", "sub"]))
     parts = passages.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    found = _stream(routed, parts, window, phrase)
-    found = written(found.groupBy("id", "cls").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    found = _stream(routed, parts, window)
+    found = written(found.groupBy("id", "sub").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     first = reps.select("sha", F.col("id").alias("first"))
     return (rows.drop("seeds").join(first, "sha", "left"),
-            found.join(cand.select("id", "cls", "text"), ["id", "cls"]))
+            found.join(cand.select("id", "sub", "cls", "packed"), ["id", "sub"]))
 
 
 def _cut(found: DataFrame) -> DataFrame:
@@ -336,8 +375,8 @@ def _cut(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             gone, kept = [], []
-            for t, s in zip(b.column("text"), b.column("spans")):
-                words, spans, at, left = split_words(t.as_py()), _merge((x["start"], x["stop"]) for x in s.as_py()), 0, []
+            for t, s in zip(b.column("packed"), b.column("spans")):
+                words, spans, at, left = _unpacked(t.as_py()).split(), _merge((x["start"], x["stop"]) for x in s.as_py()), 0, []
                 for a, z in spans:
                     left += words[at:a]
                     at = z
@@ -347,7 +386,7 @@ def _cut(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("cls"), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
                                              names=["id", "cls", "n_removed", "kept"])
 
-    return map_arrow(found.select("id", "cls", "text", "spans"), run, f"id {id_type}, cls long, n_removed long, kept string")
+    return map_arrow(found.select("id", "cls", "packed", "spans"), run, f"id {id_type}, cls long, n_removed long, kept string")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE,
