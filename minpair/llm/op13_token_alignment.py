@@ -28,6 +28,8 @@ from minpair.llm.common import no_null, written
 
 #: Characters of the texts that are aligned together.
 BATCH_CHARS = 200_000
+#: Chunks of text whose tokens a worker remembers (in each of two generations), and the longest that is.
+HELD_CHUNKS, HELD_CHARS = 80_000, 40
 #: Id pairs of one block of links; a group with more pairs goes by its distinct ids.
 BLOCK_LINKS, LARGE_GROUP = 1 << 20, 4096
 #: Largest number of id pairs (some 30 bytes each) sent to every task.
@@ -42,6 +44,11 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: A single space between two printable ASCII characters. Neither side has a token across the
+#: place before it (see ``splits``), so the chunks between such spaces are encoded on their own.
+_CHUNK = re.compile("(?<=[!-~]) (?=[!-~])")
+
+
 class ByteLevelSide:
     """Tokeniser file of byte-level pieces; its token bytes by id."""
 
@@ -59,6 +66,11 @@ class ByteLevelSide:
         for token, i in vocab.items():
             self.bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
 
+        # the usual pre-tokeniser of byte-level pieces lets a piece begin at such a space, never go over it
+        spec = json.loads(payload)
+        pre = spec.get("pre_tokenizer") or {}
+        self.splits = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
 
@@ -75,6 +87,8 @@ class PieceSide:
             piece = self.tok.id_to_piece(i)
             byte = re.fullmatch("<0x([0-9A-Fa-f]{2})>", piece)
             self.bytes.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
+        # merges never go over a space that no piece has after another character
+        self.splits = not any(b" " in x.lstrip(b" ") for x in self.bytes)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.tok.encode(texts, num_threads=1)
@@ -90,13 +104,15 @@ def _spans(ids: list[np.ndarray], sizes: np.ndarray) -> pd.DataFrame:
 
 def group_ends(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     """Ascending byte offsets where tokens of both sides end."""
-    def covering(x, y, names):
+    def equal_ends(x, y):
         got = pd.merge_asof(x[["doc", "start", "stop"]], y[["doc", "start", "stop"]].rename(columns={"stop": "other"}),
                             on="start", by="doc")
-        return got[["stop", "other"]].set_axis(names, axis=1)
+        stop = got["stop"].to_numpy()
+        return stop[stop == got["other"].to_numpy()]
 
-    overlaps = pd.concat([covering(a, b, ["a", "b"]), covering(b, a, ["b", "a"])])
-    return np.unique(overlaps["a"].to_numpy()[overlaps["a"].to_numpy() == overlaps["b"].to_numpy()])
+    # overlaps found from either side; each list is ascending
+    ends = np.sort(np.concatenate((equal_ends(a, b), equal_ends(b, a))), kind="stable")
+    return ends[np.r_[True, ends[1:] != ends[:-1]]] if len(ends) else ends
 
 
 def _large_pairs(ids_a: np.ndarray, ids_b: np.ndarray, size_b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -108,21 +124,25 @@ def _large_pairs(ids_a: np.ndarray, ids_b: np.ndarray, size_b: int) -> Iterator[
         yield (x[i:i + step, None] * size_b + y[None, :]).ravel(), (nx[i:i + step, None] * ny[None, :]).ravel()
 
 
-def _summed(doc: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of n by (doc, key), in that order."""
-    order = np.lexsort((key, doc))
-    doc, key, n = doc[order], key[order], n[order]
-    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(doc) else np.zeros(0, dtype=np.int64)
-    return doc[first], key[first], np.add.reduceat(n, first) if len(first) else n
+def _summed(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, and the sums of n (ones if None)."""
+    if n is None:
+        key = np.sort(key)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+    if n is None:
+        return key[first], np.diff(np.r_[first, len(key)])
+    return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def linked_pairs(a: pd.DataFrame, b: pd.DataFrame, group_a: np.ndarray, group_b: np.ndarray, na: np.ndarray, nb: np.ndarray,
-                 size_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                 size_a: int, size_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, key, links) of every distinct id pair of a document; key = A id * size_b + B id."""
-    ida, idb = a["id"].to_numpy(), b["id"].to_numpy()
+    ida, idb, doc = a["id"].to_numpy(), b["id"].to_numpy(), a["doc"].to_numpy()
     first_a, first_b = np.cumsum(na) - na, np.cumsum(nb) - nb
-    group_doc = a["doc"].to_numpy()[first_a] if len(na) else np.zeros(0, dtype=np.int64)
-    parts = []
+    pairs, parts = size_a * size_b, []  # keys of the documents lie one after another
     per_a = np.where(na * nb <= LARGE_GROUP, nb, 0)[group_a]  # B tokens that each A token is linked with
     total = np.cumsum(per_a)
     lo = 0
@@ -131,22 +151,22 @@ def linked_pairs(a: pd.DataFrame, b: pd.DataFrame, group_a: np.ndarray, group_b:
         m = per_a[lo:hi]
         row = np.repeat(np.arange(lo, hi), m)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
-        key = ida[row] * size_b + idb[first_b[group_a[row]] + nth]
-        parts.append(_summed(a["doc"].to_numpy()[row], key, np.ones(len(row), dtype=np.int64)))
+        parts.append(_summed(doc[row] * pairs + ida[row] * size_b + idb[first_b[group_a[row]] + nth]))
         lo = hi
     for g in np.flatnonzero(na * nb > LARGE_GROUP):
-        for key, n in _large_pairs(ida[first_a[g]:first_a[g] + na[g]], idb[first_b[g]:first_b[g] + nb[g]], size_b):
-            parts.append((np.full(len(key), group_doc[g]), key, n))
+        at = doc[first_a[g]] * pairs
+        parts += [(at + key, n) for key, n in _large_pairs(ida[first_a[g]:first_a[g] + na[g]], idb[first_b[g]:first_b[g] + nb[g]], size_b)]
     if not parts:
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
-    return _summed(*(np.concatenate(x) for x in zip(*parts)))
+    key, n = parts[0] if len(parts) == 1 else _summed(*(np.concatenate(x) for x in zip(*parts)))
+    return key // pairs, key % pairs, n
 
 
 class Aligner:
     """Both sides of a worker, and their tables."""
 
     def __init__(self, a: ByteLevelSide, b: PieceSide):
-        self.a, self.b = a, b
+        self.a, self.b, self.held, self.older = a, b, {}, {}
         self.sizes = [np.array([len(x) for x in s.bytes], dtype=np.int64) for s in (a, b)]
         na, nb = len(a.bytes), len(b.bytes)
         # a token and what follows it: A inside its run, A at its end, B inside, B at its end
@@ -154,16 +174,67 @@ class Aligner:
                               *(f"{i}," for i in range(nb)), *(f"{i};" for i in range(nb))], dtype=object)
         self.offset = (0, na, 2 * na, 2 * na + nb)
 
+    def _encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both sides, or None where a side's bytes are not space + text."""
+        out = []
+        for text, x, y in zip(texts, self.a.encode(texts), self.b.encode(texts)) if texts else ():
+            want = b" " + text.encode()
+            same = all(b"".join(map(s.bytes.__getitem__, ids)) == want for s, ids in ((self.a, x), (self.b, y)))
+            out.append((np.array(x, dtype="<u4"), np.array(y, dtype="<u4")) if same else None)
+        return out
+
+    def _learn(self, chunks: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Packed ids of both sides of new chunks: in one text, cut again at the chunks' ends."""
+        plain = [c for c in chunks if "!" <= c[0] <= "~" and "!" <= c[-1] <= "~"]
+        got = {}
+        if plain and (ids := self._encode([" ".join(plain)])[0]):
+            ends = np.cumsum([1 + len(c.encode()) for c in plain])
+            sides = []
+            for x, sizes in zip(ids, self.sizes):
+                stops = np.cumsum(sizes[x])
+                at = np.searchsorted(stops, ends)
+                if (stops[at] != ends).any():
+                    break
+                raw, cut = x.tobytes(), [0, *(4 * (at + 1)).tolist()]
+                sides.append([raw[i:j] for i, j in zip(cut, cut[1:])])
+            if len(sides) == 2:
+                got = dict(zip(plain, zip(*sides)))
+        rest = [c for c in chunks if c not in got]
+        return got | {c: x and (x[0].tobytes(), x[1].tobytes()) for c, x in zip(rest, self._encode(rest))}
+
+    def _chunk_tokens(self, chunks: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        got, new = {}, []
+        for c in dict.fromkeys(chunks):
+            x = self.held.get(c) or self.older.get(c)
+            if x:
+                got[c] = self.held[c] = x
+            else:
+                new.append(c)
+        if new:
+            learned = self._learn(new)
+            got |= learned
+            self.held |= {c: x for c, x in learned.items() if x and len(c) <= HELD_CHARS}
+        if len(self.held) > HELD_CHUNKS:
+            self.held, self.older = {}, self.held
+        return got
+
     def tokens(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides; none where the text is empty or a side's bytes are not space + text."""
-        none, some = np.zeros(0, dtype=np.int64), [i for i, t in enumerate(texts) if t]
+        none = np.zeros(0, dtype=np.int64)
         ids = [[none] * len(texts), [none] * len(texts)]
-        if some:
-            got = [s.encode([texts[i] for i in some]) for s in (self.a, self.b)]
-            for k, i in enumerate(some):
-                want = b" " + texts[i].encode()
-                if all(b"".join(map(s.bytes.__getitem__, x[k])) == want for s, x in zip((self.a, self.b), got)):
-                    ids[0][i], ids[1][i] = (np.array(x[k], dtype=np.int64) for x in got)
+        if not (self.a.splits and self.b.splits):
+            some = [i for i, t in enumerate(texts) if t]
+            for i, x in zip(some, self._encode([texts[i] for i in some])):
+                if x:
+                    ids[0][i], ids[1][i] = (y.astype(np.int64) for y in x)
+            return ids[0], ids[1]
+        chunks = [_CHUNK.split(t) if t else [] for t in texts]
+        got = self._chunk_tokens([c for x in chunks for c in x])
+        for i, x in enumerate(chunks):
+            own = [got[c] for c in x]
+            if own and None not in own:
+                for k in (0, 1):
+                    ids[k][i] = np.frombuffer(b"".join([o[k] for o in own]), dtype="<u4").astype(np.int64)
         return ids[0], ids[1]
 
     def align(self, texts: list[str]) -> dict[str, list]:
@@ -185,7 +256,7 @@ class Aligner:
         cut = np.cumsum([0, *(x + y for x, y in zip(n_a, n_b))])
         groups = ["".join(out[i:j])[:-1] for i, j in zip(cut, cut[1:])]
         doc_of = a["doc"].to_numpy()[np.cumsum(na) - na] if len(ends) else np.zeros(0, dtype=np.int64)
-        doc, key, n = linked_pairs(a, b, ga, gb, na, nb, len(self.sizes[1]))
+        doc, key, n = linked_pairs(a, b, ga, gb, na, nb, *map(len, self.sizes))
         at = np.searchsorted(doc, np.arange(rows + 1))
         return {"n_a": n_a, "n_b": n_b, "n_groups": np.bincount(doc_of, minlength=rows),
                 "n_links": np.bincount(doc_of, weights=na * nb, minlength=rows).astype(np.int64), "groups": groups,
