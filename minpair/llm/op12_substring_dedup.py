@@ -11,8 +11,8 @@ removed; windows are judged on the input.
    bits), and each one that recurs is owned by the smallest document that has
    it. Runs of windows that a document owns are its recurring passages.
 3. Compile: passages are dealt into shards; the automaton (Aho-Corasick) of a
-   shard holds a phrase of ``key`` words of each passage at every ``window - key + 1`` words, so
-   any window of a passage holds a whole one.
+   shard holds phrases of ``key`` words such that any window of a passage holds a whole one,
+   those that few passages of the shard have before the others.
 4. Stream: every document that shares a chosen phrase with a smaller owner's
    passage passes through the automata of those shards. Each hit is
    extended word by word over the passage; a match of ``window`` words or more
@@ -237,9 +237,12 @@ class PassageAutomaton:
 
         self.window, self.passages, self.owners = window, [], []
         at: dict[str, list[tuple[int, int]]] = {}
-        for owner, text in passages:
+        grams = [run_hashes(word_hashes(text.encode()), key) for _, text in passages]
+        _, of, counts = np.unique(np.concatenate([*grams, np.zeros(0, dtype=np.uint64)]), return_inverse=True, return_counts=True)
+        often, end = counts[of], np.cumsum([0, *map(len, grams)])
+        for (owner, text), a, b in zip(passages, end, end[1:]):
             words = split_words(text)
-            for k in range(0, len(words) - key + 1, window - key + 1):
+            for k in self._places(often[a:b], len(words) - window, window - key + 1):
                 at.setdefault(_flat(words[k:k + key]), []).append((len(self.passages), k))
             self.passages.append(words)
             self.owners.append(owner)
@@ -249,6 +252,18 @@ class PassageAutomaton:
         if at:
             self.find.make_automaton()
 
+    @staticmethod
+    def _places(often: np.ndarray, last: int, n: int) -> Iterator[int]:
+        """Phrases of a passage such that each of its windows (0 to last) holds one. ``often`` counts
+        the phrase that begins at a word among all passages, ``n`` phrases lie in a window: rare
+        ones are taken, so that passages which differ by a word are not all met at what they share."""
+        s = 0
+        while s <= last:
+            own = often[s:s + n]
+            s += int(np.flatnonzero(own <= 2 * own.min())[-1])
+            yield s
+            s += 1
+
     def repeats(self, doc_id, raw: bytes) -> list[tuple[int, int]]:
         """Word ranges (end exclusive) of at least ``window`` words that the text shares with a
         passage of a smaller owner; ranges can overlap."""
