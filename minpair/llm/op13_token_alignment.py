@@ -27,9 +27,9 @@ from minpair.llm.arrow import map_arrow
 from minpair.llm.common import no_null, written
 
 #: Characters of the texts that are aligned together.
-BATCH_CHARS = 200_000
+BATCH_CHARS = 600_000
 #: Chunks of text whose tokens a worker remembers (in each of two generations), and the longest that is.
-HELD_CHUNKS, HELD_CHARS = 80_000, 40
+HELD_CHUNKS, HELD_CHARS = 200_000, 40
 #: Id pairs of one block of links; a group with more pairs goes by its distinct ids.
 BLOCK_LINKS, LARGE_GROUP = 1 << 20, 4096
 #: Largest number of id pairs (some 30 bytes each) sent to every task.
