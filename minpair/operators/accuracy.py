@@ -2,7 +2,7 @@
 
 Lines 2i (good) and 2i+1 (bad) of a paradigm form pair i. A pair is right when
 the good side wins strictly: larger score for ``mlm``, smaller for
-``holistic``. Ties, NaN and NULL scores are wrong. A trailing unpaired line is
+``holistic``, compared as they are (scores are summed order-independently). Ties, NaN and NULL scores are wrong. A trailing unpaired line is
 ignored. A paradigm without pairs has NULL accuracy.
 
 Plan: hash aggregate by (keys, paradigm, pair) then by (keys, paradigm). Both
@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 from minpair.functions.numeric import exact_avg
 
 METHODS = ("mlm", "holistic")
-# Scores are compared after rounding so that summation order (which differs
-# between runs and engines) cannot turn an exact tie into a win.
-COMPARE_DECIMALS = 6
 
 
 def check_method(method: str) -> str:
@@ -29,14 +26,12 @@ def check_method(method: str) -> str:
 
 
 def _wins(good: Column, bad: Column, method) -> Column:
-    g = F.round(good, COMPARE_DECIMALS)
-    b = F.round(bad, COMPARE_DECIMALS)
     clean = ~F.isnan(good) & ~F.isnan(bad)
     if isinstance(method, str):
-        cmp = g > b if check_method(method) == "mlm" else g < b
+        cmp = good > bad if check_method(method) == "mlm" else good < bad
     else:
-        cmp = (F.when(method == "mlm", g > b)
-                .when(method == "holistic", g < b)
+        cmp = (F.when(method == "mlm", good > bad)
+                .when(method == "holistic", good < bad)
                 .otherwise(F.raise_error(F.concat(F.lit("invalid scoring_method "), method))))
     return F.coalesce(clean & cmp, F.lit(False))
 

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from minpair.functions.numeric import SCORE_STEPS
 from minpair.functions.tokens import MASK_ID, PAD_ID
 
 #: The model that this Python worker holds: one at most, by its scorer's key.
@@ -210,6 +211,10 @@ class SentenceScorer:
         m = x.max(axis=1, keepdims=True)
         return x[np.arange(len(x)), self.scorer.label(labels)] - m[:, 0] - np.log(np.exp(x - m).sum(axis=1))
 
+    def _steps(self, *block):
+        """Token scores in whole steps, whose sums do not depend on the packing."""
+        return np.rint(self._logprob(*block) * SCORE_STEPS)
+
     def mlm(self, sentences: list[np.ndarray]) -> np.ndarray:
         """Sum over the inner positions of log P(label) with that position masked; 0.0 without any."""
         lengths = np.array([len(s) for s in sentences], dtype="int64")
@@ -223,8 +228,8 @@ class SentenceScorer:
             ids, mask = self._padded(sentences, owner[lo:hi])
             labels = ids[rows, at]
             ids[rows, at] = MASK_ID
-            total += np.bincount(owner[lo:hi], weights=self._logprob(ids, mask, rows, at, labels), minlength=len(total))
-        return total
+            total += np.bincount(owner[lo:hi], weights=self._steps(ids, mask, rows, at, labels), minlength=len(total))
+        return total / SCORE_STEPS
 
     def holistic(self, sentences: list[np.ndarray]) -> np.ndarray:
         """Mean cross entropy over all positions of the plain sentence; NaN without any.
@@ -237,8 +242,8 @@ class SentenceScorer:
             owner = order[lo:hi]
             ids, mask = self._padded(sentences, owner)
             rows, at = np.nonzero(mask)  # no padding enters the loss
-            total -= np.bincount(owner[rows], weights=self._logprob(ids, mask, rows, at, ids[rows, at]), minlength=len(total))
-        return np.where(lengths > 0, total / np.maximum(lengths, 1), np.nan)
+            total -= np.bincount(owner[rows], weights=self._steps(ids, mask, rows, at, ids[rows, at]), minlength=len(total))
+        return np.where(lengths > 0, total / np.maximum(lengths, 1) / SCORE_STEPS, np.nan)
 
 
 def scorer_scores(encoded: DataFrame, scorer: TokenModel, keys: list[str], ids_col: str = "token_ids",

@@ -4,7 +4,8 @@ MLM scoring sums log P(true token) over every masked inner position
 (pseudo-log-likelihood); holistic scoring averages the per-token cross entropy
 over the non-padding positions. Both are one hash aggregation by sentence with
 map-side partial aggregation (the batch-by-batch accumulation of the
-original becomes partial + final aggregates).
+original becomes partial + final aggregates). Sums are order-independent
+(``functions.numeric.score_sum``), so scores can be compared without rounding.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from minpair.functions.numeric import score_mean, score_sum
 from minpair.functions.tokens import split_tokens
 from minpair.operators import count_model as cm
 
@@ -26,7 +28,7 @@ def pll_from_tokens(token_scores: DataFrame, keys: list[str], value: str = "logp
                     name: str = "score") -> DataFrame:
     """E7 + C5: sum per sentence; sentences whose rows carry NULL (no scorable
     tokens: empty) score 0.0."""
-    return token_scores.groupBy(*keys).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias(name))
+    return token_scores.groupBy(*keys).agg(F.coalesce(score_sum(value), F.lit(0.0)).alias(name))
 
 
 def mlm_scores(model: "cm.CountModel", sentences: DataFrame, keys: list[str],
@@ -40,7 +42,7 @@ def mlm_scores(model: "cm.CountModel", sentences: DataFrame, keys: list[str],
     toks = cm.token_logprobs(model, sentences, text_col, keys, outer=True)
     if max_tokens is None:
         return pll_from_tokens(toks, keys)
-    agg = toks.groupBy(*keys).agg(F.coalesce(F.sum("logprob"), F.lit(0.0)).alias("score"), F.count("t").alias("_n"))
+    agg = toks.groupBy(*keys).agg(F.coalesce(score_sum("logprob"), F.lit(0.0)).alias("score"), F.count("t").alias("_n"))
     return agg.select(*keys, F.when(F.col("_n") + 2 <= F.lit(int(max_tokens)), F.col("score")).alias("score"))
 
 
@@ -62,7 +64,7 @@ def holistic_scores(model: "cm.CountModel", sentences: DataFrame, keys: list[str
     if pooling not in POOLINGS:
         raise ValueError(f"unknown pooling {pooling!r}; expected one of {POOLINGS}")
     toks = cm.token_logprobs(model, sentences, text_col, keys, outer=True)
-    agg = F.avg(-F.col("logprob")) if pooling == "mean" else F.sum(-F.col("logprob"))
+    agg = (score_mean if pooling == "mean" else score_sum)(-F.col("logprob"))
     return toks.groupBy(*keys).agg(agg.alias("score"))
 
 
@@ -87,7 +89,7 @@ def both_scores(model: "cm.CountModel", sentences: DataFrame, keys: list[str],
     (boundaries included, no bound unless set); holistic: mean of -log P, NULL without tokens.
     """
     toks = cm.token_logprobs(model, sentences, text_col, keys, outer=True)
-    agg = toks.groupBy(*keys).agg(F.sum("logprob").alias("_sum"), F.avg(-F.col("logprob")).alias("_mean"),
+    agg = toks.groupBy(*keys).agg(score_sum("logprob").alias("_sum"), score_mean(-F.col("logprob")).alias("_mean"),
                                   F.count("t").alias("_n"))
     ok = F.lit(True) if max_tokens is None else (F.col("_n") + 2 <= F.lit(int(max_tokens)))
     mlm = F.when(ok, F.coalesce(F.col("_sum"), F.lit(0.0)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from minpair.functions import arrays as A
@@ -784,7 +784,7 @@ def q_tok_scores(spark, sf_dir):
 {sql.FX7_PAIRS},
 {count_model_token_scores('pairs', 'paradigm, line_no')}
 select p.paradigm, p.line_no, round(coalesce(s.score, 0.0), 4) as score
-from pairs p left join (select paradigm, line_no, sum(logprob) as score from q_lp group by 1, 2) s
+from pairs p left join (select paradigm, line_no, {sql.score_sum_sql('logprob')} as score from q_lp group by 1, 2) s
   on p.paradigm = s.paradigm and p.line_no = s.line_no""")
 def q_mlm_scores(spark, sf_dir):
     s = fl.flagship_scores(spark, sf_dir, "mlm")
@@ -795,8 +795,8 @@ def q_mlm_scores(spark, sf_dir):
 {sql.FX7_PAIRS},
 {count_model_token_scores('pairs', 'paradigm, line_no', None)},
 s as (select p.paradigm, p.line_no,
-             coalesce(sum(q.logprob), 0.0) as mlm,
-             avg(-q.logprob) as holistic
+             coalesce({sql.score_sum_sql('q.logprob')}, 0.0) as mlm,
+             {sql.score_mean_sql('-q.logprob')} as holistic
       from pairs p left join q_lp q on p.paradigm = q.paradigm and p.line_no = q.line_no group by 1, 2),
 scores as (select 'mlm' as scoring_method, paradigm, line_no, mlm as score from s
            union all select 'holistic', paradigm, line_no, holistic from s),
@@ -805,11 +805,11 @@ pr as (select scoring_method, paradigm, line_no // 2 as pair_id,
        from scores group by all)
 select scoring_method, paradigm, count(case when n = 2 then 1 end) as n_pairs,
        count(case when n = 2 and not isnan(good) and not isnan(bad) and
-             ((scoring_method = 'mlm' and round(good, 6) > round(bad, 6)) or
-              (scoring_method = 'holistic' and round(good, 6) < round(bad, 6))) then 1 end) as n_correct,
+             ((scoring_method = 'mlm' and good > bad) or
+              (scoring_method = 'holistic' and good < bad)) then 1 end) as n_correct,
        round(cast(count(case when n = 2 and not isnan(good) and not isnan(bad) and
-             ((scoring_method = 'mlm' and round(good, 6) > round(bad, 6)) or
-              (scoring_method = 'holistic' and round(good, 6) < round(bad, 6))) then 1 end) as double)
+             ((scoring_method = 'mlm' and good > bad) or
+              (scoring_method = 'holistic' and good < bad)) then 1 end) as double)
              / nullif(cast(count(case when n = 2 then 1 end) as double), 0) * 100.0, 4) as accuracy
 from pr group by all""")
 def q_paradigm_acc(spark, sf_dir):
@@ -821,7 +821,7 @@ def q_paradigm_acc(spark, sf_dir):
 @register("pll_with_zero_default", f"""with {model_ctes('word')}, {FX5},
 {count_model_token_scores('fx5', 'sent_id', unit='word')}
 select f.sent_id, round(coalesce(s.score, 0.0), 4) as score
-from fx5 f left join (select sent_id, sum(logprob) as score from q_lp group by 1) s using (sent_id)""")
+from fx5 f left join (select sent_id, {sql.score_sum_sql('logprob')} as score from q_lp group by 1) s using (sent_id)""")
 def q_pll_zero(spark, sf_dir):
     s = SC.mlm_scores(word_model(spark, sf_dir), fx.sentences(spark, sf_dir), ["sent_id"])
     return s.withColumn("score", r4(F.col("score")))
@@ -869,7 +869,7 @@ tok as (select sent_id, pos, z[cast(label % 64 as int) + 1] - ln(list_sum(list_t
 src as (select sent_id, i - 1 as pos, ids[i] as label, list_sum(ids) - ids[i] + 4 as s
         from (select sent_id, ids, unnest(range(2, len(ids))) as i from enc)),
 {TOY_SQL}
-select enc.sent_id, round(coalesce(sum(lp), 0.0), 4) as score from enc left join tok on enc.sent_id = tok.sent_id group by 1""")
+select enc.sent_id, round(coalesce({sql.score_sum_sql('lp')}, 0.0), 4) as score from enc left join tok on enc.sent_id = tok.sent_id group by 1""")
 def q_scorer_mlm(spark, sf_dir):
     from minpair.operators.scorer import ToyModel, scorer_mlm_scores
     _, _, enc = fx5_encoded(spark, sf_dir)
@@ -880,7 +880,7 @@ def q_scorer_mlm(spark, sf_dir):
 src as (select sent_id, i - 1 as pos, ids[i] as label, list_sum(ids) as s
         from (select sent_id, ids, unnest(range(1, len(ids) + 1)) as i from enc)),
 {TOY_SQL}
-select sent_id, round(avg(-lp), 4) as score from tok group by 1""")
+select sent_id, round({sql.score_mean_sql('-lp')}, 4) as score from tok group by 1""")
 def q_scorer_holistic(spark, sf_dir):
     from minpair.operators.scorer import ToyModel, scorer_holistic_scores
     _, _, enc = fx5_encoded(spark, sf_dir)
@@ -1081,7 +1081,7 @@ def q_csv(spark, sf_dir):
 {sql.FX7_PAIRS},
 {count_model_token_scores('pairs', 'paradigm, line_no', None)}
 select printf('%s %.4f', p.sentence, round_even(s.score * 10000.0, 0) / 10000.0) as value
-from pairs p join (select paradigm, line_no, avg(-logprob) as score from q_lp group by 1, 2) s
+from pairs p join (select paradigm, line_no, {sql.score_mean_sql('-logprob')} as score from q_lp group by 1, 2) s
   on p.paradigm = s.paradigm and p.line_no = s.line_no""")
 def q_scored_lines(spark, sf_dir):
     m = fl.fitted_model(spark, sf_dir)
@@ -1154,6 +1154,21 @@ def q_stream_scores(spark, sf_dir):
     return s.select("sent_id", r4(F.col("score")).alias("score"), "n_tokens")
 
 
+@register("stream_complete_scores", f"""with {FX3}
+select sent_id, round({sql.score_sum_sql(f"(logits[label + 1] - {LSE})")}, 4) as score, count(*) as n_tokens, true as complete
+from fx3 group by sent_id""")
+def q_stream_complete(spark, sf_dir):
+    d = fx.logits(spark, sf_dir)
+    n = F.count(F.lit(1)).over(Window.partitionBy("sent_id"))  # eight positions at most
+    toks = d.select("sent_id", "pos", A.label_gather(A.log_softmax("logits"), "label").alias("logprob"), n.alias("n_expected"))
+    landing = SK.scratch_path(spark, "tokens-landing")
+    toks.write.mode("append").partitionBy("pos").parquet(landing)
+    sink, ck = SK.scratch_path(spark, "complete-sink"), SK.scratch_path(spark, "complete-ckpt")
+    q = SS.complete_score_stream(spark, landing, toks.schema, sink, ck, ["sent_id"], max_files_per_trigger=8)
+    SR.run_to_completion(q)
+    return SR.read_sink(spark, sink).withColumn("score", r4(F.col("score")))
+
+
 @register("scorer_fill_mask", f"""with {VOCAB_SQL},
 src as (select sent_id, i - 1 as pos, ids[i] as label, list_sum(ids) as s
         from (select sent_id, ids, unnest(range(1, len(ids) + 1)) as i from enc)),
@@ -1214,9 +1229,10 @@ u_lg as (select *, list_transform(range(64), lambda v: ((s * 31 + pos * 17 + v *
 u_lp as (select method, paradigm, line_no, z[cast(label % 64 as int) + 1] - ln(list_sum(list_transform(z, lambda x: exp(x)))) as lp from u_lg),
 u_scores as (
   select 'toy' as model, 'documents' as corpora, 0 as rep, 'user/toy' as path, m.method as scoring_method, e.paradigm, e.line_no,
-         case when m.method = 'mlm' then coalesce(sum(lp), 0.0) else avg(-lp) end as score
+         case when m.method = 'mlm' then coalesce({0}, 0.0) else {1} end as score
   from u_enc e cross join (values ('mlm'), ('holistic')) m(method)
-  left join u_lp l on l.method = m.method and l.paradigm = e.paradigm and l.line_no = e.line_no group by m.method, e.paradigm, e.line_no)"""
+  left join u_lp l on l.method = m.method and l.paradigm = e.paradigm and l.line_no = e.line_no group by m.method, e.paradigm, e.line_no)""".format(
+    sql.score_sum_sql("lp"), sql.score_mean_sql("-lp"))
 
 
 def _eval_sql() -> str:
@@ -1227,8 +1243,8 @@ def _eval_sql() -> str:
         sep = "''" if unit == "char" else "' '"
         parts.append(f"""{prefix}s as (
   select p.paradigm, p.line_no,
-         coalesce(sum(q.logprob), 0.0) as mlm,
-         avg(-q.logprob) as holistic
+         coalesce({sql.score_sum_sql('q.logprob')}, 0.0) as mlm,
+         {sql.score_mean_sql('-q.logprob')} as holistic
   from pairs p left join {prefix}q_lp q on p.paradigm = q.paradigm and p.line_no = q.line_no
   group by p.paradigm, p.line_no, p.sentence),
 {prefix}scores as (
@@ -1252,8 +1268,8 @@ pr as (select model, corpora, rep, path, scoring_method, paradigm, line_no // 2
        from scores group by all),
 acc as (select model, corpora, rep, path, scoring_method, paradigm,
                cast(count(case when n = 2 and not isnan(good) and not isnan(bad) and
-                     ((scoring_method = 'mlm' and round(good, 6) > round(bad, 6)) or
-                      (scoring_method = 'holistic' and round(good, 6) < round(bad, 6))) then 1 end) as double)
+                     ((scoring_method = 'mlm' and good > bad) or
+                      (scoring_method = 'holistic' and good < bad)) then 1 end) as double)
                      / nullif(cast(count(case when n = 2 then 1 end) as double), 0) * 100.0 as accuracy
         from pr group by all)
 select model, corpora, rep, path, scoring_method,

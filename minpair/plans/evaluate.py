@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from minpair.functions.numeric import score_mean, score_sum
 from minpair.functions.text import lower_case_lines, round_half_even
 from minpair.operators.accuracy import pair_accuracy
 from minpair.operators import count_model as cm
@@ -88,7 +89,7 @@ def _shared_scores(group: list[ScoredModel], lines: DataFrame, text_col: str, ma
     unknown = F.element_at(F.array(*[F.lit(m.model.unknown_logprob()) for m in group]), F.col("_m") + 1)
     j = toks.join(tri, ["_m", "l", "t", "r"], "left").join(uni, ["_m", "t"], "left")
     lp = F.when(F.col("t").isNotNull(), F.coalesce("_seen", "_unseen", unknown))
-    agg = j.groupBy("_m", "paradigm", "line_no").agg(F.sum(lp).alias("_sum"), F.avg(-lp).alias("_mean"),
+    agg = j.groupBy("_m", "paradigm", "line_no").agg(score_sum(lp).alias("_sum"), score_mean(-lp).alias("_mean"),
                                                      F.count("t").alias("_n"))
     ok = F.lit(True) if max_tokens is None else (F.col("_n") + 2 <= F.lit(int(max_tokens)))
     mlm = F.when(ok, F.coalesce(F.col("_sum"), F.lit(0.0)))

@@ -122,6 +122,15 @@ def count_model_token_scores(source: str, keys: str, max_tokens: int | None = No
   cross join {p}tot)"""
 
 
+def score_sum_sql(x: str) -> str:
+    """Sum of token scores in whole steps of 1e-10."""
+    return f"sum(round({x} * 1e10)) / 1e10"
+
+
+def score_mean_sql(x: str) -> str:
+    return f"avg(round({x} * 1e10)) / 1e10"
+
+
 def pair_accuracy_sql(source: str, keys: str = "", method: str = "mlm") -> str:
     """Accuracy per (keys, paradigm) from CTE ``source`` (keys, paradigm, line_no, score)."""
     k = f"{keys}, " if keys else ""
@@ -136,20 +145,20 @@ def pair_accuracy_sql(source: str, keys: str = "", method: str = "mlm") -> str:
 acc as (
   select {k}paradigm, cast(count(case when ng > 0 and nb > 0 then 1 end) as bigint) as n_pairs,
          cast(count(case when ng > 0 and nb > 0 and not isnan(good) and not isnan(bad)
-                          and round(good, 6) {op} round(bad, 6) then 1 end) as bigint) as n_correct
+                          and good {op} bad then 1 end) as bigint) as n_correct
   from pr group by all)"""
 
 
 def flagship_sql(method: str = "mlm") -> str:
     if method == "mlm":
-        score = """scores as (
+        score = f"""scores as (
   select p.paradigm, p.line_no, coalesce(s.score, 0.0) as score
-  from pairs p left join (select paradigm, line_no, sum(logprob) as score from q_lp group by 1, 2) s
+  from pairs p left join (select paradigm, line_no, {score_sum_sql('logprob')} as score from q_lp group by 1, 2) s
     on p.paradigm = s.paradigm and p.line_no = s.line_no)"""
     else:
-        score = """scores as (
+        score = f"""scores as (
   select p.paradigm, p.line_no, s.score
-  from pairs p left join (select paradigm, line_no, avg(-logprob) as score from q_lp group by 1, 2) s
+  from pairs p left join (select paradigm, line_no, {score_mean_sql('-logprob')} as score from q_lp group by 1, 2) s
     on p.paradigm = s.paradigm and p.line_no = s.line_no)"""
     return f"""with {FX7_TRAIN},
 {FX7_PAIRS},

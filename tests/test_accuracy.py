@@ -84,3 +84,30 @@ def test_long_wide_long_identity(spark):
                                        "scoring_method string, paradigm string, accuracy double")
     back = results_unpivot(results_wide(long, ["a", "b", "c"]), ["a", "b", "c"]).where("accuracy is not null")
     assert sorted(map(tuple, back.select(*KEYS, "paradigm", "accuracy").collect())) == sorted(rows)
+
+
+def test_small_differences_and_ties(spark):
+    assert _acc(spark, [1.0 + 1e-9, 1.0, 1.0, 1.0], "mlm") == 50.0
+    assert _acc(spark, [1.0, 1.0 + 1e-9, 1.0, 1.0], "holistic") == 50.0
+
+
+def test_ties_stay_ties_over_any_partitioning(spark):
+    """Both sides of a pair hold the same token scores in other orders: no order of
+    summing may make one of them win."""
+    import random
+    from minpair.operators.scoring import pll_from_tokens
+    rng = random.Random(7)
+    rows = []
+    for pair in range(40):
+        lps = [-rng.random() * 12 for _ in range(60)]
+        for side in (0, 1):
+            rng.shuffle(lps)
+            rows += [("p", 2 * pair + side, lp) for lp in lps]
+    toks = spark.createDataFrame(rows, "paradigm string, line_no long, logprob double")
+    for n in (1, 3, 7):
+        s = pll_from_tokens(toks.repartition(n, "logprob"), ["paradigm", "line_no"])
+        r = pair_accuracy(s, "mlm").first()
+        assert (r["n_pairs"], r["n_correct"]) == (40, 0)
+        assert pair_accuracy(s, "holistic").first()["n_correct"] == 0
+    more = toks.unionByName(spark.createDataFrame([("p", 2 * i, 1e-9) for i in range(40)], toks.schema))
+    assert pair_accuracy(pll_from_tokens(more, ["paradigm", "line_no"]), "mlm").first()["n_correct"] == 40
