@@ -56,10 +56,14 @@ def complete_score_stream(spark: SparkSession, landing: str, schema: T.StructTyp
     once per sentence, and return the query handle.
 
     Every token row carries its sentence's token count in ``expected``. NULL
-    scores count as tokens and add nothing; one NaN makes the sentence NaN.
-    A sentence without a new token for ``timeout_s`` seconds is written with
-    ``complete`` false (in the next micro-batch) and forgotten; without a
-    timeout, or with a NULL count, it waits. Tokens beyond the count that come
+    scores count as tokens and add nothing; one NaN makes the sentence's score
+    NULL, which never wins a pair.
+    A sentence without a new token for ``timeout_s`` seconds, up to the start of
+    the latest micro-batch with rows, is written with ``complete`` false and
+    forgotten; without a timeout it waits. A sentence with a NULL count only
+    leaves by the timer. The timer goes by a watermark on the batch time, which
+    no row is behind, so none is dropped as late; and unlike one on the
+    processing time it lets the run end. Tokens beyond the count that come
     in later micro-batches begin the sentence anew.
     """
     ship_package(spark)
@@ -67,12 +71,14 @@ def complete_score_stream(spark: SparkSession, landing: str, schema: T.StructTyp
             .parquet(landing)
             .select(*keys, F.rint(F.nanvl(value, F.lit(None).cast("double")) * SCORE_STEPS).alias("_steps"),
                     F.coalesce(F.isnan(value), F.lit(False)).alias("_nan"), F.col(expected).cast("double").alias("_want")))
+    if timeout_s is not None:
+        wait_ms = max(1, int(timeout_s * 1000))
+        rows = rows.withColumn("_in", F.current_timestamp()).withWatermark("_in", f"{wait_ms} milliseconds")
     names = [*keys, "score", "n_tokens", "complete"]
     out = T.StructType([*(schema[k] for k in keys), T.StructField("score", T.DoubleType()),
                         T.StructField("n_tokens", T.LongType()), T.StructField("complete", T.BooleanType())])
     state = T.StructType([T.StructField("steps", T.DoubleType()), T.StructField("n", T.LongType())])
     steps_per_nat = SCORE_STEPS
-    wait_ms = None if timeout_s is None else max(1, int(timeout_s * 1000))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         steps, n = held.get if held.exists else (0.0, 0)
@@ -91,10 +97,10 @@ def complete_score_stream(spark: SparkSession, landing: str, schema: T.StructTyp
             yield pd.DataFrame([[*key, steps / steps_per_nat, n, True]], columns=names)
             return
         held.update((float(steps), int(n)))
-        if wait_ms is not None:
-            held.setTimeoutDuration(wait_ms)
+        if timeout_s is not None:  # out when the watermark, the wait behind the batch time, passes this batch
+            held.setTimeoutTimestamp(held.getCurrentProcessingTimeMs())
 
-    timer = GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    timer = GroupStateTimeout.NoTimeout if timeout_s is None else GroupStateTimeout.EventTimeTimeout
     done = rows.groupBy(*keys).applyInPandasWithState(step, out, state, "append", timer)
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -119,11 +119,12 @@ def test_complete_scores_come_once_and_leave_no_state(spark, tmp_path):
 
 def test_incomplete_sentences_leave_by_timer(spark, tmp_path):
     import time
-    rows = [(1, 0, -1.0, 3), (2, 0, float("nan"), 1), (3, 1, -0.25, 1), (4, 0, -2.0, None)]
+    rows = [(1, 0, -1.0, 3), (2, 0, float("nan"), 1), (3, 1, -0.25, 1), (4, 0, -2.0, None),
+            (5, 0, float("nan"), 2), (5, 1, -1.0, 2)]
     got = _complete(spark, tmp_path, rows, timeout_s=0.2, parts=[0])
-    assert [r[0] for r in got if r[3]] == [2] and got[0][0] in (1, 2)
+    assert [(r[0], r[3]) for r in got] == [(2, True)]
     time.sleep(0.5)
     got = {r[0]: r[1:] for r in _complete(spark, tmp_path, rows, timeout_s=0.2, parts=[1])}
     assert got[1] == (-1.0, 1, False) and got[4] == (-2.0, 1, False) and got[3] == (-0.25, 1, True)
-    assert got[2][0] != got[2][0] and got[2][2]
+    assert got[2] == (None, 1, True) and got[5] == (None, 2, True) and len(got) == 5
     assert spark.read.format("statestore").load(str(tmp_path / "ck")).count() == 0
