@@ -35,9 +35,9 @@ class _Pieces(dict):
     """Pre-token -> packed ids; a missing one is merged. Kept in two generations,
     so that the bound never forgets the pieces in use."""
 
-    def __init__(self, merge):
+    def __init__(self, merge, bound: int):
         super().__init__()
-        self.merge, self.old, self.bytes = merge, {}, 0
+        self.merge, self.bound, self.old, self.bytes = merge, bound, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -45,7 +45,7 @@ class _Pieces(dict):
             got = self.merge(piece.encode())
             ids = pack(f"<{len(got)}I", *got)
         if len(piece) <= CACHE_CHARS:
-            if self.bytes >= CACHE_BYTES:
+            if self.bytes >= self.bound:
                 self.old, self.bytes = dict(self), 0
                 self.clear()
             # two bytes a character at most, in nearly all texts
@@ -57,7 +57,7 @@ class _Pieces(dict):
 class BytePairCodec:
     """Encoder and decoder of one vocabulary; one instance per Python worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_bytes: int = CACHE_BYTES):
         import regex
 
         self.ranks = ranks
@@ -66,7 +66,7 @@ class BytePairCodec:
         n = max(ranks.values()) + 1
         # the queue: which ranks, and which 64 and 4096 of them, have a bucket
         self.low, self.mid = [0] * ((n >> 6) + 1), [0] * ((n >> 12) + 1)
-        self.pieces = _Pieces(self.merge)
+        self.pieces = _Pieces(self.merge, cache_bytes)
         self.token = {i: b for b, i in ranks.items()}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -150,28 +150,29 @@ def load_ranks(path: str) -> dict[bytes, int]:
 _CODECS: dict[str, BytePairCodec] = {}
 
 
-def _codec(key: str, ranks, pattern: str) -> BytePairCodec:
+def _codec(key: str, ranks, pattern: str, cache_bytes: int) -> BytePairCodec:
     if key not in _CODECS:
-        _CODECS[key] = BytePairCodec(ranks.value, pattern)
+        _CODECS[key] = BytePairCodec(ranks.value, pattern, cache_bytes)
     return _CODECS[key]
 
 
 def bpe_encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
-                      text_col: str = "text") -> DataFrame:
+                      text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """id, token_ids (binary, little-endian unsigned 32-bit) and decoded (binary), per input row.
 
     The vocabulary file is read on the driver and broadcast (a fixed size).
     A null text counts as empty: no tokens, empty bytes. Null ids and
     repeated rows stay; other columns are ignored; special tokens in a text
-    are plain text.
+    are plain text. ``cache_bytes`` bounds the remembered pre-tokens of a worker, in each of
+    two generations; it changes the work and the memory, never the ids.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    key = f"{ranks_path}|{pattern}"
+    key = f"{ranks_path}|{pattern}|{cache_bytes}"
     d = docs.select(F.col(id_col).alias("id"), no_null(text_col).alias("t"))
     id_type = d.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(key, ranks, pattern)
+        codec = _codec(key, ranks, pattern, cache_bytes)
         for b in (s for x in batches for s in text_slices(x, 1, SLICE_BYTES)):
             ids = [codec.encode(t.as_py()) for t in b.column(1)]
             back = [codec.decode(x) for x in ids]

@@ -37,6 +37,13 @@ def test_bpe_brute_force_and_round_trip(text):
     assert CODEC.decode(ids) == text.encode()
 
 
+def test_bpe_memory_bound_changes_no_ids():
+    text = " ".join(f"word{i % 97}x{i % 13}" for i in range(3000))
+    small = op8.BytePairCodec(RANKS, public_tokenizers.PATTERN, cache_bytes=2000)
+    assert small.encode(text) == CODEC.encode(text)
+    assert small.pieces.bytes < 2000 + op8.ENTRY_BYTES + 8 * op8.CACHE_CHARS and small.pieces.old
+
+
 def test_bpe_long_piece_and_tiktoken():
     import tiktoken
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
