@@ -17,6 +17,8 @@ from minpair.llm.queries import RANKS, WEIGHTS, digests, levels
 
 #: Share of the tokens that the mix takes; a document is taken once at most.
 MIX_FRACTION = 0.8
+#: The stages before encoding leave memory held in the executors, so its workers remember less than in the query of its own.
+BPE_CACHE_BYTES = 16 << 20
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -66,7 +68,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their digest, and the digest of what they decode to."""
-    out = op8_bpe.bpe_encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    out = op8_bpe.bpe_encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN,
+                                    cache_bytes=BPE_CACHE_BYTES)
     return digests(out)
 
 
