@@ -12,24 +12,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EXACT = "decimal(38,10)"
-# Token scores are added up as whole multiples of 1 / SCORE_STEPS. Such sums are
-# exact in a double up to 2^53 steps (900,000 nats a sentence), so neither
-# partitioning nor order changes a sentence score, and ties stay ties.
-SCORE_STEPS = 1e10
+# Token scores are added up in two whole parts, steps of 1 / COARSE and of
+# 1 / (COARSE * FINE). Sums of whole numbers are exact in a double (up to 2^53:
+# 9e9 nats, 18 million tokens a sentence), so neither partitioning nor order
+# changes a sentence score, and ties stay ties.
+COARSE, FINE = 1e6, 1e9
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _parts(c) -> tuple[Column, Column]:
+    x = _col(c) * F.lit(COARSE)
+    return F.rint(x), F.rint((x - F.rint(x)) * F.lit(FINE))
+
+
 def score_sum(c) -> Column:
     """Sum of token scores, the same in whatever order they come; NaN if any is NaN."""
-    return F.sum(F.rint(_col(c) * F.lit(SCORE_STEPS))) / F.lit(SCORE_STEPS)
+    hi, lo = _parts(c)
+    return F.sum(hi) / F.lit(COARSE) + F.sum(lo) / F.lit(COARSE * FINE)
 
 
 def score_mean(c) -> Column:
-    """Mean of token scores, on the same sum as ``score_sum``."""
-    return F.avg(F.rint(_col(c) * F.lit(SCORE_STEPS))) / F.lit(SCORE_STEPS)
+    """Mean of token scores, on the same sums as ``score_sum``."""
+    hi, lo = _parts(c)
+    return F.avg(hi) / F.lit(COARSE) + F.avg(lo) / F.lit(COARSE * FINE)
 
 
 def exact_avg(c) -> Column:

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from minpair.functions.numeric import SCORE_STEPS
+from minpair.functions.numeric import COARSE, FINE
 from minpair.functions.tokens import MASK_ID, PAD_ID
 
 #: The model that this Python worker holds: one at most, by its scorer's key.
@@ -211,9 +211,13 @@ class SentenceScorer:
         m = x.max(axis=1, keepdims=True)
         return x[np.arange(len(x)), self.scorer.label(labels)] - m[:, 0] - np.log(np.exp(x - m).sum(axis=1))
 
-    def _steps(self, *block):
-        """Token scores in whole steps, whose sums do not depend on the packing."""
-        return np.rint(self._logprob(*block) * SCORE_STEPS)
+    @staticmethod
+    def _add(total, owner, logprob):
+        """Add token scores to ``total`` in two whole parts, whose sums do not depend on the packing."""
+        x = logprob * COARSE
+        hi = np.rint(x)
+        for part, steps in enumerate((hi, np.rint((x - hi) * FINE))):
+            total[part] += np.bincount(owner, weights=steps, minlength=total.shape[1])
 
     def mlm(self, sentences: list[np.ndarray]) -> np.ndarray:
         """Sum over the inner positions of log P(label) with that position masked; 0.0 without any."""
@@ -222,14 +226,14 @@ class SentenceScorer:
         order = np.argsort(lengths, kind="stable")
         owner = np.repeat(order, copies[order])
         place = 1 + np.arange(len(owner)) - np.repeat(np.cumsum(copies[order]) - copies[order], copies[order])
-        total = np.zeros(len(sentences))
+        total = np.zeros((2, len(sentences)))
         for lo, hi in pack(lengths[owner], self.budget):  # the masked copies of one block only
             rows, at = np.arange(hi - lo), place[lo:hi]
             ids, mask = self._padded(sentences, owner[lo:hi])
             labels = ids[rows, at]
             ids[rows, at] = MASK_ID
-            total += np.bincount(owner[lo:hi], weights=self._steps(ids, mask, rows, at, labels), minlength=len(total))
-        return total / SCORE_STEPS
+            self._add(total, owner[lo:hi], self._logprob(ids, mask, rows, at, labels))
+        return total[0] / COARSE + total[1] / (COARSE * FINE)
 
     def holistic(self, sentences: list[np.ndarray]) -> np.ndarray:
         """Mean cross entropy over all positions of the plain sentence; NaN without any.
@@ -237,13 +241,14 @@ class SentenceScorer:
         lengths = np.array([len(s) for s in sentences], dtype="int64")
         order = np.argsort(lengths, kind="stable")
         order = order[lengths[order] > 0]
-        total = np.zeros(len(sentences))
+        total = np.zeros((2, len(sentences)))
         for lo, hi in pack(lengths[order], self.budget):
             owner = order[lo:hi]
             ids, mask = self._padded(sentences, owner)
             rows, at = np.nonzero(mask)  # no padding enters the loss
-            total -= np.bincount(owner[rows], weights=self._steps(ids, mask, rows, at, ids[rows, at]), minlength=len(total))
-        return np.where(lengths > 0, total / np.maximum(lengths, 1) / SCORE_STEPS, np.nan)
+            self._add(total, owner[rows], -self._logprob(ids, mask, rows, at, ids[rows, at]))
+        n = np.maximum(lengths, 1)
+        return np.where(lengths > 0, total[0] / n / COARSE + total[1] / n / (COARSE * FINE), np.nan)
 
 
 def scorer_scores(encoded: DataFrame, scorer: TokenModel, keys: list[str], ids_col: str = "token_ids",

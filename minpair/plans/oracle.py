@@ -122,13 +122,18 @@ def count_model_token_scores(source: str, keys: str, max_tokens: int | None = No
   cross join {p}tot)"""
 
 
+def _score_parts_sql(x: str, agg: str) -> str:
+    big = f"(({x}) * 1e6)"
+    return f"({agg}(round({big})) / 1e6 + {agg}(round(({big} - round({big})) * 1e9)) / 1e15)"
+
+
 def score_sum_sql(x: str) -> str:
-    """Sum of token scores in whole steps of 1e-10."""
-    return f"sum(round({x} * 1e10)) / 1e10"
+    """Sum of token scores in two whole parts, exact in any order."""
+    return _score_parts_sql(x, "sum")
 
 
 def score_mean_sql(x: str) -> str:
-    return f"avg(round({x} * 1e10)) / 1e10"
+    return _score_parts_sql(x, "avg")
 
 
 def pair_accuracy_sql(source: str, keys: str = "", method: str = "mlm") -> str:
