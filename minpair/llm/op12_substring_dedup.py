@@ -7,7 +7,7 @@ removed; windows are judged on the input.
 1. Find: every document gives the phrases (``phrase`` words) whose hash is
    least in some window. Equal windows choose equal phrases, so a window that
    two documents share has a phrase that two documents give.
-2. Confirm: only the windows that chose a recurring phrase are hashed (128
+2. Confirm: only the windows that chose a recurring phrase are hashed (96
    bits), and each one that recurs is owned by the smallest document that has
    it. Runs of windows that a document owns are its recurring passages.
 3. Compile: passages are dealt into shards; the automaton (Aho-Corasick) of a
@@ -197,10 +197,10 @@ def _window_rows(cand: DataFrame, window: int, phrase: int) -> DataFrame:
                     row, pos, one, two = (np.concatenate(x) for x in zip(*held))
                     row = pa.array(row)
                     yield pa.RecordBatch.from_arrays([b.column("id").take(row), b.column("sub").take(row), pa.array(pos.astype(np.int32)),
-                                                      pa.array(one), pa.array(two)], names=["id", "sub", "pos", "h1", "h2"])
+                                                      pa.array(one), pa.array(two.astype(np.int32))], names=["id", "sub", "pos", "h1", "h2"])
                     held, n = [], 0
 
-    return map_arrow(cand.select("id", "sub", "packed", "seeds"), run, f"id {id_type}, sub int, pos int, h1 long, h2 long")
+    return map_arrow(cand.select("id", "sub", "packed", "seeds"), run, f"id {id_type}, sub int, pos int, h1 long, h2 int")
 
 
 def _passages(owned: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -363,8 +363,13 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a recurring window belongs to the smallest document that has it, once
     wins = (_window_rows(cand, window, phrase).groupBy("h1", "h2")
             .agg(F.min(F.struct("id", "sub", "pos")).alias("own"), F.max("id").alias("hi")).filter("own.id < hi"))
-    starts = wins.select("own.*").groupBy("id", "sub").agg(F.collect_list("pos").alias("starts"))
-    passages = written(_passages(cand.drop("seeds").join(starts, ["id", "sub"]), window, phrase))
+    starts = written(wins.select("own.*").groupBy("id", "sub").agg(F.collect_list("pos").alias("starts")))
+    # of the texts, only those of owners travel
+    owners = starts.select("id").distinct()
+    owned = cand.drop("seeds")
+    if owners.count() <= BROADCAST_MAX_IDS:
+        owned = owned.join(F.broadcast(owners), "id", "left_semi")
+    passages = written(_passages(owned.join(starts, ["id", "sub"]), window, phrase))
     total = passages.agg(F.sum(F.length("passage"))).first()[0] or 0
     n_shards = max(1, -(-int(total) // shard_chars))
     passages = passages.withColumn("shard", F.pmod(F.xxhash64("owner", "sub"), F.lit(n_shards)).cast("int"))
