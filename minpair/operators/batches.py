@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from minpair.operators.ranking import range_row_number
+from minpair.session import durable_checkpoint
 
 BATCH_FIELD_KINDS = ("pad", "stack", "list")
 
@@ -125,9 +126,45 @@ def attention_mask(valid_length, width) -> Column:
         F.array().cast("array<boolean>"))
 
 
+#: Rows that one shard of a bucket holds on average, unless the caller says otherwise.
+SHARD_ROWS = 100_000
+
+
+def length_histogram(df: DataFrame, length_col: str) -> DataFrame:
+    """(length, n): rows by length. One scan of the length column, aggregated before its
+    shuffle; histograms of parts add up. A null length is a length of its own."""
+    return df.groupBy(F.col(length_col).alias("length")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _bucket(length, lo: Column, hi: Column, num_buckets: int, batch_size: int, ratio: float) -> tuple[Column, Column, Column]:
+    """Bucket, its upper bound and its batch size, of a length between ``lo`` and ``hi``."""
+    width = F.greatest(F.lit(1), F.ceil((hi - lo + 1) / F.lit(num_buckets)))
+    bucket = F.least(F.floor((F.col(length) - lo) / width), F.lit(num_buckets - 1)).cast("int")
+    key = lo + (bucket + 1) * width - 1
+    max_key = lo + F.lit(num_buckets) * width - 1
+    size = F.greatest(F.floor(max_key / key * F.lit(float(ratio)) * F.lit(batch_size)), F.lit(batch_size))
+    return bucket, key.cast("long"), size.cast("long")
+
+
+def bucket_plan(histogram: DataFrame, num_buckets: int = 10, batch_size: int = 500, ratio: float = 1.0,
+                shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Buckets from a ``length_histogram`` alone, ``num_buckets`` rows at most:
+    (bucket, upper_length, bucket_batch_size, n_rows, shortest, longest, shards).
+
+    A bucket has as many shards as it has ``shard_rows`` rows, begun ones included, so its
+    batches depend on the rows and not on the session. A null length falls into the last bucket.
+    """
+    lo, hi = (histogram.select(f("length")).scalar() for f in (F.min, F.max))
+    bucket, key, size = _bucket("length", lo, hi, num_buckets, batch_size, ratio)
+    tagged = histogram.select(bucket.alias("bucket"), key.alias("upper_length"), size.alias("bucket_batch_size"), "length", "n")
+    return tagged.groupBy("bucket", "upper_length", "bucket_batch_size").agg(
+        F.sum("n").alias("n_rows"), F.min("length").alias("shortest"), F.max("length").alias("longest"),
+        F.ceil(F.sum("n") / F.lit(shard_rows)).cast("int").alias("shards"))
+
+
 def bucketed_batches(df: DataFrame, length_col: str, keys: list[str], num_buckets: int = 10,
                      batch_size: int = 500, ratio: float = 1.0, shards: int | None = None,
-                     shard: Column | None = None) -> DataFrame:
+                     shard: Column | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Length-bucketed batches without shuffling the order inside a bucket.
 
     bucket = floor((len - min) / width) clipped to num_buckets - 1, with
@@ -135,22 +172,25 @@ def bucketed_batches(df: DataFrame, length_col: str, keys: list[str], num_bucket
     bound; bucket batch size
     ``max(floor(max_key / key * ratio * batch_size), batch_size)`` so shorter
     buckets get larger batches. Rows are numbered inside
-    (bucket, shard) by ``keys`` (shard = hash of keys), so no numbering covers
-    a whole bucket; the last batch of a shard may be short.
+    (bucket, shard) by ``keys``, so no numbering covers a whole bucket; the
+    last batch of a shard may be short.
+
+    shard = ``shard``, else hash of keys modulo ``shards``, else modulo the
+    bucket's share by ``shard_rows``: the same batches in any session. All of
+    that comes from one histogram of the lengths.
     """
-    spark = df.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lo = df.select(F.min(length_col)).scalar()
-    hi = df.select(F.max(length_col)).scalar()
-    width = F.greatest(F.lit(1), F.ceil((hi - lo + 1) / F.lit(num_buckets)))
-    bucket = F.least(F.floor((F.col(length_col) - lo) / width), F.lit(num_buckets - 1)).cast("int")
-    key = lo + (bucket + 1) * width - 1
-    max_key = lo + F.lit(num_buckets) * width - 1
-    bsize = F.greatest(F.floor(max_key / key * F.lit(float(ratio)) * F.lit(batch_size)),
-                       F.lit(batch_size)).cast("long")
-    if shard is None:
-        shard = F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int")
-    tagged = df.select("*", bucket.alias("bucket"), bsize.alias("bucket_batch_size"), shard.alias("shard"))
+    plan = durable_checkpoint(bucket_plan(length_histogram(df, length_col), num_buckets, batch_size, ratio, shard_rows))
+    lo, hi = plan.select(F.min("shortest")).scalar(), plan.select(F.max("longest")).scalar()
+    bucket, _, size = _bucket(length_col, lo, hi, num_buckets, batch_size, ratio)
+    tagged = df.select("*", bucket.alias("bucket"), size.alias("bucket_batch_size"))
+    if shard is not None:
+        tagged = tagged.withColumn("shard", shard)
+    elif shards:
+        tagged = tagged.withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int"))
+    else:
+        own = plan.select(F.col("bucket").alias("_bucket"), F.col("shards").alias("_shards"))  # num_buckets rows at most
+        tagged = (tagged.join(F.broadcast(own), F.col("bucket") == F.col("_bucket"))
+                  .withColumn("shard", F.pmod(F.xxhash64(*keys), F.col("_shards")).cast("int")).drop("_bucket", "_shards"))
     ranked = range_row_number(tagged, ["bucket", "shard"], keys, name="_seq", base=0)
     return ranked.withColumn("batch_in_shard", F.floor(F.col("_seq") / F.col("bucket_batch_size")).cast("long")).drop("_seq")
 

@@ -747,6 +747,17 @@ def q_buckets(spark, sf_dir):
     return _buckets(spark, sf_dir).select("sent_id", "n_ids", "bucket", "bucket_batch_size", "shard", "batch_in_shard")
 
 
+@register("bucket_plan", f"""with {VOCAB_SQL}, {BUCKET_SQL}
+select cast(bucket as int) as bucket, cast(lo + (bucket + 1) * w - 1 as bigint) as upper_length,
+       cast(greatest(floor((lo + 10 * w - 1) / (lo + (bucket + 1) * w - 1) * 500), 500) as bigint) as bucket_batch_size,
+       count(*) as n_rows, min(n_ids) as shortest, max(n_ids) as longest, cast(ceil(count(*) / 1000.0) as int) as shards
+from b group by bucket, lo, w""")
+def q_bucket_plan(spark, sf_dir):
+    _, _, enc = fx5_encoded(spark, sf_dir)
+    hist = BT.length_histogram(enc.select(F.size("token_ids").alias("n_ids")), "n_ids")
+    return BT.bucket_plan(hist, shard_rows=1000)
+
+
 @register("bucket_stats", f"""with {VOCAB_SQL}, {BUCKET_SQL},
 pb as (select bucket, shard, batch_in_shard, count(*) as n, max(n_ids) as mx, sum(n_ids) as tot from bt group by all)
 select bucket, cast(sum(n) as bigint) as n_rows, count(*) as n_batches, round(1.0 - sum(tot) / sum(n * mx), 4) as padding_share

@@ -88,3 +88,35 @@ def test_pad_then_cut_is_identity(spark):
 def test_stack_dtype_cast(spark):
     st = BT.stack(_batch(spark, [[1, 2], [3, 4]]), "b", "seq", "x", dtype="double").collect()[0]
     assert st["stacked"] == [[1.0, 2.0], [3.0, 4.0]]
+
+
+def test_batches_do_not_follow_the_session(spark):
+    rows = [(i, (i * i) % 37 + 3) for i in range(400)] + [(400, None)]
+    df = spark.createDataFrame(rows, "id int, n int")
+    hist = BT.length_histogram(df, "n")
+    plan = {r.bucket: r for r in BT.bucket_plan(hist, num_buckets=4, batch_size=10, shard_rows=50).collect()}
+    known = [n for _, n in rows if n is not None]
+    width = -(-(max(known) - min(known) + 1) // 4)
+    for b, r in plan.items():
+        inside = [n for n in known if min((n - min(known)) // width, 3) == b]
+        want = len(inside) + (b == 3)  # the null length falls into the last bucket
+        assert (r.n_rows, r.shards) == (want, -(-want // 50))
+        assert (r.shortest, r.longest, r.upper_length) == (min(inside), max(inside), min(known) + (b + 1) * width - 1)
+    assert sum(r.n_rows for r in plan.values()) == len(rows)
+
+    def batches():
+        out = BT.bucketed_batches(df, "n", ["id"], num_buckets=4, batch_size=10, shard_rows=50).collect()
+        return sorted((r.id, r.bucket, r.shard, r.batch_in_shard) for r in out)
+
+    prev, first = spark.conf.get("spark.sql.shuffle.partitions"), batches()
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert batches() == first and len(first) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+
+
+def test_batches_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "id int, n int")
+    assert BT.bucketed_batches(df, "n", ["id"]).count() == 0
+    assert BT.bucket_plan(BT.length_histogram(df, "n")).count() == 0
