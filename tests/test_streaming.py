@@ -128,3 +128,14 @@ def test_incomplete_sentences_leave_by_timer(spark, tmp_path):
     assert got[1] == (-1.0, 1, False) and got[4] == (-2.0, 1, False) and got[3] == (-0.25, 1, True)
     assert got[2] == (None, 1, True) and got[5] == (None, 2, True) and len(got) == 5
     assert spark.read.format("statestore").load(str(tmp_path / "ck")).count() == 0
+
+
+def test_landed_files_follow_bytes_not_tasks(spark, tmp_path):
+    """Sixteen tasks with all eight positions each land eight files, not 128: the stream has a few micro-batches."""
+    from pathlib import Path
+
+    from minpair.plans.catalog import _land_by_position
+    toks = spark.range(0, 8000, 1, 16).selectExpr("id div 8 as sent_id", "cast(id % 8 as int) as pos", "-1.0D as logprob")
+    _land_by_position(toks, f"{tmp_path}/landed")
+    assert len(list(Path(f"{tmp_path}/landed").glob("pos=*/part-*.parquet"))) == 8
+    assert spark.read.parquet(f"{tmp_path}/landed").count() == 8000
